@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zrno.llm import defects, splits
+from zrno.llm import defects, near, splits
 from zrno.session import spread, table
 
 QUERIES: dict = {}
@@ -46,3 +46,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record's split, 80/10/10."""
     return splits.assign_splits(_tied(spark, sf_dir), {"train": 0.8, "validation": 0.1, "test": 0.1})
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
+    classes, pairs = near.near_pairs(docs, "rec_id", "text", least=0.5, weighted=False)
+    return near.expand(classes, pairs).select(F.col("a").alias("rec_id_a"), F.col("b").alias("rec_id_b"))
+
+
+@query
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts whose bags of shingles are similar to 0.8 or more."""
+    docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
+    return near.groups(*near.near_pairs(docs, "rec_id", "text")).withColumnRenamed("id", "rec_id")
