@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zrno.llm import defects, near, splits
+from zrno.llm import defects, near, spans, splits
 from zrno.session import spread, table
 
 QUERIES: dict = {}
@@ -60,3 +60,17 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts whose bags of shingles are similar to 0.8 or more."""
     docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
     return near.groups(*near.near_pairs(docs, "rec_id", "text")).withColumnRenamed("id", "rec_id")
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
+    classes, pairs = spans.shared_pairs(docs, "rec_id", "text", span=150)
+    return near.expand(classes, pairs).select(F.col("a").alias("rec_id_a"), F.col("b").alias("rec_id_b"))
+
+
+@query
+def p4_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each record stands elsewhere, beside what was recorded for held-out works of the same page."""
+    docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
+    return spans.shared_share(docs, "rec_id", "text", span=150).withColumnRenamed("id", "rec_id")
