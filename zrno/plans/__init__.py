@@ -1 +1,8 @@
-"""zrno.plans"""
+"""Named queries over the tables."""
+
+
+def all_queries() -> tuple[dict, dict]:
+    """(queries, SQL) of the core."""
+    from zrno.plans.registry import ORACLES, QUERIES
+
+    return QUERIES, ORACLES
