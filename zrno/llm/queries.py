@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zrno.llm import defects, near, spans, splits
+from zrno.llm import defects, mojibake, near, spans, splits
 from zrno.session import spread, table
 
 QUERIES: dict = {}
@@ -74,3 +74,16 @@ def p4_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each record stands elsewhere, beside what was recorded for held-out works of the same page."""
     docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
     return spans.shared_share(docs, "rec_id", "text", span=150).withColumnRenamed("id", "rec_id")
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
+    return mojibake.restore(docs, "rec_id", "text").select("rec_id")
+
+
+@query
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected records with their source, what happened to them, and their restored text."""
+    docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text", "source"))
+    return mojibake.restore(docs, "rec_id", "text").join(docs.select("rec_id", "source"), "rec_id")
