@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zrno.llm import defects, mojibake, near, spans, splits
+from zrno.llm import defects, mojibake, near, scans, spans, splits
 from zrno.session import spread, table
 
 QUERIES: dict = {}
@@ -87,3 +87,19 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The affected records with their source, what happened to them, and their restored text."""
     docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text", "source"))
     return mojibake.restore(docs, "rec_id", "text").join(docs.select("rec_id", "source"), "rec_id")
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text", "title", "author"))
+    return scans.noise(docs, "rec_id", "text", "title", "author")
+
+
+@query
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable text of noisy records and of all records a metadata record's text stream leads to."""
+    docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text", "title", "author", "url"))
+    urn = F.upper(F.regexp_extract("text_url", r"(?i)(urn:[a-z0-9:]+-[a-z0-9]+)", 1))
+    streams = table(spark, sf_dir, "edm_records").where("text_url is not null").select(urn.alias("urn")).distinct()
+    tied = docs.select("rec_id", F.upper(F.regexp_extract("url", r"(?i)(urn:[a-z0-9:]+-[a-z0-9]+)", 1)).alias("urn")).where("urn <> ''").join(streams, "urn").select("rec_id")
+    return scans.repair(docs, "rec_id", "text", "title", "author", tied)
