@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zrno.llm import defects, mojibake, near, scans, spans, splits
+from zrno.llm import defects, levels, mojibake, near, scans, spans, splits
 from zrno.session import spread, table
 
 QUERIES: dict = {}
@@ -103,3 +103,10 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = table(spark, sf_dir, "edm_records").where("text_url is not null").select(urn.alias("urn")).distinct()
     tied = docs.select("rec_id", F.upper(F.regexp_extract("url", r"(?i)(urn:[a-z0-9:]+-[a-z0-9]+)", 1)).alias("urn")).where("urn <> ''").join(streams, "urn").select("rec_id")
     return scans.repair(docs, "rec_id", "text", "title", "author", tied)
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    labels = table(spark, sf_dir, "level_labels").select("doc_id", "level", "rater")
+    return levels.grade(docs, labels, "doc_id", "text", "source", least=200)
