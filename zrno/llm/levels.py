@@ -152,7 +152,8 @@ class Passages:
         # cohesion: words of more than three letters that the sentence before has too
         long = long_word[self.word]
         m = len(words.rows) + 1
-        code = np.unique(self.sentence[long] * m + self.word[long])
+        code = np.sort(self.sentence[long] * m + self.word[long])  # np.unique without indices is slower here
+        code = code[np.append(True, code[1:] != code[:-1])] if len(code) else code
         at = np.searchsorted(code, code - m)
         again = (at < len(code)) & (code[np.minimum(at, len(code) - 1)] == code - m) if len(code) else np.empty(0, bool)
         sent = code // m
