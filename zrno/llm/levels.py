@@ -5,7 +5,7 @@ its words are in the collection, and in documents of which level they stand), se
 neighbouring sentences. Gradient-boosted regression trees learn passage levels from the readers' ratings; cut points between levels are fitted
 to out-of-fold predictions, with the folds by source. A document's level is the one that most of its letters are written at.
 
-The trees are fitted on the driver on at most `most` rated documents, chosen by hash (a documented bound); word counts and
+The trees are fitted on the driver on at most `most` rated documents, chosen by the hash of their ids (a documented bound); word counts and
 predictions cover all documents. The vocabulary that is broadcast holds words that make up 2**-18 or more of all.
 
 Nulls: documents without text have no level; null ratings and ratings outside 1 to 5 are ignored; repeated ratings count once.
@@ -302,7 +302,8 @@ def train_grader(docs: DataFrame, labels: DataFrame, key: str, text: str, source
     total = int(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     share = {r[0]: float(np.log(r[1] / total)) for r in words.where(F.col("n") >= max(2, total >> 18)).toLocalIterator()}
     r = ratings(labels, key)
-    rated = d.join(r, "id").where(F.length("text") >= 200).orderBy(F.xxhash64("id"), "id").limit(most).toPandas()
+    chosen = r.orderBy(F.xxhash64("id"), "id").limit(most)  # ids first: only the chosen texts travel
+    rated = d.join(cut(chosen, "rated"), "id").where(F.length("text") >= 200).toPandas().sort_values(["id", "text"]).reset_index(drop=True)
     if rated.empty:
         width = Passages(["a"], w := Words(share)).base(w).shape[1] + 11
         return Grader(Trees(rounds=0).fit(np.zeros((1, width)), np.array([3.0])), np.array([1.5, 2.5, 3.5, 4.5]), share, {}, 3.0, float("nan"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zrno.llm import defects, levels, mojibake, near, scans, spans, splits
-from zrno.session import spread, table
+from zrno.llm import defects, levels, mixing, mojibake, near, packing, scans, spans, splits
+from zrno.session import cut, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,26 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     labels = table(spark, sf_dir, "level_labels").select("doc_id", "level", "rater")
     return levels.grade(docs, labels, "doc_id", "text", "source", least=200)
+
+
+@query
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of 2,048 tokens that each document lies in."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack(docs, "doc_id", "text", capacity=2048)
+
+
+@query
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document stands in the mix, with its source's share as asked for and as reached."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    targets = table(spark, sf_dir, "mix_targets")
+    m = cut(mixing.mix(docs, targets, "doc_id", "text", "source"), "mix")
+    return m.join(mixing.shares(m, targets).select("source", "target_share", "actual_share"), "source")
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.shares(cut(mixing.mix(docs, targets, "doc_id", "text", "source"), "mix"), targets)
