@@ -3,6 +3,7 @@
 
 def all_queries() -> tuple[dict, dict]:
     """(queries, SQL) of the core."""
+    from zrno.plans import corpus_queries  # noqa: F401
     from zrno.plans.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
