@@ -51,12 +51,12 @@ def ranked(df: DataFrame, group: list[str], order: Column, name: str = "rn", buc
     are numbered within a range. No task holds more than one range of a group.
     """
     step = (1 << 64) // buckets
-    d = df.withColumn("_h", order).withColumn("_b", F.floor(F.col("_h") / F.lit(step)).cast("int"))
-    n = d.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = n.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rn = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", *[c for c in df.columns if c not in group]))
-    keys = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "_b"]]
-    cond = keys[0]
-    for k in keys[1:]:
-        cond = cond & k
-    return d.withColumn("_rn", rn).alias("l").join(before.alias("r"), cond).select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._rn") + F.col("r._before")).alias(name))
+    at, cut_, n, before, rn = (f"__ranked_{x}" for x in ("hash", "range", "count", "before", "rank"))
+    d = df.withColumn(at, order).withColumn(cut_, F.floor(F.col(at) / F.lit(step)).cast("int"))
+    counts = d.groupBy(*group, cut_).agg(F.count(F.lit(1)).alias(n))
+    sums = counts.withColumn(before, F.coalesce(F.sum(n).over(Window.partitionBy(*group).orderBy(cut_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy(*group, cut_).orderBy(at, *[c for c in df.columns if c not in group]))
+    cond = F.lit(True)
+    for k in [*group, cut_]:
+        cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return d.withColumn(rn, rank).alias("l").join(sums.alias("r"), cond).select(*[F.col(f"l.{c}") for c in df.columns], (F.col(f"l.{rn}") + F.col(f"r.{before}")).alias(name))
