@@ -61,7 +61,7 @@ def normal_title(x: Column) -> Column:
 def without_author(title: Column, author: Column) -> Column:
     """The title without a bracketed ending that names the author's surname."""
     inner = F.regexp_extract(title, r"\(([^)]*)\)\s*$", 1)
-    surname = casefold(F.element_at(words(author), -1))
+    surname = casefold(F.try_element_at(words(author), F.lit(-1)))
     named = (inner != "") & F.contains(casefold(inner), surname)
     return F.when(F.coalesce(named, F.lit(False)), F.regexp_replace(title, r"\s*\([^)]*\)\s*$", "")).otherwise(title)
 

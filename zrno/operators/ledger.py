@@ -69,7 +69,7 @@ def violations(works: DataFrame, first: int, last: int) -> DataFrame:
 def by_author(creators: Column, people: Column, title: Column, query: Column) -> Column:
     """Layered authorship of a library record for 'Surname, Given': creators decide where there are any; else people by surname, unless the title attributes the work to someone else or is a memorial."""
     q = casefold(query)
-    surname = strip(F.element_at(F.split(q, ","), 1))
+    surname = strip(F.try_element_at(F.split(q, ","), F.lit(1)))
     none = F.array().cast("array<string>")
     made = F.exists(F.coalesce(creators, none), lambda x: F.startswith(casefold(x), q))
     named = F.exists(F.coalesce(people, none), lambda x: F.contains(casefold(x), surname))
