@@ -162,7 +162,7 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(left[: n - w + 1], right[w - 1 : n])
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that a part holds about `most` bytes of one string column, or a single row."""
     for b in batches:
         c = b.column(column)

@@ -77,7 +77,7 @@ def _verify(k: int, least: float, weighted: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, d = grams.Hashes(), zstandard.ZstdDecompressor()
-        for b in grams.chunks(grams.chunks(batches, 2, 2_000_000), 3, 2_000_000):
+        for b in grams.chunks(grams.chunks(batches, 2, 400_000), 3, 400_000):
             a_id, b_id = b.column(0).to_numpy(), b.column(1).to_numpy()
             ids, at = np.unique(np.concatenate([a_id, b_id]), return_inverse=True)
             z = [None] * len(ids)

@@ -97,7 +97,7 @@ def _windows(keys: np.ndarray, strings: list[str], span: int) -> tuple[np.ndarra
     return row, off, grams.mix(h[inside] ^ keys.view(np.uint64)[row])
 
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
+def _whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 6_000) -> Iterator[pa.Table]:
     """Tables that hold whole buckets (rows of equal key come together), of `least` rows or more."""
     held: list[pa.RecordBatch] = []
     n = 0
