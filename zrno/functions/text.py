@@ -82,7 +82,3 @@ def slug(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(without_marks(normal_title(title)), WS + "+", "-"), "^-+|-+$", "")
 
 
-def nearest_rank(sorted_array: Column, q: float) -> Column:
-    """The value at floor(q * (n - 1)) of a sorted array, 0 for an empty one."""
-    at = F.floor(F.lit(q) * (F.size(sorted_array) - 1)).cast("int") + 1
-    return F.when(F.size(sorted_array) > 0, F.element_at(sorted_array, F.greatest(at, F.lit(1)))).otherwise(0)

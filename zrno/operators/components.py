@@ -60,3 +60,22 @@ def ranked(df: DataFrame, group: list[str], order: Column, name: str = "rn", buc
     for k in [*group, cut_]:
         cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     return d.withColumn(rn, rank).alias("l").join(sums.alias("r"), cond).select(*[F.col(f"l.{c}") for c in df.columns], (F.col(f"l.{rn}") + F.col(f"r.{before}")).alias(name))
+
+
+def numbered(df: DataFrame, order: list[str], size: str | None = None, name: str = "rn", before: str = "before") -> DataFrame:
+    """Adds a 1-based rank over all rows in the order of columns that tell every row apart, and, for `size`, the sum of it over the rows before.
+
+    Rows are range-partitioned; what precedes a partition comes from one row for each partition, so no task sees more than its range.
+    """
+    part, n, s, lo, off, sofar, r, within = (f"__numbered_{x}" for x in ("part", "n", "s", "lo", "off", "sofar", "r", "within"))
+    d = cut(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ordered")
+    zero = F.lit(0).cast("long")
+    each = d.groupBy(part).agg(F.count(F.lit(1)).alias(n), (F.sum(size) if size else zero).alias(s), F.min(F.struct(*order)).alias(lo))
+    earlier = Window.orderBy(lo).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(part, F.coalesce(F.sum(n).over(earlier), zero).alias(off), F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(sofar))
+    w = Window.partitionBy(part).orderBy(*order)
+    d = d.withColumn(r, F.row_number().over(w))
+    if size:
+        d = d.withColumn(within, F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    cols = [F.col(c) for c in df.columns] + [(F.col(r) + F.col(off)).alias(name)] + ([(F.col(within) + F.col(sofar)).alias(before)] if size else [])
+    return d.join(each, part).select(*cols)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zrno.functions.text import casefold, words
+from zrno.operators.components import numbered
 from zrno.session import cut
 
 # Spelling pairs, function words of the ablation, control margin and fitness floor.
@@ -51,9 +52,9 @@ def deploy_verdict(a: Column, style: Column, topic: Column) -> Column:
 def mismatched(pairs: DataFrame, key: str, source: str, candidate: str) -> DataFrame:
     """(key, source, candidate, control): each pair as it is (real), its source repeated (echo), and with the candidate half the table further on (mismatch).
 
-    Positions come from one sort by key; only keys are numbered in one task, the texts are joined.
+    Keys are numbered range by range, the texts are joined.
     """
-    at = cut(pairs.select(key).withColumn("i", F.row_number().over(Window.orderBy(key)) - 1), "positions")
+    at = cut(numbered(pairs.select(key), [key]).select(key, (F.col("rn") - 1).alias("i")), "positions")
     n = at.count()
     p = pairs.join(at, key)
     real, echo = p.select(key, F.col(source).alias("source"), F.col(candidate).alias("candidate"), F.lit("real").alias("control")), p.select(key, F.col(source).alias("source"), F.col(source).alias("candidate"), F.lit("echo").alias("control"))
@@ -125,8 +126,7 @@ def terms(text: Column, family: str) -> Column:
     if family == "words":
         return F.concat(w, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, 2))))
     if family == "function_words":
-        keep = F.array(*[F.lit(x) for x in FUNCTION_WORDS.split()])
-        return F.filter(w, lambda x: F.array_contains(keep, x))
+        return F.filter(w, lambda x: x.isin(*FUNCTION_WORDS.split()))
     if family == "one_spelling":
         w = words(casefold(spelling(text)))
     padded = F.transform(w, lambda x: F.concat(F.lit(" "), x, F.lit(" ")))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zrno.operators import dedup
+from zrno.operators.components import numbered
 from zrno.session import cut
 
 
@@ -25,7 +26,7 @@ def select(docs: DataFrame, candidate: Column, p: HoldoutParams = HoldoutParams(
 
     A candidate is clean if no other record holds `reject` of it. Clean ones are taken in the order of their url's SHA-256 until
     they make up `fraction` of all sizes and are `least_works`. Other records that stand to `reject` in a held-out one are
-    contained. Only one author's clean candidates, 32 bytes each, are ordered in one task; texts are not.
+    contained. Candidates are ordered and summed up range by range.
     """
     sets = dedup.shingle_sets(docs.where("text is not null"), "key", "text")
     within = cut(dedup.containment_pairs(sets, "key", p.reject), "within")
@@ -34,8 +35,7 @@ def select(docs: DataFrame, candidate: Column, p: HoldoutParams = HoldoutParams(
     budget = F.floor(F.lit(p.fraction) * F.sum("size")).alias("budget")
     total = d.agg(budget, F.lit(1).alias("_1"))
     clean = d.where("candidate and most is null and url is not null").withColumn("order", F.sha2("url", 256))
-    before = Window.orderBy("order", "key").rowsBetween(Window.unboundedPreceding, -1)
-    clean = clean.withColumns({"before": F.coalesce(F.sum("size").over(before), F.lit(0)), "rank": F.row_number().over(Window.orderBy("order", "key"))}).withColumn("_1", F.lit(1))
+    clean = numbered(clean.select("key", "size", "order"), ["order", "key"], "size", "rank", "before").withColumn("_1", F.lit(1))
     held = cut(clean.join(F.broadcast(total), "_1").where(f"before < budget or rank <= {p.least_works}").select("key"), "held")
     other = within.join(held.select(F.col("key").alias("b")), "b", "left_semi").select(F.col("a").alias("key")).distinct().join(held, "key", "left_anti")
     roles = d.join(held.withColumn("_h", F.lit(True)), "key", "left").join(other.withColumn("_c", F.lit(True)), "key", "left")

@@ -83,8 +83,7 @@ SHARE = "len(list_filter({w}, lambda x: list_contains(" + ARCH + ", x)))::DOUBLE
 
 def _archaic(c: str):
     w = tx.words(F.lower(c))
-    keep = F.array(*[F.lit(x) for x in ARCHAIC])
-    return F.size(F.filter(w, lambda x: F.array_contains(keep, x))) / F.nullif(F.size(w), F.lit(0))
+    return F.size(F.filter(w, lambda x: x.isin(*ARCHAIC))) / F.nullif(F.size(w), F.lit(0))
 
 
 SCORED = f"""s AS (SELECT pair_id, {SHARE.replace('{w}', words('lower(cankar)'))} AS a, {SHARE.replace('{w}', words('lower(plain)'))} AS b FROM train_pairs WHERE len({words("coalesce(lower(cankar), '')")}) > 0 AND len({words("coalesce(lower(plain), '')")}) > 0)"""

@@ -14,7 +14,6 @@ CHUNK = DOC + ", n_tokens long, chunk_index int, n_chunks int, char_start int, c
 RECEIPT = "batch_id string, created_at string, model string, n_requests long, downloaded boolean, pair_set string"
 RESPONSE = "custom_id string, result struct<type:string,message:struct<content:array<struct<type:string,text:string>>,stop_reason:string,usage:struct<input_tokens:long,output_tokens:long>>>"
 WORK = "work_id string, title string, author string, year int, genre string, flags array<string>, aliases array<string>, sources array<struct<source:string,id:string,status:string,year:int,note:string>>, notes string"
-LOOSE = "array<string>"
 
 
 class MissingInput(FileNotFoundError):
@@ -59,9 +58,7 @@ def dump_pages(spark: SparkSession, path: str) -> DataFrame:
 def loose(json_column: Column, path: str) -> Column:
     """A loose JSON value as an array of strings: a scalar, a list, or objects that carry their value under '#text'."""
     v = F.get_json_object(json_column, path)
-    inner = F.from_json(F.when(F.startswith(v, F.lit("[")), v).otherwise(F.concat(F.lit("["), F.when(F.startswith(v, F.lit("{")) | F.startswith(v, F.lit('"')), v).otherwise(F.to_json(F.array(v))), F.lit("]"))), "array<string>")
-    whole = F.regexp_replace(F.regexp_replace(F.coalesce(v, F.lit("")), r"^\[\[", "["), r"\]\]$", "]")
-    one = F.when(F.startswith(whole, F.lit("[")), F.from_json(whole, "array<string>")).otherwise(inner)
+    one = F.when(F.startswith(v, F.lit("[")), F.from_json(v, "array<string>")).otherwise(F.array(v))
     got = F.transform(one, lambda x: F.when(F.startswith(x, F.lit("{")), F.get_json_object(x, "$.#text")).otherwise(x))
     return F.when(v.isNull(), F.array().cast("array<string>")).otherwise(F.filter(got, lambda x: x.isNotNull()))
 
