@@ -143,3 +143,12 @@ def test_chat_examples(spark):
     assert tuple(training.replay_shares(s, "b", "n", "r").first()) == (0.3, 0.5)
     n = spark.createDataFrame([(1000,), (1,)], "n long").select(training.replay_windows(F.col("n"), 100, 0.2)).collect()
     assert [x[0] for x in n] == [2, 1]
+
+
+def test_vocabulary(spark):
+    import tiktoken
+
+    enc = tiktoken.Encoding("t", pat_str=encoding.PATTERN, mergeable_ranks=encoding.ranks(), special_tokens={})
+    assert chunking.segmented("mlinarjeva", enc).replace("|", "") == "mlinarjeva"
+    v = chunking.vocabulary_table(spark)
+    assert v.count() == 50256 and v.where("has_digit and not text rlike '[0-9]'").count() == 0

@@ -85,3 +85,11 @@ def test_ingest_chain(spark):
     d = spark.createDataFrame(rows, "ns int, t string, x string").withColumn("c", cleaning.wiki_text(F.col("x")))
     got = [r[0] for r in d.select(cleaning.ingest_reason(F.col("ns"), F.col("t"), F.col("x"), F.col("c"))).collect()]
     assert got == ["non_ns0", "redirect", "list", "disambig", "empty", "stub", None]
+
+
+def test_crawl_guards(spark):
+    ok = PROSE
+    rows = [("Seznam del", ok, False, None), ("T", ok, True, None), ("T", "#redirect [[x]]", False, None), ("T", ok, False, "Bor"), ("T", "kratko", False, None), ("T", "\n".join(f"Dolg naslov dela {i} v zbirki del" for i in range(20)), False, None), ("T", ok, None, None)]
+    d = spark.createDataFrame(rows, "t string, x string, e boolean, o string")
+    got = [r[0] for r in d.select(cleaning.crawl_reason(F.col("t"), F.col("x"), F.col("x"), F.col("e"), F.col("o"))).collect()]
+    assert got == ["excluded", "excluded", "redirect", "misattributed", "short", "index", None]

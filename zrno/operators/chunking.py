@@ -169,3 +169,20 @@ def parameters(vocabularies: list[int], shapes: list[tuple[int, int]]) -> list[t
     return [(v, d, n, 12 * d * d * n, (2 + -(-n // 2)) * v * d) for v in vocabularies for d, n in shapes]
 
 
+
+
+def segmented(word: str, enc: tiktoken.Encoding) -> str:
+    """A word's tokens parted by bars; a token that ends within a character shows as a replacement."""
+    return "|".join(enc.decode_single_token_bytes(t).decode("utf-8", "replace") for t in enc.encode_ordinary(word))
+
+
+def vocabulary_table(spark, path: str = encoding.VOCABULARY) -> DataFrame:
+    """(id, n_bytes, has_digit, text) of a vocabulary; text is null for tokens that aren't whole characters."""
+    rows = []
+    for raw, i in encoding.ranks(path).items():
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            text = None
+        rows.append((i, len(raw), any(48 <= b <= 57 for b in raw), text))
+    return spark.createDataFrame(rows, "id int, n_bytes int, has_digit boolean, text string")

@@ -167,3 +167,14 @@ def ingest_reason(ns: Column, title: Column, text: Column, clean: Column, least:
         F.when(ns != 0, "non_ns0").when(redirect, "redirect").when(F.rlike(title, F.lit(gate.INDEX_TITLE)), "list").when(disambiguation, "disambig")
         .when(F.coalesce(F.length(clean), F.lit(0)) == 0, "empty").when(F.length(clean) < least, "stub")
     )
+
+
+def crawl_reason(title: Column, text: Column, clean: Column, excluded: Column, other: Column, least: int = CHARS_LEAST) -> Column:
+    """Why a crawled page does not become a document: excluded by the catalogue, a redirect, by another author, short, or an index by its lines; null for a document."""
+    from zrno.operators import gate
+
+    redirect = F.rlike(F.coalesce(text, F.lit("")), F.lit(gate.REDIRECT))
+    return (
+        F.when(F.coalesce(excluded, F.lit(False)) | F.rlike(F.coalesce(title, F.lit("")), F.lit(gate.INDEX_TITLE)), "excluded").when(redirect, "redirect").when(other.isNotNull(), "misattributed")
+        .when(F.coalesce(F.length(clean), F.lit(0)) < least, "short").when(gate.index_like(F.coalesce(clean, F.lit(""))), "index")
+    )

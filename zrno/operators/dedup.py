@@ -6,8 +6,10 @@ the rarest runs of the smaller (prefix filtering), so common runs never meet. No
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,26 +109,35 @@ def cluster(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return nodes.select(key).distinct().join(g, key, "left").select(key, F.coalesce("component", key).alias("cluster"))
 
 
-def band_hashes(signature: Column, rows: int) -> Column:
-    """A hash for every `rows` components of a signature."""
-    n = F.size(signature)
-    return F.transform(F.sequence(F.lit(0), F.floor(n / rows).cast("int") - 1), lambda i: F.xxhash64(i, F.slice(signature, i * rows + 1, rows)))
+def band_hashes(sets: DataFrame, key: str, bands: int, rows: int, seed: int = 1) -> DataFrame:
+    """(key, band hash), a row for each band of each set that isn't empty. The MinHash signature, `bands` x `rows` minima of re-hashed elements, is made for whole Arrow batches at once."""
+    d = sets.where("n > 0").select(key, "sh")
 
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC6A4A7935BD1E995)
+        return x ^ (x >> np.uint64(32))
 
-def minhash(sh: Column, perms: int = 128, seed: int = 1) -> Column:
-    """MinHash signature of an array of hashes: for each permutation the least re-hashed value. An empty set's is null throughout."""
-    return F.transform(F.sequence(F.lit(seed), F.lit(seed + perms - 1)), lambda p: F.array_min(F.transform(sh, lambda x: F.xxhash64(x, p))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lists = b.column(0), b.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            h = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            starts = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+            out = []
+            for j in range(bands):
+                band = np.full(len(size), j, np.uint64)
+                for i in range(rows):
+                    low = np.minimum.reduceat(mixed(h + np.uint64((seed + j * rows + i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), starts)
+                    band = mixed(band * np.uint64(31) + low)
+                out.append(band)
+            flat = np.stack(out, axis=1).reshape(-1).view(np.int64) if len(size) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(size)), bands))), pa.array(flat)], names=[key, "h"])
+
+    return d.mapInArrow(run, f"`{key}` {dict(d.dtypes)[key]}, h long")
 
 
 def lsh_pairs(sets: DataFrame, key: str, bands: int = 21, rows: int = 6) -> DataFrame:
     """(a, b), a < b: pairs whose signatures agree in a band, unverified; the chance at similarity s is 1 - (1 - s**rows)**bands."""
-    b = sets.where("n > 0").select(key, F.explode(band_hashes(minhash(F.col("sh"), bands * rows), rows)).alias("h"))
-    b = cut(b, "bands")
+    b = cut(band_hashes(sets, key, bands, rows), "bands")
     return b.select(F.col(key).alias("a"), "h").join(b.select(F.col(key).alias("b"), "h"), "h").where("a < b").select("a", "b").distinct()
-
-
-def prefix_size(n: int, least: float) -> int:
-    """How many of a set's rarest elements must be looked at to miss no partner."""
-    return n - math.ceil(least * n - 1e-9) + 1
-
-

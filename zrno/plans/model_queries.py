@@ -69,6 +69,11 @@ def vocab_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "vocabulary long, width long, layers long, body long, tables long")
 
 
+@query()
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.vocabulary_table(spark)
+
+
 @query()
 def eval_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out pages tiled into windows of 256 tokens; every token but the first is a target once."""
