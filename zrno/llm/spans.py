@@ -3,7 +3,8 @@
 Windows are runs of `span` code points. Within a window the smallest hash of its runs of `mini` code points is its minimiser;
 consecutive windows of the same minimiser make a super-k-mer. A first pass lists every text's super-k-mers as (minimiser, start,
 number of windows) without their text. Only minimisers that two or more different texts have can hold a shared window, so only
-those super-k-mers are fetched from the texts and travel, each as one packed string, to the bucket of their minimiser. There all
+those super-k-mers are fetched from the texts and travel, each as one packed string, to the bucket of their minimiser. Equal strings
+are gathered with their texts before, in shares by salt, so a passage that a third of all texts have is a few rows. In the bucket all
 windows are hashed and sorted; runs of equal windows are checked against the strings and give the pairs, or the stretches of
 each text that stand elsewhere too.
 
@@ -120,73 +121,94 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 6_000) -> Ite
         yield pa.Table.from_batches(held)
 
 
+def _rows(t: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, strings, ids of all members, starts of all members, where each row's members begin and, last, end)."""
+    members = t.column(2).combine_chunks()
+    if isinstance(members, pa.ChunkedArray):
+        members = members.chunk(0)
+    flat = members.flatten()
+    bounds = np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return t.column(0).to_numpy(), t.column(1).to_pylist(), flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64), bounds
+
+
+def _equal_runs(keys: np.ndarray, strings: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset) of all windows sorted by their hash, one for each window and row, with the start and size of each run of equal ones."""
+    row, off, h = _windows(keys, strings, span)
+    o = np.lexsort((off, row, h))
+    row, off, h = row[o], off[o], h[o]
+    one = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.empty(0, bool)
+    first = np.append(True, h[1:] != h[:-1])[one] if len(h) else np.empty(0, bool)
+    row, off = row[one], off[one]
+    at = np.flatnonzero(first)
+    return row, off, at, np.diff(np.append(at, len(row)))
+
+
 def _pairs(span: int):
     """Pairs of ids that have an equal window in a bucket, without repetition within a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_buckets(batches):
-            keys, ids, strings = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(3).to_pylist()
-            row, off, h = _windows(keys, strings, span)
-            o = np.lexsort((ids[row], h))
-            row, off, h = row[o], off[o], h[o]
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            # one entry for each window and id
-            one = first.copy()
-            one[1:] |= ids[row[1:]] != ids[row[:-1]]
-            row, off, first = row[one], off[one], first[one]
-            at = np.flatnonzero(first)
-            size = np.diff(np.append(at, len(row)))
-            at, size = at[size > 1], size[size > 1]
+            keys, strings, ids, _, bounds = _rows(t)
+            row, off, at, size = _equal_runs(keys, strings, span)
             if not len(at):
                 continue
-            # windows that stand in the same texts say the same: keep one of each set of texts
-            m = grams.mix(ids[row].astype(np.uint64))
-            run_sum = np.concatenate([[np.uint64(0)], np.cumsum(m, dtype=np.uint64)])
-            sign = run_sum[at + size] - run_sum[at]
-            _, keep = np.unique(sign ^ grams.mix(size.astype(np.uint64)), return_index=True)
-            for s in np.unique(size[keep]):
-                sel = at[keep[size[keep] == s]]
-                i, j = np.triu_indices(int(s), 1)
-                step = max(1, 2_000_000 // len(i))
-                for c in range(0, len(sel), step):
-                    x = (sel[c : c + step, None] + i).ravel()
-                    y = (sel[c : c + step, None] + j).ravel()
-                    a, b = ids[row[x]], ids[row[y]]
-                    _, u = np.unique(np.stack([a, b]), axis=1, return_index=True)
-                    same = np.fromiter((strings[row[p]][off[p] : off[p] + span] == strings[row[q]][off[q] : off[q] + span] for p, q in zip(x[u], y[u])), bool, len(u))
-                    yield pa.RecordBatch.from_arrays([pa.array(a[u][same]), pa.array(b[u][same])], names=["a", "b"])
+            # windows that stand in the same strings say the same: keep one of each set of strings
+            total = np.concatenate([[np.uint64(0)], np.cumsum(grams.mix(row.astype(np.uint64) + np.uint64(1)), dtype=np.uint64)])
+            _, keep = np.unique((total[at + size] - total[at]) ^ grams.mix(size.astype(np.uint64)), return_index=True)
+            out, n = [], 0
+            for a, k in zip(at[keep], size[keep]):
+                rows = row[a : a + k]
+                if k > 1:
+                    w = strings[rows[0]][off[a] : off[a] + span]
+                    rows = [r for r, o in zip(rows, off[a : a + k]) if strings[r][o : o + span] == w]
+                who = np.unique(np.concatenate([ids[bounds[r] : bounds[r + 1]] for r in rows]))
+                for i in range(len(who) - 1):
+                    out.append(np.stack([np.full(len(who) - 1 - i, who[i]), who[i + 1 :]]))
+                    n += len(who) - 1 - i
+                    if n > 1_000_000:
+                        yield _distinct(out)
+                        out, n = [], 0
+            if out:
+                yield _distinct(out)
 
     return run
 
 
+def _distinct(parts: list[np.ndarray]) -> pa.RecordBatch:
+    x = np.unique(np.concatenate(parts, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+
+
 def _stretches(span: int):
     """(id, from, to): stretches of each text whose windows stand in another text of the bucket too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_buckets(batches):
-            keys, ids, starts, strings = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_pylist()
+            keys, strings, ids, starts, bounds = _rows(t)
+            low, high = np.minimum.reduceat(ids, bounds[:-1]), np.maximum.reduceat(ids, bounds[:-1])
             row, off, h = _windows(keys, strings, span)
-            o = np.lexsort((ids[row], h))
+            if not len(h):
+                continue
+            o = np.argsort(h, kind="stable")
             row, off, h = row[o], off[o], h[o]
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-            size = np.diff(np.append(at, len(h)))
-            shared = np.repeat(ids[row[at]] != ids[row[at + size - 1]], size) if len(h) else np.empty(0, bool)
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            shared = np.repeat(np.minimum.reduceat(low[row], at) != np.maximum.reduceat(high[row], at), np.diff(np.append(at, len(h))))
             row, off = row[shared], off[shared]
             o = np.lexsort((off, row))
             row, off = row[o], off[o]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1)
-            at = np.flatnonzero(new)
+            at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1))) if len(row) else np.empty(0, np.int64)
             end = np.append(at[1:], len(row)) - 1
-            a = starts[row[at]] + off[at]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row[at]]), pa.array(a.astype(np.int64)), pa.array((starts[row[end]] + off[end] + span).astype(np.int64))], names=["id", "lo", "hi"])
+            lo, hi, r = off[at], off[end] + span, row[at]
+            many = bounds[r + 1] - bounds[r]
+            k = np.repeat(np.arange(len(at)), many)
+            m = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + bounds[r][k]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[m]), pa.array(starts[m] + lo[k]), pa.array(starts[m] + hi[k])], names=["id", "lo", "hi"])
 
     return run
 
 
-def _prepare(df: DataFrame, key: str, text: str, span: int, mini: int) -> tuple[DataFrame, DataFrame]:
-    """(classes (id, class_id, n), super-k-mers (key, id, start, s) of classes, each bucket together)."""
+def _prepare(df: DataFrame, key: str, text: str, span: int, mini: int, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(classes (id, class_id, n), super-k-mers (key, s, members) of classes, each bucket together)."""
     d = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(f"id is not null and length(text) >= {span}")
     listed = cut(d.mapInArrow(_list(span, mini), "id long, fp binary, n long, keys array<long>, spots array<long>"), "listed")
     heads = listed.groupBy("fp").agg(F.min("id").alias("class_id"))
@@ -196,7 +218,9 @@ def _prepare(df: DataFrame, key: str, text: str, span: int, mini: int) -> tuple[
     some = cut(each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "minimisers")
     want = each.join(some, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("key", "spot")).alias("at"))
     parts = pack(d).join(cut(want, "wanted"), "id").select("id", "z", "at").mapInArrow(_slice(span), "key long, id long, start int, s string")
-    return classes, parts.repartition("key").sortWithinPartitions("key")
+    # equal strings travel once for up to `salts` shares of their texts, so a passage that very many texts have is few rows
+    same = parts.groupBy("key", "s", F.pmod("id", F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("id", "start")).alias("members"))
+    return classes, same.select("key", "s", "members").repartition("key").sortWithinPartitions("key")
 
 
 def shared_pairs(df: DataFrame, key: str, text: str, span: int = 150, mini: int = 40) -> tuple[DataFrame, DataFrame]:
