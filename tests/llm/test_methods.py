@@ -149,6 +149,13 @@ def test_spans_match_brute_force(spark):
         assert share.get(i, 0) == cover.sum(), i
 
 
+def test_a_passage_that_a_third_of_all_share(spark):
+    p = "Stara hiša stoji ob vodi in stari mož počasi hodi po cesti, mlada žena čaka pred vrati, otrok pa spi v topli sobi. "
+    rows = [(i, (p if i % 3 == 0 else "") + f" beseda{i * 7919}" * 30) for i in range(900)]
+    got = {r.id: r.shared_chars for r in spans.shared_share(spark.createDataFrame(rows, "id long, text string"), "id", "text", span=80, mini=20).collect()}
+    assert {i for i, n in got.items() if n} == set(range(0, 900, 3)) and all(n >= len(p) for n in got.values() if n)
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_near_pairs_match_brute_force(spark, weighted):
     from collections import Counter

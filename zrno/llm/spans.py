@@ -194,6 +194,8 @@ def _stretches(span: int):
             at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             shared = np.repeat(np.minimum.reduceat(low[row], at) != np.maximum.reduceat(high[row], at), np.diff(np.append(at, len(h))))
             row, off = row[shared], off[shared]
+            if not len(row):
+                continue
             o = np.lexsort((off, row))
             row, off = row[o], off[o]
             at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1))) if len(row) else np.empty(0, np.int64)
