@@ -110,3 +110,16 @@ def test_distinct_works_are_protected(spark):
     assert {r.rec_id: r.decision for r in merge.decisions(d).collect()} == {1: "kept", 2: "near_dup"}
     table = spark.createDataFrame([("Zima", "distinct", None)], "title string, resolution string, attribution string")
     assert {r.rec_id: r.decision for r in merge.decisions(d, collisions=table).collect()} == {1: "kept", 2: "kept"}
+
+
+def test_misfiled_works_and_audit(spark):
+    rows = [(1, "ana", "Zima (Kos)", numbered(P1, 8), "Ana Kos"), (2, "bor", "Zima", numbered(P1, 8), "Bor Žagar"), (3, "ana", "Pismo", numbered(P2, 8), "Ana Kos")]
+    d = spark.createDataFrame([(i, s, t, f"u{i}", x, "w", a) for i, s, t, x, a in rows], "rec_id long, shard string, title string, url string, text string, source string, author string")
+    flagged = spark.createDataFrame([("Ana Kos", "Pismo!"), ("Ana Kos", "Ni je")], "author string, title string")
+    got = merge.decisions(d, flagged=flagged)
+    assert {r.rec_id: r.decision for r in got.collect()} == {1: "kept", 2: "exact_dup", 3: "not_by_author"}
+    assert [tuple(r) for r in merge.unfired(flagged, d).collect()] == [("Ana Kos", "Ni je")]
+    cross = merge.cross_author(d, got)
+    assert [(r.rec_id, r.root_id, r.root_author) for r in cross.collect()] == [(2, 1, "Ana Kos")]
+    table = spark.createDataFrame([("Zima", "same_work", "Ana Kos"), ("ZIMA", "same_work", "Bor Žagar")], "title string, resolution string, attribution string")
+    assert [tuple(r) for r in merge.conflicts(cross, table).collect()] == [(1, ["Ana Kos", "Bor Žagar"])]

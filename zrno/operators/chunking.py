@@ -186,3 +186,13 @@ def vocabulary_table(spark, path: str = encoding.VOCABULARY) -> DataFrame:
             text = None
         rows.append((i, len(raw), any(48 <= b <= 57 for b in raw), text))
     return spark.createDataFrame(rows, "id int, n_bytes int, has_digit boolean, text string")
+
+
+def vocabulary_fingerprint(path: str = encoding.VOCABULARY) -> str:
+    """SHA-256 of a vocabulary's tokens in the order of their ids, each with its length before it."""
+    import hashlib
+
+    h = hashlib.sha256()
+    for raw, _ in sorted(encoding.ranks(path).items(), key=lambda x: x[1]):
+        h.update(len(raw).to_bytes(4, "big") + raw)
+    return h.hexdigest()

@@ -62,6 +62,11 @@ def mismatched(pairs: DataFrame, key: str, source: str, candidate: str) -> DataF
     return real.union(echo).union(p.select(key, "i", F.col(source).alias("source")).join(other, "i").select(key, "source", "candidate", F.lit("mismatch").alias("control")))
 
 
+def without_verdict(items: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
+    """Control items that no verdict came for; a run with any can't be judged."""
+    return items.where("control <> 'none'").join(verdicts.select(key).distinct(), key, "left_anti")
+
+
 def control_margins(verdicts: DataFrame, margin: float = MARGIN) -> DataFrame:
     """One row from (control, meaning, voice, fluency): means by control, margins, and the list of failures."""
     mean = lambda c, k: F.avg(F.when(F.col("control") == k, F.col(c)))

@@ -129,3 +129,9 @@ def best_samples(pairs: DataFrame, key: str, old: str, new: str, archaisms: list
     return pairs.withColumn("score", score).orderBy(F.desc("score"), key).limit(n)
 
 
+
+
+def first_paragraphs(docs: DataFrame, key: str, text: str, least: int = 120, most: int = 800) -> DataFrame:
+    """(key, paragraph): the first flattened paragraph of a fitting length of each text; texts without one give none."""
+    fit = F.filter(paragraphs(F.col(text)), lambda p: (F.length(p) >= least) & (F.length(p) <= most))
+    return docs.where(F.col(text).isNotNull()).select(key, F.try_element_at(fit, F.lit(1)).alias("paragraph")).where("paragraph is not null")

@@ -174,6 +174,12 @@ def merged_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.survivors(docs, cut(merge.decisions(docs), "decisions"))
 
 
+@query()
+def merge_cross_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir, "rec_id", "shard", "title", "url", "text", "source", "author")
+    return merge.cross_author(docs, cut(merge.decisions(docs), "decisions"))
+
+
 @query(f"""WITH {SHINGLES}, w AS (SELECT h.url, d.rec_id FROM holdout_works h JOIN corpus_docs d USING (url) WHERE text IS NOT NULL GROUP BY 1, 2), hs AS (SELECT DISTINCT w.rec_id AS h, s FROM w JOIN sh USING (rec_id)),
 p AS (SELECT h, sh.rec_id AS b, count(*) AS "both" FROM hs JOIN sh USING (s) WHERE sh.rec_id <> h GROUP BY 1, 2)
 SELECT w.rec_id, coalesce(max("both")::DOUBLE / any_value(n.n), 0.0) AS max_containment FROM w JOIN n USING (rec_id) LEFT JOIN p ON p.h = w.rec_id GROUP BY 1""")

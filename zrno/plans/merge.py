@@ -42,12 +42,22 @@ def prepared(docs: DataFrame, p: MergeParams) -> DataFrame:
     return d.withColumns({"literary": F.col("tier") < 3, "pref": F.format_string("%d|%s|%019d", "tier", F.coalesce("shard", F.lit("")), "rec_id")})
 
 
-def decisions(docs: DataFrame, p: MergeParams = MergeParams(), collisions: DataFrame | None = None) -> DataFrame:
+def _work(author: Column, title: Column) -> Column:
+    return normal_title(without_author(nfc(F.coalesce(title, F.lit(""))), author))
+
+
+def decisions(docs: DataFrame, p: MergeParams = MergeParams(), collisions: DataFrame | None = None, flagged: DataFrame | None = None) -> DataFrame:
     """(rec_id, decision, root_id) of every record; root_id is the kept record that a dropped one repeats.
 
     collisions: (title, resolution, attribution) by normal title; `distinct` works of other authors are never near duplicates.
+    flagged: (author, title) of works filed under an author who did not write them; they are left out before all else.
     """
     d = prepared(docs, p)
+    wrong = None
+    if flagged is not None:
+        keys = flagged.select("author", _work(F.col("author"), F.col("title")).alias("work")).where("work <> ''").distinct()
+        wrong = cut(d.select("rec_id", "author", _work(F.col("author"), F.col("title")).alias("work")).join(keys, ["author", "work"], "left_semi").select("rec_id"), "flagged")
+        d = d.join(wrong, "rec_id", "left_anti")
     d = cut(gate.signals(d).withColumn("gated", F.col("literary") & (F.col("verdict") != "kept")).select("rec_id", "pref", "literary", "gated", "verdict", "author", "title", "text", dedup.content_hash(F.coalesce("text", F.lit(""))).alias("hash")), "gated")
     out_gate = d.where("gated").select("rec_id", F.concat(F.lit("gate_"), "verdict").alias("decision"), F.lit(None).cast("long").alias("root_id"))
     live = dedup.keep_first(d.where("not gated"), "hash", ["pref", "rec_id"])
@@ -80,7 +90,28 @@ def decisions(docs: DataFrame, p: MergeParams = MergeParams(), collisions: DataF
         F.when(F.col("is_first"), F.col("fate")).when(F.col("fate").isin("kept", "containment"), "exact_dup").otherwise(F.col("fate")).alias("decision"),
         F.when(~F.col("is_first") & F.col("fate").isin("kept", "containment"), F.col("rep")).otherwise(F.col("root_id")).alias("root_id"),
     )
-    return out_gate.union(copy)
+    out = out_gate.union(copy)
+    return out if wrong is None else out.union(wrong.select("rec_id", F.lit("not_by_author"), F.lit(None).cast("long")))
+
+
+def unfired(flagged: DataFrame, docs: DataFrame) -> DataFrame:
+    """Flagged works (author, title) that no record matches: exclusions that do nothing."""
+    have = docs.select("author", _work(F.col("author"), F.col("title")).alias("work")).distinct()
+    return flagged.withColumn("work", _work(F.col("author"), F.col("title"))).join(have, ["author", "work"], "left_anti").select("author", "title")
+
+
+def cross_author(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """(rec_id, root_id, decision, author, root_author, title) of the records dropped for one that stands under another author."""
+    a = docs.select("rec_id", "author", "title")
+    b = docs.select(F.col("rec_id").alias("root_id"), F.col("author").alias("root_author"))
+    return decided.where("root_id is not null").join(a, "rec_id").join(b, "root_id").where(~F.col("author").eqNullSafe(F.col("root_author"))).select("rec_id", "root_id", "decision", "author", "root_author", "title")
+
+
+def conflicts(cross: DataFrame, collisions: DataFrame) -> DataFrame:
+    """(root_id, attributions) of kept records that the collision table gives to more than one author."""
+    given = collisions.where("attribution is not null").select(normal_title(nfc(F.col("title"))).alias("t"), "attribution").distinct()
+    j = cross.withColumn("t", normal_title(nfc(F.coalesce("title", F.lit(""))))).join(given, "t")
+    return j.groupBy("root_id").agg(F.array_sort(F.collect_set("attribution")).alias("attributions")).where(F.size("attributions") > 1)
 
 
 def _without_distinct(near: DataFrame, info: DataFrame, collisions: DataFrame) -> DataFrame:

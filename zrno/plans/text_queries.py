@@ -187,3 +187,14 @@ def request_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.sum(F.length("cankar")).alias("n_chars"), F.count(F.lit(1)).alias("n")).withColumn("in_tokens", F.floor(F.col("n_chars") / F.lit(2.09) + F.col("n") * 300).cast("long"))
 
 
+
+
+FLAT = f"list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: regexp_replace(array_to_string({words('x')}, ' '), '^(?:[IVXL]{{1,6}}\\.|[IVXL]{{2,6}})\\s+([A-ZČŠŽ»„“])', '\\1')), lambda x: length(x) BETWEEN 120 AND 800)"
+
+
+@query(f"SELECT rec_id, sha256(p[1]) AS hash FROM (SELECT rec_id, {FLAT} AS p FROM corpus_docs WHERE text IS NOT NULL AND source = 'leksikon') WHERE len(p) > 0 ORDER BY sha256(rec_id::VARCHAR) LIMIT 100")
+def wild_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of 100 paragraphs of general texts, in the order of a hash."""
+    d = docs_of(spark, sf_dir, "rec_id", "text", "source").where("source = 'leksikon'")
+    p = pairs.first_paragraphs(d, "rec_id", "text")
+    return p.orderBy(F.sha2(F.col("rec_id").cast("string"), 256)).limit(100).select("rec_id", F.sha2("paragraph", 256).alias("hash"))
