@@ -115,6 +115,15 @@ def test_garbling_is_undone(spark, written, read):
         assert got[200].restored == CLEAN
 
 
+def test_foreign_words_are_garbled_by_their_bytes():
+    g = mojibake.Garble()
+    for w in ("perché", "»правда", "λόγος", "naïve", "§"):
+        x = w.encode().decode("latin-1")
+        assert g.suspect(x) and g.strict(x)[0] == w, w
+        assert g.strict(w) is None
+    assert g.strict("Größe") is None and g.strict("ČŠŽ čšž") is None and g.strict("Ä") is None
+
+
 # --- spans and near duplicates
 
 
