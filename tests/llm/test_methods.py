@@ -235,6 +235,18 @@ def test_bm25_prefers_the_like():
     assert s[2] > s[1] == s[3] == 0
 
 
+def test_bm25_scores_by_all_terms():
+    r = np.random.default_rng(1)
+    docs = [np.sort(r.choice(300, 100, replace=False)).astype(np.uint32) for _ in range(200)]
+    tf = [r.integers(1, 5, 100).astype(np.uint16) for _ in docs]
+    index = packing.Index([d.tobytes() + c.tobytes() for d, c in zip(docs, tf)])
+    df = np.bincount(np.concatenate(docs), minlength=300)
+    idf, mean = np.log1p((200 - df + 0.5) / (df + 0.5)), np.mean([c.sum() for c in tf])
+    for i in (0, 7, 199):
+        want = [sum(idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * cs.sum() / mean)) for t, c in zip(d, cs.astype(float)) if t in set(docs[i])) for d, cs in zip(docs, tf)]
+        assert df[docs[i]].sum() > 4096 and np.allclose(index.scores(i), want, rtol=1e-4)
+
+
 @given(st.lists(st.floats(0.01, 1), min_size=1, max_size=6), st.integers(0, 60), st.lists(st.integers(0, 40), min_size=6, max_size=6))
 @settings(max_examples=150, deadline=None)
 def test_seats_go_by_the_highest_quotients(weights, seats, caps):

@@ -91,17 +91,12 @@ class Index:
         weight = np.repeat(idf, df) * count * (k1 + 1) / (count + k1 * (1 - b + b * length[doc_by] / mean)).astype(np.float32)
         self.m, self.doc, self.weight = m, doc_by, weight.astype(np.float32)
         self.lo, self.hi = at, at + df
-        # the terms of each document, rarest first
         number = np.repeat(np.arange(len(at)), df)
-        back = np.lexsort((-idf[number], doc_by))
-        self.terms, self.start = number[back], np.concatenate([[0], np.cumsum(np.bincount(doc_by, minlength=m))])
-        self.df = df
+        self.terms, self.start = number[np.argsort(doc_by, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(doc_by, minlength=m))])
 
-    def scores(self, i: int, budget: int = 4096) -> np.ndarray:
-        """Scores of all documents for document i as a query. Terms are taken from the rarest on until their postings sum up to `budget`; what follows are the commonest, of hardly any weight."""
+    def scores(self, i: int) -> np.ndarray:
+        """Scores of all documents for document i as a query, by all its terms."""
         t = self.terms[self.start[i] : self.start[i + 1]]
-        n = int(np.searchsorted(np.cumsum(self.df[t]), budget, side="right"))
-        t = t[: max(n, 1)]
         if not len(t):
             return np.zeros(self.m, np.float32)
         spans = [slice(a, b) for a, b in zip(self.lo[t], self.hi[t])]
