@@ -130,6 +130,27 @@ def test_stream_and_batches(spark):
     assert {x.id: x.pos for x in again.collect()} == {x.id: x.pos for x in p.collect()}
 
 
+def test_training_leaves_out_what_is_held_out(spark, tmp_path):
+    import tiktoken
+
+    from zrno.plans import all_queries
+
+    enc = tiktoken.Encoding("t", pat_str=encoding.PATTERN, mergeable_ranks=encoding.ranks(), special_tokens={})
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, "u1", "A", word("drzan", 300)), (2, None, "A", word("brez", 900)), (3, "u3", "B", word("mlin", 900)), (4, "u4", "A", None), (5, "u5", "A", ""), (6, "u6", "A", word("drzan", 40)), (7, "u1", None, word("tisk", 20))]
+    spark.createDataFrame(rows, "rec_id long, url string, author string, text string").write.parquet(f"{tmp_path}/corpus_docs.parquet")
+    spark.createDataFrame([("u1",), (None,)], "url string").write.parquet(f"{tmp_path}/holdout_works.parquet")
+    kept = {i: [50256] + enc.encode_ordinary(t) for i, _, _, t in rows if i in (2, 3, 5)}
+    n = sum(map(len, kept.values()))
+    assert all_queries()[0]["steps_per_epoch"](spark, str(tmp_path)).first().n_tokens == n
+    b = sorted(all_queries()[0]["train_batches"](spark, str(tmp_path)).collect(), key=lambda x: (x.batch, x.row))
+    assert len(b) == (n - 1) // 256 // 8 * 8 > 0
+    stream = [t for x in b for t in x.x] + b[-1].y[-1:]
+    at = [i for i, t in enumerate(stream) if t == 50256] + [None]
+    docs = [stream[i:j] for i, j in zip(at, at[1:])]
+    assert docs[:-1] == [d for d in docs[:-1] if d in kept.values()] and any(d[: len(docs[-1])] == docs[-1] for d in kept.values())
+
+
 def test_chat_examples(spark):
     sp = {"bos": 1, "user_start": 2, "user_end": 3, "assistant_start": 4, "assistant_end": 5}
     d = spark.createDataFrame([(1, [10, 11], [20]), (2, [10] * 9, [20] * 9), (3, [9], [8])], "k long, p array<int>, t array<int>")

@@ -51,6 +51,23 @@ def without(docs: DataFrame, url: str, *excluded: DataFrame) -> DataFrame:
     return docs.join(every.where("url is not null").distinct().withColumnRenamed("url", url), url, "left_anti")
 
 
+def contained(docs: DataFrame, works: DataFrame, least: float = HoldoutParams.reject) -> DataFrame:
+    """docs: key, url, text, author. Keys of records of no held-out page that stand to `least` in a held-out record of their author: the exclusion of pages is closed over them.
+
+    Only records of authors with held-out pages are cut into runs.
+    """
+    urls = works.select("url").where("url is not null").distinct()
+    d = docs.where("text is not null and author is not null")
+    authors = cut(d.select("url", "author").join(urls, "url", "left_semi").select("author").distinct(), "authors")
+    d = d.join(authors, "author", "left_semi")
+    sets = dedup.shingle_sets(d, "key", "text", keep=("url", "author"))
+    runs = F.explode(F.transform("sh", lambda s: F.xxhash64("author", s))).alias("s")  # an author's run as one number: nothing else is shuffled
+    held = sets.join(urls, "url", "left_semi").select(F.col("key").alias("h"), runs)
+    both = sets.join(urls, "url", "left_anti").select("key", runs).join(held, "s").groupBy("key", "h").agg(F.count(F.lit(1)).alias("both"))
+    most = both.groupBy("key").agg(F.max("both").alias("both"))
+    return most.join(sets.select("key", "n"), "key").where(F.col("both") >= F.lit(least) * F.col("n")).select("key").distinct()
+
+
 def verify(works: DataFrame, docs: DataFrame) -> DataFrame:
     """(url, state) of each held-out work: ok, drifted where no record of the page has the recorded hash, or missing."""
     d = docs.where("url is not null").select("url", F.sha2("text", 256).alias("h"))

@@ -26,14 +26,16 @@ def placed(docs: DataFrame, key: str, size: str, seed: int = 1) -> DataFrame:
 
 def batch_rows(stream: DataFrame, tokens: str, seq_len: int, batch_size: int) -> DataFrame:
     """(batch, row, x, y): the stream of placed documents cut into windows of seq_len targets; what doesn't fill a batch is left out."""
-    t = stream.select("pos", F.posexplode(tokens).alias("i", "tok")).select((F.col("pos") + F.col("i")).alias("p"), "tok")
     n = stream.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0))).first()[0]
     rows = max(0, (n - 1) // seq_len // batch_size * batch_size)
-    win = F.floor(F.col("p") / seq_len).cast("long")
-    edge = t.where((F.col("p") % seq_len == 0) & (F.col("p") > 0)).withColumn("w", win - 1)  # a window's first token is the last target of the one before
-    each = t.withColumn("w", win).union(edge).where(F.col("w") < rows)
+    size, at = F.size(tokens), lambda w: w * seq_len - F.col("pos")
+    # a window's last target is the first token of the next one, so a document reaches from the window its first token is a target of
+    lo, hi = F.greatest(F.floor((F.col("pos") - 1) / seq_len), F.lit(0)).cast("long"), F.floor((F.col("pos") + size - 1) / seq_len).cast("long")
+    piece = lambda w: F.slice(tokens, F.greatest(at(w), F.lit(0)).cast("int") + 1, (F.least(at(w) + seq_len + 1, size) - F.greatest(at(w), F.lit(0))).cast("int"))
+    d = stream.where(size > 0).select("pos", tokens, lo.alias("_lo"), F.least(hi, F.lit(rows - 1)).alias("_hi")).where("_lo <= _hi")
+    each = d.select(F.explode(F.transform(F.sequence("_lo", "_hi"), lambda w: F.struct(w.alias("w"), F.col("pos").alias("p"), piece(w).alias("tok")))).alias("x")).select("x.*")
     g = each.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("p", "tok"))).alias("a"))
-    ids = F.transform("a", lambda x: x.tok)
+    ids = F.flatten(F.transform("a", lambda x: x.tok))
     return g.select(F.floor(F.col("w") / batch_size).cast("long").alias("batch"), (F.col("w") % batch_size).cast("int").alias("row"), F.slice(ids, 1, seq_len).alias("x"), F.slice(ids, 2, seq_len).alias("y"))
 
 

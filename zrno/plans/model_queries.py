@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from zrno.functions import encoding
 from zrno.functions import text as tx
-from zrno.operators import chunking, evaluation, training
+from zrno.operators import chunking, evaluation, holdout, training
 from zrno.plans.corpus_queries import docs_of, fold, words
 from zrno.plans.registry import query
 from zrno.plans.text_queries import ARCHAIC, RECEIPTS
@@ -22,6 +22,14 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.count_tokens(docs_of(spark, sf_dir, "rec_id", "source", "author", "text").where("text is not null"), "rec_id", "text", keep=("source", "author"))
 
 
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, text) of what is trained on: every record with text, but for held-out pages and records contained in them."""
+    works = table(spark, sf_dir, "holdout_works")
+    d = docs_of(spark, sf_dir, "rec_id", "url", "author", "text").where("text is not null")
+    same = cut(holdout.contained(d.withColumnRenamed("rec_id", "key"), works).withColumnRenamed("key", "rec_id"), "contained")  # of known size, so that few are broadcast
+    return holdout.without(d, "url", works).join(same, "rec_id", "left_anti").select("rec_id", "text")
+
+
 @query()
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.token_totals(_sizes(spark, sf_dir), "source", "author")
@@ -35,7 +43,8 @@ def token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def steps_per_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _sizes(spark, sf_dir).agg(F.sum("n_tokens").alias("n_tokens"))
+    """Tokens and steps of the stream that train_batches cuts, with each document's start token."""
+    n = encoding.count_tokens(_training(spark, sf_dir), "rec_id", "text").agg(F.sum(F.col("n_tokens") + 1).alias("n_tokens"))
     return n.select("n_tokens", *[training.steps_per_epoch(F.col("n_tokens"), 2048, b).alias(f"steps_{b}") for b in (16, 32)])
 
 
@@ -188,14 +197,13 @@ def style_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of 8 rows of 256 targets over the held-out pages' tokens, each document after a start token."""
-    held = table(spark, sf_dir, "holdout_works").select("url").distinct()
-    d = docs_of(spark, sf_dir, "rec_id", "url", "text").where("text is not null").join(held, "url", "left_semi").select("rec_id", "text")
-    t = cut(encoding.with_ids(d, "text", first=50256).select("rec_id", "tokens"), "ids")
-    s = training.placed(t.withColumn("n", F.size("tokens")), "rec_id", "n")
+    """Batches of 8 rows of 256 targets over the tokens of all records but what is held out, each document after a start token."""
+    t = cut(encoding.with_ids(_training(spark, sf_dir), "text", first=50256).select("rec_id", "tokens"), "ids")
+    s = cut(training.placed(t.withColumn("n", F.size("tokens")), "rec_id", "n").select("pos", "tokens"), "placed")
     return training.batch_rows(s, "tokens", 256, 8)
 
 
+
 SPECIAL = {"bos": 50256, "user_start": 50257, "user_end": 50258, "assistant_start": 50259, "assistant_end": 50260}
 
 
