@@ -115,6 +115,27 @@ def test_style_classifier_learns(spark):
     assert len(got) == 2 and all(x.auc > 0.9 for x in got)
 
 
+def test_style_folds_keep_clusters_and_leave_out_held_and_verse(spark, tmp_path, monkeypatch):
+    from zrno.plans import model_queries as q
+
+    word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    a, b = word("mlin", 120), word("reka", 120)
+    rows = [(1, "u1", "A", a), (2, "u2", "A", a + " " + word("konec", 40)), (3, None, "A", b), (4, "u4", "B", b), (5, "u5", "A", word("drzan", 100)), (6, "u6", "A", word("drzan", 60)), (7, "u7", "A", "\n".join(word(f"v{i}k", 4) for i in range(40)))]
+    spark.createDataFrame([(*r, "wikivir") for r in rows], "rec_id long, url string, author string, text string, source string").write.parquet(f"{tmp_path}/corpus_docs.parquet")
+    spark.createDataFrame([("u5",)], "url string").write.parquet(f"{tmp_path}/holdout_works.parquet")
+    spark.createDataFrame([(1, "A")], "author_id long, name string").write.parquet(f"{tmp_path}/authors.parquet")
+    seen = []
+
+    def fake(p, text, label, group, family, k):
+        seen.append((family, k, {r.rec_id: r[group] for r in p.collect()}))
+        return spark.range(1)
+
+    monkeypatch.setattr(evaluation, "cross_validate", fake)
+    q.style_folds(spark, str(tmp_path))
+    assert [(f, k) for f, k, _ in seen] == [(f, 5) for f in ("characters", "words", "function_words", "one_spelling")]
+    assert all(g == {1: 1, 2: 1, 3: 3, 4: 4} for _, _, g in seen)
+
+
 def test_stream_and_batches(spark):
     r = random.Random(1)
     rows = [(i, [r.randrange(100) for _ in range(r.randint(1, 30))]) for i in range(40)]

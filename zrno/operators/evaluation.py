@@ -18,6 +18,8 @@ from zrno.session import cut
 SPELLING = (r"([sS])oln([cčCČ])", "$1on$2")
 FUNCTION_WORDS = "je in se da na ne so pa bi ni sem po ki za bil ga še ali kakor mu tudi to tako ko si mi kaj od že iz vse ter zakaj doklej dasi temveč vendar ker dokler čeprav ampak"
 MARGIN, AUC_FLOOR = 1.0, 0.75
+# The families of the ablation.
+FAMILIES = ("characters", "words", "function_words", "one_spelling")
 
 
 def spelling(text: Column) -> Column:

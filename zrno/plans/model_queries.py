@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zrno.functions import encoding
 from zrno.functions import text as tx
-from zrno.operators import chunking, evaluation, holdout, training
+from zrno.operators import chunking, dedup, evaluation, gate, holdout, training
 from zrno.plans.corpus_queries import docs_of, fold, words
 from zrno.plans.registry import query
 from zrno.plans.text_queries import ARCHAIC, RECEIPTS
@@ -175,11 +176,25 @@ def unigram_bpb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.bits_per_byte(s, "nats", "b").select(F.round("bpb", 9).alias("bpb"), F.col("n_bytes").cast("long").alias("n_bytes"))
 
 
-def _style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs_of(spark, sf_dir, "rec_id", "text", "source", "author").where("source = 'wikivir' and author is not null")
-    p = evaluation.style_passages(d.select("rec_id", "text"), "rec_id", "text")
+def _style_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, author, text, label) of prose by known authors without what is held out; label: by the roster's first author."""
+    works = table(spark, sf_dir, "holdout_works")
+    d = docs_of(spark, sf_dir, "rec_id", "url", "text", "source", "author").where("source = 'wikivir' and author is not null and text is not null")
+    same = cut(holdout.contained(d.withColumnRenamed("rec_id", "key"), works).withColumnRenamed("key", "rec_id"), "contained")
     first = F.col("author") == F.lit((table(spark, sf_dir, "authors").where("author_id = 1").select("name").first() or [""])[0])
-    return p.join(d.select("rec_id", first.alias("label")), "rec_id")
+    kept = holdout.without(d, "url", works).join(same, "rec_id", "left_anti").where(~F.coalesce(gate.is_verse(F.col("text")), F.lit(False)))
+    return kept.select("rec_id", "author", "text", first.alias("label"))
+
+
+def _style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = cut(_style_docs(spark, sf_dir), "prose")
+    return evaluation.style_passages(d.select("rec_id", "text"), "rec_id", "text").join(d.select("rec_id", "label"), "rec_id")
+
+
+def _style_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, cluster) of records of one author half contained in one another."""
+    s = dedup.shingle_sets(_style_docs(spark, sf_dir), "rec_id", "text", keep=("author",))
+    return dedup.cluster(dedup.containment_pairs(s, "rec_id", 0.5, part=["author"]), s, "rec_id")
 
 
 @query()
@@ -189,10 +204,10 @@ def style_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def style_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-validated AUC by fold of telling the roster's first author, by characters and by function words."""
-    p = cut(_style(spark, sf_dir), "style")
-    one = lambda f: evaluation.cross_validate(p, "passage", "label", "rec_id", f, k=3).withColumn("family", F.lit(f))
-    return one("characters").union(one("function_words"))
+    """Cross-validated AUC by fold of telling the roster's first author, by each family of features; clusters of near duplicates are kept whole."""
+    p = cut(_style(spark, sf_dir).join(_style_clusters(spark, sf_dir), "rec_id"), "style")
+    one = lambda f: evaluation.cross_validate(p, "passage", "label", "cluster", f, k=5).withColumn("family", F.lit(f))
+    return reduce(DataFrame.union, map(one, evaluation.FAMILIES))
 
 
 @query()
