@@ -159,7 +159,7 @@ def test_training_leaves_out_what_is_held_out(spark, tmp_path):
     enc = tiktoken.Encoding("t", pat_str=encoding.PATTERN, mergeable_ranks=encoding.ranks(), special_tokens={})
     word = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
     rows = [(1, "u1", "A", word("drzan", 300)), (2, None, "A", word("brez", 900)), (3, "u3", "B", word("mlin", 900)), (4, "u4", "A", None), (5, "u5", "A", ""), (6, "u6", "A", word("drzan", 40)), (7, "u1", None, word("tisk", 20))]
-    spark.createDataFrame(rows, "rec_id long, url string, author string, text string").write.parquet(f"{tmp_path}/corpus_docs.parquet")
+    spark.createDataFrame([(*r, "s") for r in rows], "rec_id long, url string, author string, text string, source string").write.parquet(f"{tmp_path}/corpus_docs.parquet")
     spark.createDataFrame([("u1",), (None,)], "url string").write.parquet(f"{tmp_path}/holdout_works.parquet")
     kept = {i: [50256] + enc.encode_ordinary(t) for i, _, _, t in rows if i in (2, 3, 5)}
     n = sum(map(len, kept.values()))
