@@ -61,6 +61,37 @@ def test_foreign_sentences_count_by_letters():
     assert defects.foreign_share("Domače besede. Foreign words here", {"foreign", "words", "here"}) > 0.5
 
 
+def test_refusals_in_many_languages():
+    for s in ("No puedo reescribir este texto.", "К сожалению, я не могу переписать этот текст.", "Niestety nie mogę przepisać tego fragmentu.", "Bohužel nemohu text přepsat, žádost odmítám.", "Sajnos nem tudom átírni ezt a szöveget.", "Não posso reescrever este trecho.", "Ik kan deze tekst helaas niet herschrijven.", "Нажалост, не могу да препишем овај текст.", "Jag kan tyvärr inte skriva om texten.", "Nu pot rescrie acest text."):
+        assert defects.is_refusal("Mlinar gre v mlin.", s), s
+    assert all(k in defects.TRIGGERS for k in defects.REFUSALS)
+
+
+def test_open_delimiters_scripts_and_prefixes():
+    src = "Mlinar reče: „Pojdi domov (po stari cesti) in ne oziraj se več.“ Potem gre spat in dolgo spi do jutra."
+    assert defects.unclosed(src, "Mlinar reče: „Pojdi domov") and defects.unclosed(src, "Pojdi (po cesti.") and not defects.unclosed(src, src)
+    assert not defects.unclosed("Mlinar reče: „Pojdi", "Mlinar pravi: „Pojdi")  # left open by the source too
+    assert defects.is_truncated(src, "Mlinar pravi: „Pojdi domov (po stari cesti) in ne oziraj se več. Potem gre spat")
+    assert defects.is_truncated("", "Potem je mlinar rekel (zelo tiho") and not defects.is_truncated("", "Potem je mlinar rekel zelo tiho")
+    assert defects.new_scripts("Mlin", "Мельница") and not defects.new_scripts("Мельница", "Мельница") and not defects.new_scripts("a", "čšž")
+    a, b = defects.fold(src), defects.fold(src[:60] + " pa se je vse končalo čisto drugače kakor prej.")
+    assert defects.copied_prefix(a, b) and not defects.copied_prefix(a, a) and not defects.copied_prefix(a, defects.fold("Nekaj povsem drugega."))
+
+
+def test_every_defect_is_reported(spark):
+    src = "Stara hiša stoji ob vodi in mlinar hodi po cesti do mlina. Mlada žena čaka pred vrati, otrok pa spi v topli sobi do jutra."
+    rows = [(i, src, "Hiša stoji ob vodi in mlinar gre po cesti do mlina. Žena čaka pred vrati, otrok spi v topli sobi do jutra.", 40) for i in range(20)]
+    rows += [(30, src, "Старый дом стоит у воды, мельник идёт по дороге к мельнице. Молодая жена ждёт у ворот.", 40), (31, src, src[:70] + " odšel je drugam in tam čakal na boljše čase, a jih ni bilo.", 40), (32, src, rows[0][2], 4000), (33, src, None, None)]
+    got = {r[0]: set(r[1]) for r in defects.flag_pairs(spark.createDataFrame(rows, "k long, s string, r string, t long"), "k", "s", "r", "t").collect()}
+    assert got[0] == set() and {"script_mismatch", "other_language"} <= got[30] and "copied_prefix" in got[31] and got[32] == {"token_misfit"} and got[33] == {"empty"}
+
+
+def test_one_pair_alone(spark):
+    src = "Stara hiša stoji ob vodi in mlinar hodi po cesti do mlina, kjer čaka žena."
+    got = defects.flag_pairs(spark.createDataFrame([(1, src, "Stara hiša stoji ob vodi in mlinar koraka po ulici proti mlinu, kjer čaka soproga.")], "k long, s string, r string"), "k", "s", "r").collect()
+    assert got[0].defects == []
+
+
 # --- splits
 
 

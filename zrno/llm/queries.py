@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every triggered defect of each pair, with the logged token count beside the size of the text."""
     t = spread(table(spark, sf_dir, "train_pairs").select("pair_id", "cankar", "plain", "out_tokens"))
-    r = defects.flag_pairs(t, "pair_id", "cankar", "plain")
+    r = defects.flag_pairs(t, "pair_id", "cankar", "plain", "out_tokens")
     return r.join(t.select("pair_id", "out_tokens", F.length("plain").alias("n_chars")), "pair_id").select("pair_id", F.explode_outer("defects").alias("defect"), "out_tokens", "n_chars")
 
 
