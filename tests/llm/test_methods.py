@@ -229,8 +229,8 @@ def test_lines_of_pages():
     x = scans.Layout(text, [], {})
     assert [s for s, p in zip(x.lines, x.page) if p] == ["- 12 -"] and [s for s, h in zip(x.lines, x.head) if h] == ["VEČERNI LISTEK"]
     body = [s for s, e in zip(x.lines, x.edges()) if not e]
-    got, found = scans.join_divided(body, {"prelepo": 9, "severno-zahodni": 7})
-    assert found and "prav prelepo" in got[1] and any("severno-zahodni" in s for s in got)
+    got = scans.join_divided(body, lambda a, mark, b: "-" if scans.parts_of_word(a, b) == ("severno", "zahodni") else "")
+    assert "prav prelepo" in got[1] and any("severno-zahodni" in s for s in got)
     assert scans.paragraphs(got).count("\n\n") == 1
     assert scans.page_number("Stran l2") == 12 and scans.page_number("[7]") == 7 and scans.page_number("lil") is None and scans.page_number("leta 1875") is None
 
@@ -241,6 +241,34 @@ def test_misread_words_are_corrected(spark):
     assert got == {"m1adost": "mladost", "molcro": "mokro", "hisa": "hiša"}
 
 
+def test_division_by_counts_of_both_ways(spark):
+    words = spark.createDataFrame([("prelepo", 1), ("severno-zahodni", 1), ("gozd", 9), ("dolina", 9), ("pre", 50)], "word string, n long")
+    pairs = spark.createDataFrame([("pre", "lepo"), ("severno", "zahodni"), ("gozd", "dolina"), ("mla", "dost")], "a string, b string")
+    assert {(r.a, r.joined) for r in scans.divided(pairs, words).collect()} == {("pre", True), ("severno", False), ("gozd", False), ("mla", True)}
+
+
+def test_confusions_are_learnt(spark):
+    r = random.Random(4)
+    stems = ["".join(r.choice("aeio") if k % 2 else r.choice("bdgklmprstvz") for k in range(8)) for _ in range(120)]
+    often = [(w[:3] + "h" + w[3:], 900) for w in stems[:60]] + [(w[:5] + "u" + w[5:], 700) for w in stems[60:]]
+    rare = [(w[:3] + "b" + w[3:], 2) for w in stems[:25]] + [(w[:5] + "n" + w[5:], 2) for w in stems[60:80]]
+    ends = [(w[:-1] + r.choice("aeiou"), 3) for w, _ in often[:60]]  # inflected words differ at their ends
+    words = spark.createDataFrame(sorted({**dict(ends), **dict(rare), **dict(often)}.items()), "word string, n long")
+    got = scans.confusions(words)
+    assert set(got[len(scans.CONFUSIONS) :]) == {("b", "h"), ("n", "u")}
+    right = dict(scans.corrections(words, pairs=got).collect())
+    assert all(right[w] == o for (w, _), (o, _) in zip(rare[:25], often)) and all(w in right for w, _ in rare)
+
+
+def test_headers_of_many_works_and_misread_ones(spark):
+    body = "Stara hiša stoji ob široki cesti in stari mlinar že\ndolgo sedi pred njo ter gleda lepo dolino, ki se vleče.\n"
+    rows = [(i * 100 + k, f"{body}- {k + 7} -\nVečerni zvon {'abcdefgh'[i % 8]}{'xyzw'[i // 8]}\n{body}") for i in range(30) for k in range(6)]
+    rows += [(9000 + i, f"{body}Večerni zv0n {'abcdefgh'[i % 8]}{'xyzw'[i // 8]}\n{body}") for i in range(30)] + [(9999, f"{body}Povsem druga vrsta\n{body}")]
+    d = spark.createDataFrame([(i, t, None, None) for i, t in rows], "id long, text string, title string, author string")
+    heads = {r.id for r in scans.noise(d, "id", "text", "title", "author").where("noise = 'header'").collect()}
+    assert heads == {i for i, _ in rows} - {9999}
+
+
 # --- packing and mixing
 
 

@@ -1,16 +1,25 @@
 """Noise in text from scanned pages.
 
-Words are counted over all texts. Frequent words, those that make up 2**-19 or more of all, are broadcast; so they are at most
-2**19, whatever the collection's size. Lines that stand beside page numbers in many records make the dictionary of headers,
-bounded in the same way. With both, a pass over the texts finds page numbers, headers and divided words, and lists each text's
-words that aren't frequent.
+Words are counted over all texts, those divided over a line end apart. A pass over the texts finds page numbers, lines that
+name the record's own work or author, lines that break into a sentence, and words divided by a sure mark. What one text can't tell
+goes to SQL, where it meets the counts of all texts:
 
-Misread words are found in SQL: a word's anagram hash is the sum of the fifth powers of its code points, so that mistaking `m` for
-`rn` changes it by the same amount in every word. Rare words, shifted by every confusion they show, are joined with frequent words on the
-hash; the join is checked by carrying out the replacement, and the most frequent variant wins.
+- short lines that may be headers are joined with the lines that stand beside page numbers in five records or more, at least one in
+  twenty of the records that have them. Both are compared with what scanning confuses made one, so misread headers meet too;
+- words divided by a plain hyphen are joined with the counts of both ways of writing, so compounds keep their hyphen;
+- words that aren't frequent are joined with corrections.
 
-The repaired text has edge lines removed, divided words joined by the evidence of the counts (compounds keep their hyphen),
-corrections applied, and wrapped lines joined into paragraphs.
+Misread words: a word's anagram hash is the sum of the fifth powers of its code points, so that mistaking `m` for `rn` changes it by the same
+amount in every word. Confusions are learnt: rare words and words 20 times as frequent that differ in one place give differences; the difference
+that explains most rare words is taken, its words set aside, and so on; a difference is a confusion if it explains a tenth
+as many words as the first, mostly before the word's end, and what is read stands mostly for one thing. Those and a list of known
+ones shift the hashes of rare words, which are joined with frequent words on the hash; the join is checked by carrying out the
+replacement, and the most frequent variant wins.
+
+The repaired text has edge lines removed, divided words joined, corrections applied, and wrapped lines joined into paragraphs.
+
+Broadcast are words that make up 2**-19 or more of all, at most 2**19, only to keep them out of the shuffle; and 2**20 bits
+that tell most lines that are no header's, likewise. Neither changes a result.
 
 Nulls: null and blank texts have no noise; null titles and authors name no header. Empty tables give empty results. Extra columns
 are ignored.
@@ -19,8 +28,10 @@ are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -29,7 +40,7 @@ from pyspark.sql import functions as F
 
 from zrno.session import cut
 
-# What is printed, and what scanning makes of it. Marks and digits within a word need less evidence than letters.
+#: Known confusions: what scanning makes of it, and what is printed. Marks and digits within a word need less evidence than letters.
 CONFUSIONS = (
     ("ri", "n"), ("rn", "m"), ("m", "rn"), ("cl", "d"), ("li", "h"), ("lc", "k"), ("ii", "u"), ("fi", "t"), ("f", "t"), ("f", "s"),
     ("c", "e"), ("c", "č"), ("ć", "č"), ("s", "š"), ("z", "ž"), ("ſ", "s"), ("1", "l"), ("1", "i"), ("0", "o"), ("6", "b"),
@@ -41,7 +52,10 @@ _PAGE = re.compile(rf"(?:\[\s?{_DIGITS}\s?\]|\(\s?{_DIGITS}\s?\)|\*\s?{_DIGITS}\
 _BARE = re.compile(rf"{_DIGITS}\.?")
 _GAP = re.compile(r"\s{3,}|\t+")
 _HYPHEN = re.compile(r"([^\W\d_][^\s]*)([-¬\xad])[ \t]*$")
+_DIVIDED = re.compile(r"[^\W\d_]\S*[-¬\xad][ \t]*\n\s*[^\W\d_A-ZČŠŽĆĐ]\S*")
 _SENTENCE_END = re.compile(r"[.!?…:;,][\"'“”«»)]*$")
+#: Bits of the filter of lines that may be headers.
+BITS = 1 << 20
 KINDS = ("hyphen", "misread", "header", "page_number")
 
 
@@ -81,10 +95,23 @@ def head_key(s: str) -> str:
     return " ".join(s.casefold().split())
 
 
+_SEVERAL = [(a, b) for a, b in (("iii", "m"), ("ri", "n"), ("rn", "m"), ("nn", "m"), ("cl", "d"), ("tl", "d"), ("li", "h"), ("lc", "k"), ("ii", "u"), ("fi", "t"), ("vv", "v"))]
+_ONE = str.maketrans("1l|jfsš5$ſcčćez0o68b9g@a~r^vž", "iiiittttttcccczoobbbggaarrvvz")
+
+
+def same_key(s: str) -> str:
+    """A line with what scanning confuses made one, so that a line and its misread form have the same key."""
+    s = head_key(s)
+    for a, b in _SEVERAL:
+        s = s.replace(a, b)
+    return s.translate(_ONE)
+
+
 class Layout:
     """The lines of a text, told apart."""
 
-    def __init__(self, text: str, names: list[str], heads: dict[int, list[str]]) -> None:
+    def __init__(self, text: str, names: list[str], heads: set[str] | None = None) -> None:
+        """heads: keys of lines that are known to be headers; without them `maybe` lists the lines to be looked up."""
         self.lines = [x.rstrip() for x in text.splitlines()]
         n = len(self.lines)
         sizes = sorted(len(x) for x in self.lines if x)
@@ -121,6 +148,7 @@ class Layout:
         for i in numbers:
             self.page[i] = True
         self.beside: list[tuple[int, str]] = []
+        self.maybe: dict[int, str] = {}
         low = [head_key(x) for x in names if x]
         for i in range(n):
             s = split.get(i) or ("" if self.page[i] else self.lines[i].strip())
@@ -135,17 +163,23 @@ class Layout:
                 self.beside.append((i, s))
             if i:
                 k = head_key(s)
-                if any(alike(k, x) for x in low) or any(alike(k, x) for d in range(-2, 3) for x in heads.get(len(k) + d, ())) or self._breaks_in(i):
+                if any(alike(k, x) for x in low) or self._breaks_in(i):
                     self.head[i] = True
+                elif heads is None:
+                    self.maybe[i] = same_key(s)
+                else:
+                    self.head[i] = bool(heads) and same_key(s) in heads
 
     def _breaks_in(self, i: int) -> bool:
         """A short line that begins anew while the sentence before it goes on after it."""
         s = self.lines[i].strip()
-        if self.width < 25 or len(s) > 0.7 * self.width or not s[0].isupper():
+        if self.width < 25 or not s[0].isupper():
             return False
         before = next((self.lines[k].rstrip() for k in range(i - 1, max(-1, i - 4), -1) if self.lines[k].strip() and not self.page[k]), "")
         after = next((x.lstrip() for k, x in enumerate(self.lines[i + 1 : i + 4], i + 1) if x.strip() and not self.page[k]), "")
-        return bool(before) and len(before) > 0.6 * self.width and not _SENTENCE_END.search(before) and after[:1].islower()
+        if _HYPHEN.search(before) and after[:1].islower():
+            return True  # a divided word never goes on with a capital line
+        return len(s) <= 0.7 * self.width and bool(before) and len(before) > 0.6 * self.width and not _SENTENCE_END.search(before) and after[:1].islower()
 
     def edges(self) -> list[bool]:
         return [a or b for a, b in zip(self.page, self.head)]
@@ -171,9 +205,10 @@ def _count(names: list[str]):
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                raw.update(t.lower().split())
                 if "\n" in t:
-                    heads.update({head_key(s) for _, s in Layout(t, [], {}).beside})
+                    heads.update({same_key(s) for _, s in Layout(t, [], set()).beside})
+                    t = _DIVIDED.sub(" ", t)
+                raw.update(t.lower().split())
             if len(raw) > 500_000:
                 yield flush()
         yield flush()
@@ -192,78 +227,143 @@ def _fifth(x: Column) -> Column:
     return x2 * x2 % p * x % p
 
 
-def corrections(words: DataFrame, least: int = 5) -> DataFrame:
+def _replaced(word: str, a: Column, b: Column, right: Column) -> Column:
+    """Whether carrying out a -> b at some place of the word gives `right`."""
+    at = F.sequence(F.lit(1), F.length(word) - F.length(a) + 1)
+    return F.exists(at, lambda i: (F.substring(word, i, F.length(a)) == a) & (F.concat(F.substring(word, F.lit(1), i - 1), b, F.substring(word, i + F.length(a), F.length(word))) == right))
+
+
+def differences(words: DataFrame, ratio: int = 20) -> DataFrame:
+    """(word, a, b, m, inner) of rare words (word, n) that differ from one `ratio` times as frequent (m) in one place only: a, of up to three letters, stands for b, of up to two. a is of ASCII characters: others are what a wrong encoding makes of letters.
+
+    A word less a part, by what stands before and after it, is what both words share; inner: whether the word goes on for two letters or more.
+    """
+    parts = lambda most: F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.length("word") - i + 1)), lambda k: F.struct(F.substring("word", F.lit(1), i - 1).alias("pre"), F.substring("word", i, k).alias("part"), F.substring("word", i + k, F.length("word")).alias("post"))))))
+    ok = words.where("length(word) between 4 and 40")
+    often = ok.where(f"n >= {ratio}").select("n", parts(2).alias("x")).select(F.col("n").alias("m"), "x.pre", "x.post", F.col("x.part").alias("b"))
+    rare = ok.select("word", "n", parts(3).alias("x")).select("word", "n", "x.pre", "x.post", F.col("x.part").alias("a"))
+    j = rare.join(often, ["pre", "post"]).where(f"a <> b and m >= {ratio} * n and (length(a) = 1 or length(b) = 1) and a rlike '^[ -~]+$'")
+    return j.groupBy("word", "a", "b").agg(F.max("m").alias("m"), F.max((F.length("post") >= 2).cast("int")).alias("inner"))
+
+
+def confusions(words: DataFrame, known: tuple[tuple[str, str], ...] = CONFUSIONS, rounds: int = 12, share: float = 0.1) -> list[tuple[str, str]]:
+    """The known confusions and those that the words show. Only counts by difference, a row for each pair of parts, are looked at on the driver: the largest, one a round."""
+    d = cut(differences(words), "differences")
+    old = d.sparkSession.createDataFrame(list(known), "a string, b string")
+    by = d.join(F.broadcast(old), ["a", "b"]).groupBy("a", "b").agg(F.countDistinct("word").alias("k"))
+    first = by.agg(F.max("k")).first()[0] or 0
+    d = cut(d.join(d.join(F.broadcast(old), ["a", "b"]).select("word").distinct(), "word", "left_anti"), "unexplained")
+    out = list(known)
+    for _ in range(rounds):
+        of = d.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"), F.sum("inner").alias("inner"))
+        every = d.groupBy("a").agg(F.countDistinct("word").alias("every"))
+        good = of.where(f"k >= {max(3, share * first)} and inner >= 0.5 * k").join(every, "a").where("k >= 0.5 * every")
+        best = good.orderBy(F.desc("k"), "a", "b").first()
+        if best is None:
+            break
+        first = max(first, best.k)
+        out.append((best.a, best.b))
+        d = cut(d.join(d.where((F.col("a") == best.a) & (F.col("b") == best.b)).select("word").distinct(), "word", "left_anti"), "unexplained")
+    return out
+
+
+def corrections(words: DataFrame, least: int = 5, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """(word, right): rare words (word, n) that a confusion ties to a much more frequent one.
 
     The frequent word must stand 20 times as often where letters are mistaken for letters, twice where marks or digits are.
     """
     fifth = lambda s: sum(pow(ord(c), 5, (1 << 31) - 1) for c in s)
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(2 if not a.isalpha() or a == "ſ" else 20).alias("ratio"), F.lit(fifth(b) - fifth(a)).cast("long").alias("shift")) for a, b in CONFUSIONS]
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(2 if not a.isalpha() or a == "ſ" else 20).alias("ratio"), F.lit(fifth(b) - fifth(a)).cast("long").alias("shift")) for a, b in (pairs or CONFUSIONS)]
     hashed = cut(words.where(F.length("word") >= 3).withColumn("h", anagram_hash(F.col("word"))), "hashed")
     shown = F.filter(F.array(*rows), lambda c: F.contains(F.col("word"), c.a))
     rare = hashed.select("word", "n", "h", F.explode(shown).alias("c")).select("word", "n", "c.a", "c.b", "c.ratio", (F.col("h") + F.col("c.shift")).alias("h"))
     often = hashed.where(f"n >= {least}").select(F.col("word").alias("right"), F.col("n").alias("m"), "h")
     j = rare.join(often, "h").where("m >= ratio * n and right <> word")
-    at = F.sequence(F.lit(1), F.length("word") - F.length("a") + 1)
-    fits = F.exists(at, lambda i: (F.substring("word", i, F.length("a")) == F.col("a")) & (F.concat(F.substring("word", F.lit(1), i - 1), F.col("b"), F.substring("word", i + F.length("a"), F.length("word"))) == F.col("right")))
-    first = cut(j.where(fits).groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right")), "corrections")
+    first = cut(j.where(_replaced("word", F.col("a"), F.col("b"), F.col("right"))).groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right")), "corrections")
     again = first.select(F.col("word").alias("right"), F.col("right").alias("further"))  # two confusions in one word
     return first.join(again, "right", "left").select("word", F.coalesce("further", "right").alias("right"))
 
 
-def divided(a: str, mark: str, b: str, known: dict[str, int]) -> bool:
-    """Whether a word's parts about a mark at a line end are one word, by the counts of both ways of writing."""
-    a, b = a.lower().lstrip(_EDGE), b.lower().rstrip(_EDGE)
-    if mark != "-":
-        return True
-    whole, compound = known.get(a + b, 0), known.get(a + "-" + b, 0)
-    if whole or compound:
-        return whole >= compound
-    return not (len(a) > 3 and len(b) > 3 and a in known and b in known)
+def parts_of_word(a: str, b: str) -> tuple[str, str]:
+    """The two parts of a divided word as they are counted."""
+    return a.lower().lstrip(_EDGE), b.lower().rstrip(_EDGE)
+
+
+def divided(pairs: DataFrame, words: DataFrame, least: int = 5) -> DataFrame:
+    """(a, b, joined) of distinct pairs (a, b) of parts about a hyphen at a line end: one word if that is written no less often than the compound; where neither is, unless both parts are words of four letters or more that are seen `least` times."""
+    forms = F.array(F.struct(F.lit("whole").alias("form"), F.concat("a", "b").alias("word")), F.struct(F.lit("compound").alias("form"), F.concat_ws("-", "a", "b").alias("word")), F.struct(F.lit("a").alias("form"), F.col("a").alias("word")), F.struct(F.lit("b").alias("form"), F.col("b").alias("word")))
+    e = pairs.select("a", "b", F.explode(forms).alias("f")).select("a", "b", "f.form", "f.word").join(words, "word", "left")
+    n = lambda f: F.coalesce(F.max(F.when(F.col("form") == f, F.col("n"))), F.lit(0)).alias(f"n_{f}")
+    g = e.groupBy("a", "b").agg(*[n(f) for f in ("whole", "compound", "a", "b")])
+    two = (F.length("a") > 3) & (F.length("b") > 3) & (F.col("n_a") >= least) & (F.col("n_b") >= least)
+    return g.select("a", "b", F.when(F.col("n_whole") + F.col("n_compound") > 0, F.col("n_whole") >= F.col("n_compound")).otherwise(~two).alias("joined"))
 
 
-def _scan(known_bc, heads_bc, full: bool):
+_LATER = "\x01"  # stands within a word whose division SQL decides
+
+
+def _scan(known_bc, bits_bc):
+    part = pa.list_(pa.string())
+    pair = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))
+    line = pa.list_(pa.struct([("key", pa.string()), ("odd", part)]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, heads = known_bc.value, heads_bc.value
+        known, bits = known_bc.value, bits_bc.value
         sound: set[str] = set()
+
+        def odd_words(t: str) -> set[str]:
+            out = set()
+            for raw in set(t.lower().split()) - sound:
+                w = raw.strip(_EDGE)
+                if len(w) < 3 or w in known:
+                    if len(sound) < 500_000:
+                        sound.add(raw)
+                elif _LATER not in w:
+                    out.add(w)
+            return out
+
         for b in batches:
-            ids, kinds, odd = [], [], []
+            ids, kinds, odd, joins, heads = [], [], [], [], []
             for i, t, title, author in zip(*(b.column(k).to_pylist() for k in range(4))):
-                names = [title, author, f"{author}: {title}" if title and author else None]
-                got, words = set(), set()
+                got: set[str] = set()
+                pairs: set[tuple[str, str]] = set()
+                lines: dict[str, set[str]] = {}
                 if "\n" in t:
-                    x = Layout(t, names, heads)
+                    x = Layout(t, [title, author, f"{author}: {title}" if title and author else None])
                     edge = x.edges()
                     if any(x.page):
                         got.add("page_number")
                     if any(x.head):
                         got.add("header")
-                    body = [s for s, e in zip(x.lines, edge) if not e]
-                    joined, got_hyphen = join_divided(body, known)
-                    if got_hyphen:
-                        got.add("hyphen")
-                    t = "\n".join(joined)
-                fresh = set(t.lower().split()) - sound
-                for raw in fresh:
-                    w = raw.strip(_EDGE)
-                    if len(w) < 3 or w in known:
-                        if len(sound) < 500_000:
-                            sound.add(raw)
-                    else:
-                        words.add(w)
-                if got or words:
+                    for k, key in x.maybe.items():
+                        z = zlib.crc32(key.encode()) & (BITS - 1)
+                        if bits[z >> 3] >> (z & 7) & 1:
+                            edge[k] = True
+                            lines.setdefault(key, set()).update(odd_words(x.lines[k]))
+
+                    def decide(p: str, mark: str, q: str, got=got, pairs=pairs) -> str:
+                        if mark != "-":
+                            got.add("hyphen")
+                            return ""
+                        pairs.add(parts_of_word(p, q))
+                        return _LATER
+
+                    t = "\n".join(join_divided([s for s, e in zip(x.lines, edge) if not e], decide))
+                words = odd_words(t)
+                if got or words or pairs or lines:
                     ids.append(i)
                     kinds.append(sorted(got))
                     odd.append(sorted(words))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(kinds, pa.list_(pa.string())), pa.array(odd, pa.list_(pa.string()))], names=["id", "kinds", "odd"])
+                    joins.append([{"a": p, "b": q} for p, q in sorted(pairs)])
+                    heads.append([{"key": k, "odd": sorted(v)} for k, v in sorted(lines.items())])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(kinds, part), pa.array(odd, part), pa.array(joins, pair), pa.array(heads, line)], names=["id", "kinds", "odd", "joins", "lines"])
 
     return run
 
 
-def join_divided(body: list[str], known: dict[str, int]) -> tuple[list[str], bool]:
-    """Lines with divided words joined at the line end; compounds that own their hyphen are joined with it."""
+def join_divided(body: list[str], decide: Callable[[str, str, str], str]) -> list[str]:
+    """Lines with divided words joined at the line end by what `decide` makes of their parts and mark: nothing, or the hyphen of a compound."""
     out: list[str] = []
-    found = False
     i = 0
     body = list(body)
     while i < len(body):
@@ -277,11 +377,7 @@ def join_divided(body: list[str], known: dict[str, int]) -> tuple[list[str], boo
             w = re.match(r"[^\s]+", nxt)
             if w and (w[0][0].islower() or not w[0][0].isalpha()) and w[0][0] not in "0123456789–—-[(*":
                 a = re.search(r"[^\s]+$", line[: m.end(1)])[0]
-                if divided(a, m[2], w[0], known):
-                    found = True
-                    line = line[: m.end(1)] + w[0]
-                else:
-                    line = line[: m.end(1)] + "-" + w[0]
+                line = line[: m.end(1)] + decide(a, m[2], w[0]) + w[0]
                 body[j] = nxt[w.end() :].lstrip()
                 body[i] = line
                 if not body[j] and not _HYPHEN.search(line):
@@ -291,7 +387,7 @@ def join_divided(body: list[str], known: dict[str, int]) -> tuple[list[str], boo
                     continue
         out.append(body[i])
         i += 1
-    return out, found
+    return out
 
 
 def paragraphs(lines: list[str]) -> str:
@@ -313,48 +409,43 @@ def paragraphs(lines: list[str]) -> str:
     return "\n\n".join(out)
 
 
-def _repair(known_bc, heads_bc):
-    word = re.compile(r"[^\s" + re.escape(_EDGE.replace(" ", "")) + r"]+(?:[^\s]*[^\s" + re.escape(_EDGE.replace(" ", "")) + r"])?")
+def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    edge = re.escape(_EDGE.replace(" ", ""))
+    word = re.compile(r"[^\s" + edge + r"]+(?:[^\s]*[^\s" + edge + r"])?")
+    for b in batches:
+        ids, texts = [], []
+        for i, t, title, author, fixes, heads, pairs in zip(*(b.column(k).to_pylist() for k in range(7))):
+            x = Layout(t, [title, author, f"{author}: {title}" if title and author else None], set(heads or ()))
+            own = {(p["a"], p["b"]) for p in pairs or () if not p["joined"]}
+            body = join_divided([s for s, e in zip(x.lines, x.edges()) if not e], lambda p, mark, q, own=own: "-" if mark == "-" and parts_of_word(p, q) in own else "")
+            right = {f["word"]: f["right"] for f in fixes or ()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, heads = known_bc.value, heads_bc.value
-        for b in batches:
-            ids, texts = [], []
-            for i, t, title, author, fixes in zip(*(b.column(k).to_pylist() for k in range(5))):
-                x = Layout(t, [title, author, f"{author}: {title}" if title and author else None], heads)
-                body, _ = join_divided([s for s, e in zip(x.lines, x.edges()) if not e], known)
-                right = {f["word"]: f["right"] for f in fixes or []}
-
-                def fix(m: re.Match, right=right) -> str:
-                    w = m[0]
-                    r = right.get(w.lower())
-                    if r is None:
-                        return w
-                    return r.upper() if w.isupper() and len(w) > 1 else r[0].upper() + r[1:] if w[0].isupper() else r
-
-                text = paragraphs(body)
-                ids.append(i)
-                texts.append(word.sub(fix, text) if right else text)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(texts, pa.string())], names=["id", "repaired"])
+            def fix(m: re.Match, right=right) -> str:
+                w = m[0]
+                r = right.get(w.lower())
+                if r is None:
+                    return w
+                return r.upper() if w.isupper() and len(w) > 1 else r[0].upper() + r[1:] if w[0].isupper() else r
 
-    return run
+            text = paragraphs(body)
+            ids.append(i)
+            texts.append(word.sub(fix, text) if right else text)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(texts, pa.string())], names=["id", "repaired"])
 
 
-def _learn(d: DataFrame):
-    """(corrections, broadcast frequent words without those that are corrected, broadcast headers by length)."""
-    spark = d.sparkSession
-    counts = cut(d.select("text").mapInArrow(_count(["kind", "key", "n"]), "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counts.where("kind = 'w'").select(F.col("key").alias("word"), "n")
-    total = {r[0]: int(r[1]) for r in counts.groupBy("kind").agg(F.sum("n")).collect()}
-    right = cut(corrections(words), "right")
-    often = words.where(F.col("n") >= max(5, total.get("w", 0) >> 19)).join(right, "word", "left_anti")
-    known = {r[0]: r[1] for r in often.toLocalIterator()}
-    heads: dict[int, list[str]] = {}
-    few = counts.where("kind = 'h'").where(F.col("n") >= max(5, total.get("h", 0) >> 12))
-    for r in few.toLocalIterator():
-        heads.setdefault(len(r[1]), []).append(r[1])
-    sc = spark.sparkContext
-    return right, sc.broadcast(known), sc.broadcast(heads)
+@dataclass
+class Found:
+    """What the passes and joins found: seen (id, kinds), heads (id, key), joins (id, a, b, joined), fixes (id, word, right)."""
+
+    seen: DataFrame
+    heads: DataFrame
+    joins: DataFrame
+    fixes: DataFrame
+
+    def kinds(self) -> DataFrame:
+        """(id, noise)"""
+        of = lambda d, k: d.select("id", F.lit(k).alias("noise"))
+        return self.seen.select("id", F.explode("kinds").alias("noise")).union(of(self.heads, "header")).union(of(self.joins.where("joined"), "hyphen")).union(of(self.fixes, "misread")).distinct()
 
 
 def _prepare(df: DataFrame, key: str, text: str, title: str, author: str) -> DataFrame:
@@ -362,29 +453,45 @@ def _prepare(df: DataFrame, key: str, text: str, title: str, author: str) -> Dat
     return d.where("text is not null and trim(text) <> ''")
 
 
-def _found(d: DataFrame) -> tuple[DataFrame, DataFrame, object, object]:
-    right, known, heads = _learn(d)
+def _found(d: DataFrame, least: int = 5, share: float = 0.05) -> Found:
+    """least, share: a header stands beside page numbers in so many records, and in such a share of those that have the line."""
+    sc = d.sparkSession.sparkContext
+    counts = cut(d.select("text").mapInArrow(_count(["kind", "key", "n"]), "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    words = counts.where("kind = 'w'").select(F.col("key").alias("word"), "n")
+    total = int(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    right = cut(corrections(words, pairs=confusions(words)), "right")
+    often = words.where(F.col("n") >= max(5, total >> 19)).join(right, "word", "left_anti").select("word")
+    known = sc.broadcast({r[0] for r in often.toLocalIterator()})
+    headers = counts.where("kind = 'h'").where(F.col("n") >= least).select("key", "n")
+    bits = bytearray(BITS >> 3)
+    for r in headers.select((F.crc32(F.encode("key", "utf-8")) % BITS).cast("int").alias("z")).distinct().toLocalIterator():  # BITS at most
+        bits[r[0] >> 3] |= 1 << (r[0] & 7)
     kind = dict(d.dtypes)["id"]
-    seen = cut(d.mapInArrow(_scan(known, heads, False), f"id {kind}, kinds array<string>, odd array<string>"), "scanned")
-    odd = seen.select("id", F.explode("odd").alias("word"))
-    fixes = cut(odd.join(right, "word"), "fixes")
-    return seen, fixes, known, heads
+    out = f"id {kind}, kinds array<string>, odd array<string>, joins array<struct<a:string,b:string>>, lines array<struct<key:string,odd:array<string>>>"
+    seen = cut(d.mapInArrow(_scan(known, sc.broadcast(bytes(bits))), out), "scanned")
+    lines = seen.where(F.size("lines") > 0).select("id", F.explode("lines").alias("x")).select("id", "x.key", "x.odd")
+    have = lines.groupBy("key").agg(F.count(F.lit(1)).alias("have"))
+    sure = headers.join(have, "key").where(F.col("n") >= share * (F.col("n") + F.col("have"))).select("key")
+    lines = cut(lines.join(sure.withColumn("sure", F.lit(True)), "key", "left"), "lines")
+    joins = seen.where(F.size("joins") > 0).select("id", F.explode("joins").alias("x")).select("id", "x.a", "x.b")
+    joins = cut(joins.join(divided(joins.select("a", "b").distinct(), words), ["a", "b"]), "joins")
+    odd = seen.select("id", F.explode("odd").alias("word")).union(lines.where("sure is null").select("id", F.explode("odd")))
+    odd = odd.union(joins.select("id", F.when(F.col("joined"), F.concat("a", "b")).otherwise(F.concat_ws("-", "a", "b"))))
+    return Found(seen.select("id", "kinds"), lines.where("sure").select("id", "key"), joins, cut(odd.join(right, "word").distinct(), "fixes"))
 
 
 def noise(df: DataFrame, key: str, text: str, title: str, author: str) -> DataFrame:
     """(key, noise): one row per record and kind of noise: hyphen, misread, header or page_number."""
-    seen, fixes, _, _ = _found(_prepare(df, key, text, title, author))
-    edge = seen.select("id", F.explode("kinds").alias("noise"))
-    return edge.union(fixes.select("id").distinct().select("id", F.lit("misread").alias("noise"))).withColumnRenamed("id", key)
+    return _found(_prepare(df, key, text, title, author)).kinds().withColumnRenamed("id", key)
 
 
 def repair(df: DataFrame, key: str, text: str, title: str, author: str, also: DataFrame | None = None) -> DataFrame:
     """(key, repaired): readable text of the records that have noise, and of those whose keys are in `also`."""
     d = _prepare(df, key, text, title, author)
-    seen, fixes, known, heads = _found(d)
-    ids = seen.where(F.size("kinds") > 0).select("id").union(fixes.select("id"))
+    f = _found(d)
+    ids = f.kinds().select("id")
     if also is not None:
         ids = ids.union(also.select(F.col(key).alias("id")))
-    by = fixes.groupBy("id").agg(F.collect_list(F.struct("word", "right")).alias("fixes"))
-    j = d.join(ids.distinct(), "id").join(by, "id", "left").select("id", "text", "title", "author", "fixes")
-    return j.mapInArrow(_repair(known, heads), f"id {dict(d.dtypes)['id']}, repaired string").withColumnRenamed("id", key)
+    lists = lambda t, x, name: t.groupBy("id").agg(F.collect_list(x).alias(name))
+    j = d.join(ids.distinct(), "id").join(lists(f.fixes, F.struct("word", "right"), "fixes"), "id", "left").join(lists(f.heads, F.col("key"), "heads"), "id", "left").join(lists(f.joins, F.struct("a", "b", "joined"), "pairs"), "id", "left")
+    return j.select("id", "text", "title", "author", "fixes", "heads", "pairs").mapInArrow(_repair, f"id {dict(d.dtypes)['id']}, repaired string").withColumnRenamed("id", key)
