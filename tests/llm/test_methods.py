@@ -4,6 +4,7 @@ import heapq
 import itertools
 import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -98,13 +99,33 @@ def test_one_pair_alone(spark):
 @given(st.lists(st.tuples(st.integers(1, 30), st.sampled_from("ab"), st.integers(1, 40)), min_size=1, max_size=12, unique_by=lambda x: x[:2]))
 @settings(max_examples=40, deadline=None)
 def test_allocation_is_whole_and_near_its_quotas(bundles):
-    got = splits.allocate(bundles, {"train": 0.8, "validation": 0.1, "test": 0.1})
+    got, _ = splits.allocate(bundles, {"train": 0.8, "validation": 0.1, "test": 0.1})
     assert all(sum(got[s, x]) == n for s, x, n in bundles)
     total, big = sum(s * n for s, _, n in bundles), max(s for s, _, _ in bundles)
     for k, q in enumerate((0.8, 0.1, 0.1)):
         assert abs(sum(s * got[s, x][k] for s, x, _ in bundles) - q * total) <= 3 * big + 2
 
 
+def test_heavy_components_are_in_the_flow():
+    heavy = [(3000, "a"), (1200, "b"), (900, "a"), (700, "b"), (400, "a")]
+    bundles = [(1, "a", 2000), (1, "b", 1500), (7, "b", 40), (20, "a", 1)]
+    got, where = splits.allocate(bundles, {"train": 0.8, "validation": 0.1, "test": 0.1}, heavy)
+    total = sum(n for n, _ in heavy) + sum(s * n for s, _, n in bundles)
+    for k, q in enumerate((0.8, 0.1, 0.1)):
+        assert abs(sum(n for (n, _), w in zip(heavy, where) if w == k) + sum(s * got[s, x][k] for s, x, _ in bundles) - q * total) <= 20
+    assert where[0] == where[1] == 0  # larger than the small quotas
+
+
+def test_very_many_bundles_are_fast():
+    r = random.Random(1)
+    sizes = {(r.randint(1, 10**6), f"p{r.randrange(200)}"): r.randint(1, 50) for _ in range(100_000)}
+    t = time.time()
+    got, _ = splits.allocate([(s, x, n) for (s, x), n in sizes.items()], {"train": 0.8, "validation": 0.1, "test": 0.1})
+    assert time.time() - t < 60 and all(sum(got[k]) == n for k, n in sizes.items())
+    total = sum(s * n for (s, _), n in sizes.items())
+    assert all(abs(sum(s * x[k] for (s, _), x in got.items()) / total - q) < 0.001 for k, q in enumerate((0.8, 0.1, 0.1)))
+
+
 def test_flow_finds_the_least_cost():
     r = random.Random(1)
     for _ in range(20):

@@ -2,9 +2,13 @@
 
 Records are tied by the roster author their author value means, and by the page their url means; ties chain. Pages are first
 reduced to the authors they join, so that the graph whose components are found has authors as its only nodes, whatever the
-number of records. Components of one size and label form a bundle; a min-cost flow over bundles and splits, with costs for
-deviating from the quotas by split and by label, gives shares that are rounded to whole components; members are told apart by
-the rank of a hash.
+number of records. Components of one size and label profile (the commonest label, its share in quarters, the next label) form a bundle;
+a component above a 500th of all is a bundle by itself. A min-cost flow over bundles and splits, with costs for deviating from the
+quotas by split and by profile within a split, gives shares that are rounded to whole components, the largest first; what the large
+ones take is then given to the flow of the others. Members of a bundle are told apart by the rank of a hash.
+
+To the driver come a bounded number of bundles: sizes above 256 are told apart by a sixteenth of a power of two, and profiles beyond the 256
+commonest share one.
 
 Nulls: a null or unknown author and a null or blank url tie nothing; a record without ties is a component by itself. Repeated
 rows are records of their own, with the same ties. Empty tables give empty results. Extra columns are ignored.
@@ -25,7 +29,7 @@ from pyspark.sql import types as T
 from zrno.operators.components import connected_components, ranked
 from zrno.session import cut
 
-# Forms that stand for an unknown author, folded.
+#: Forms that stand for an unknown author, folded.
 PLACEHOLDERS = ("", "?", "-", "—", "–", "n n", "nn", "n.n.", "neznan", "neznani avtor", "neznana avtorica", "anonimno", "anonim", "anonymous", "unknown", "brez avtorja", "ur", "ured", "uredništvo", "več avtorjev", "razni", "razni avtorji")
 _YEARS = re.compile(r"[(\[]?\s*(?:\*|ok\.\s*)?(\d{3,4})?\s*[-–—/]\s*(?:†\s*)?(\d{3,4})?\s*[)\]]?\s*$")
 
@@ -159,90 +163,119 @@ class Flow:
                 total += f * self.cost[e]
 
 
-def allocate(bundles: list[tuple[int, str, int]], shares: dict[str, float], split_cost: int = 20, label_cost: int = 3) -> dict[tuple[int, str], list[int]]:
-    """{(size, label): components for each split} for bundles (size, label, count).
+def quotas(n: int, shares: list[float]) -> list[int]:
+    """n in whole parts by shares, largest remainders first."""
+    raw = [n * x for x in shares]
+    q = [int(x) for x in raw]
+    for k in sorted(range(len(raw)), key=lambda k: q[k] - raw[k])[: n - sum(q)]:
+        q[k] += 1
+    return q
 
-    Components above a 500th of all records are placed whole, largest first, where most room is; the flow shares out the rest.
-    Deviating by a record from a split's quota costs split_cost, from the quota of a label within a split label_cost. Flows are
-    rounded down to whole components; what is left goes, largest first, where most is missing.
-    """
-    names = list(shares)
-    total = sum(s * n for s, _, n in bundles)
-    heavy = [x for x in sorted(bundles, reverse=True) if x[0] * 500 > total]
-    got: dict[tuple[int, str], list[int]] = {}
-    placed = [0] * len(names)
-    for size, label, n in heavy:
-        got[size, label] = [0] * len(names)
-        for _ in range(n):
-            k = max(range(len(names)), key=lambda k: (total * shares[names[k]] - placed[k], -k))
-            got[size, label][k] += 1
-            placed[k] += size
-    bundles = [x for x in bundles if x[0] * 500 <= total]
-    rest = sum(s * n for s, _, n in bundles)
-    room = [max(0.0, total * shares[k] - p) for k, p in zip(names, placed)]
-    shares = {k: r / (sum(room) or 1) for k, r in zip(names, room)}
-    total = rest
-    labels = sorted({label for _, label, _ in bundles})
-    of_label = {x: sum(s * n for s, label, n in bundles if label == x) for x in labels}
-
-    def quotas(n: int) -> list[int]:
-        raw = [n * shares[k] for k in names]
-        q = [int(x) for x in raw]
-        for k in sorted(range(len(names)), key=lambda k: q[k] - raw[k])[: n - sum(q)]:
-            q[k] += 1
-        return q
-
-    j, b = len(names), len(bundles)
-    node = {(x, k): 2 + b + i * j + k for i, x in enumerate(labels) for k in range(j)}
-    end = 2 + b + len(labels) * j
-    flow = Flow(end + j)
+
+def flows(masses: list[tuple[str, int, list[int]]], want: list[int], of_profile: dict[str, list[int]], split_cost: int, profile_cost: int) -> list[list[int]]:
+    """Records of each bundle (profile, records, splits it may go to) for each split, at the least cost: split_cost for a record beyond a split's quota, profile_cost for one beyond a profile's quota within a split."""
+    j, b, names = len(want), len(masses), sorted(of_profile)
+    node = {(x, k): 2 + b + i * j + k for i, x in enumerate(names) for k in range(j)}
+    end = 2 + b + len(names) * j
+    flow, total = Flow(end + j), sum(n for _, n, _ in masses)
     arcs = {}
-    for i, (size, label, n) in enumerate(bundles):
-        flow.arc(0, 2 + i, size * n, 0)
-        for k in range(j):
-            arcs[i, k] = flow.arc(2 + i, node[label, k], size * n, 0)
-    for x in labels:
-        for k, q in enumerate(quotas(of_label[x])):
+    for i, (profile, n, may) in enumerate(masses):
+        flow.arc(0, 2 + i, n, 0)
+        for k in may:
+            arcs[i, k] = flow.arc(2 + i, node[profile, k], n, 0)
+    for x in names:
+        for k, q in enumerate(of_profile[x]):
             flow.arc(node[x, k], end + k, q, 0)
-            flow.arc(node[x, k], end + k, total, label_cost)
-    want = quotas(total)
+            flow.arc(node[x, k], end + k, total, profile_cost)
     for k, q in enumerate(want):
         flow.arc(end + k, 1, q, 0)
         flow.arc(end + k, 1, total, split_cost)
     flow.solve(0, 1)
-    left = []
-    missing = list(want)
-    lacking = {x: quotas(of_label[x]) for x in labels}
-    for i, (size, label, n) in enumerate(bundles):
-        x = [flow.cap[arcs[i, k] ^ 1] // size for k in range(j)]
-        got[size, label] = x
+    return [[flow.cap[arcs[i, k] ^ 1] if (i, k) in arcs else 0 for k in range(j)] for i in range(b)]
+
+
+def allocate(bundles: list[tuple[float, str, int]], shares: dict[str, float], heavy: list[tuple[int, str]] = [], split_cost: int = 20, profile_cost: int = 3) -> tuple[dict[tuple[float, str], list[int]], list[int]]:  # noqa: B006
+    """({(size, profile): components for each split}, [split of each heavy component]) for bundles (mean size, profile, count) and heavy components (size, profile).
+
+    All are in one flow; a heavy component may go to splits whose quota holds it, else to the largest. Heavy ones are rounded
+    first, to the split that most of their records flow to; a second flow shares out the others over what is left. Bundles of one profile
+    are alike to the flow, so it has one node for each profile; their components are then dealt whole, the largest first.
+    """
+    part = list(shares.values())
+    j = len(part)
+    light: dict[str, float] = {}
+    for size, profile, n in bundles:
+        light[profile] = light.get(profile, 0) + size * n
+    mass = {x: round(m) for x, m in light.items()}
+    every = dict(mass)
+    for size, profile in heavy:
+        every[profile] = every.get(profile, 0) + size
+    want = quotas(sum(every.values()), part)
+    of_profile = {x: quotas(m, part) for x, m in every.items()}
+    big = max(range(j), key=lambda k: want[k])
+    order = sorted(range(len(heavy)), key=lambda i: (-heavy[i][0], heavy[i][1], i))
+    where = [big] * len(heavy)
+    if heavy:
+        may = [[k for k in range(j) if heavy[i][0] <= want[k]] or [big] for i in order]
+        names = sorted(mass)
+        got = flows([(heavy[i][1], heavy[i][0], m) for i, m in zip(order, may)] + [(x, mass[x], list(range(j))) for x in names], want, of_profile, split_cost, profile_cost)
+        room = list(want)
+        for i, m, f in zip(order, may, got):
+            size, profile = heavy[i]
+            fits = [k for k in m if room[k] >= size] or m
+            where[i] = k = max(fits, key=lambda k: (f[k], room[k], -k))
+            room[k] -= size
+            of_profile[profile][k] -= size
+        want = room
+    rest = [max(0, x) for x in want]
+    of_light = {x: [max(0, q) for q in of_profile[x]] for x in mass}
+    names = sorted(mass)
+    share = dict(zip(names, flows([(x, mass[x], list(range(j))) for x in names], rest, of_light, split_cost, profile_cost)))
+    out: dict[tuple[float, str], list[int]] = {}
+    missing = {x: [float(q) for q in f] for x, f in share.items()}
+    lacking = [float(sum(f[k] for f in share.values())) for k in range(j)]
+    for size, profile, n in sorted(bundles, key=lambda r: (-r[0], r[1])):
+        lack = missing[profile]
+        have = sum(max(0.0, x) for x in lack)
+        x = [int(n * max(0.0, y) / have) if have else 0 for y in lack]
         for k in range(j):
-            missing[k] -= x[k] * size
-            lacking[label][k] -= x[k] * size
-        left.append((size, label, n - sum(x)))
-    for size, label, n in sorted(left, reverse=True):
-        for _ in range(n):  # fewer than the number of splits
-            k = min(range(j), key=lambda k: (split_cost * (abs(missing[k] - size) - abs(missing[k])) + label_cost * (abs(lacking[label][k] - size) - abs(lacking[label][k])), k))
-            got[size, label][k] += 1
-            missing[k] -= size
-            lacking[label][k] -= size
-    return got
-
-
-def assign_splits(tied: DataFrame, shares: dict[str, float], seed: int = 1) -> DataFrame:
+            lack[k] -= x[k] * size
+            lacking[k] -= x[k] * size
+        for _ in range(n - sum(x)):  # fewer than the number of splits, unless nothing is missing
+            k = min(range(j), key=lambda k: (split_cost * (abs(lacking[k] - size) - abs(lacking[k])) + profile_cost * (abs(lack[k] - size) - abs(lack[k])), k))
+            x[k] += 1
+            lack[k] -= size
+            lacking[k] -= size
+        out[size, profile] = x
+    return out, where
+
+
+def assign_splits(tied: DataFrame, shares: dict[str, float], seed: int = 1, heavy: int = 500, profiles: int = 256) -> DataFrame:
     """(rec_id, component, split) from the result of entities().
 
-    To the driver come only bundles, at most one for each distinct component size and label.
+    heavy: components above so small a part of all, so many at most, are bundles by themselves; profiles: so many are told apart.
     """
-    d = tied.withColumn("component", F.coalesce(F.concat(F.lit("a:"), "group_id"), F.concat(F.lit("p:"), "page"), F.concat(F.lit("r:"), "rec_id")))
+    d = tied.withColumn("component", F.coalesce(F.concat(F.lit("a:"), "group_id"), F.concat(F.lit("p:"), "page"), F.concat(F.lit("r:"), "rec_id"), F.lit("r:")))
     d = cut(d.select("rec_id", "component", F.coalesce("source", F.lit("")).alias("label")), "parts")
     by = d.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
-    comps = cut(by.groupBy("component").agg(F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("label")), "components")
-    bundles = [(r[0], r[1], r[2]) for r in comps.groupBy("size", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("size", "label").collect()]
+    top = F.slice(F.sort_array(F.collect_list(F.struct("n", "label")), False), 1, 2)  # as many labels as there are sources
+    comps = by.groupBy("component").agg(F.sum("n").alias("size"), top.alias("top"))
+    one, two = F.try_element_at("top", F.lit(1)), F.try_element_at("top", F.lit(2))
+    profile = F.concat_ws("|", one["label"], F.round(4 * one["n"] / F.col("size")).cast("int"), F.coalesce(two["label"], F.lit("")))
+    comps = cut(comps.select("component", "size", profile.alias("profile")), "components")
+    total = comps.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    large = [(r.component, r["size"], r.profile) for r in comps.where(F.col("size") * heavy > total).orderBy("component").collect()]
+    small = comps.where(F.col("size") * heavy <= total)
+    common = [r.profile for r in small.groupBy("profile").agg(F.sum("size").alias("m")).orderBy(F.desc("m"), "profile").limit(profiles).collect()]
     spark, names = tied.sparkSession, list(shares)
-    plan = allocate(bundles, shares) if bundles else {}
-    rows = [(s, label, k, sum(x[:k]), sum(x[: k + 1])) for (s, label), x in plan.items() for k in range(len(names)) if x[k]]
-    plan_df = spark.createDataFrame(rows, "size long, label string, k int, lo long, hi long")
+    told = spark.createDataFrame([(x, x) for x in common], "profile string, known string")
+    grade = F.when(F.col("size") <= 256, F.col("size").cast("long")).otherwise(F.floor(F.log2("size") * 16).cast("long") + 256)
+    small = small.join(F.broadcast(told), "profile", "left").select("component", "size", grade.alias("grade"), F.coalesce("known", F.lit("*")).alias("profile"))
+    rows = small.groupBy("grade", "profile").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean")).orderBy("grade", "profile").collect()
+    plan, where = allocate([(r["mean"], r.profile, r.n) for r in rows], shares, [(n, x if x in common else "*") for _, n, x in large])
+    deal = [(r.grade, r.profile, k, sum(x[:k]), sum(x[: k + 1])) for r in rows for x in [plan[r["mean"], r.profile]] for k in range(len(names)) if x[k]]
+    plan_df = spark.createDataFrame(deal, "grade long, profile string, k int, lo long, hi long")
     name = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("k") + 1)
-    told = ranked(comps, ["size", "label"], F.xxhash64("component", F.lit(seed))).join(plan_df, ["size", "label"]).where("rn > lo and rn <= hi").select("component", name.alias("split"))
-    return d.join(told, "component").select("rec_id", "component", "split")
+    dealt = ranked(small, ["grade", "profile"], F.xxhash64("component", F.lit(seed))).join(F.broadcast(plan_df), ["grade", "profile"]).where("rn > lo and rn <= hi").select("component", name.alias("split"))
+    whole = spark.createDataFrame([(c, names[k]) for (c, _, _), k in zip(large, where)], "component string, split string")
+    return d.join(dealt.union(whole), "component").select("rec_id", "component", "split")
