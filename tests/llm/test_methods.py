@@ -296,10 +296,10 @@ def test_headers_of_many_works_and_misread_ones(spark):
 @given(st.lists(st.integers(0, 900), max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_packing_loses_nothing(sizes):
-    vec = [np.arange(i % 7, i % 7 + 5, dtype=np.uint32).tobytes() + np.ones(5, np.uint16).tobytes() for i in range(len(sizes))]
+    vec = [np.arange(i % 7, i % 7 + 5, dtype=np.uint32).tobytes() + np.ones(5, np.uint32).tobytes() for i in range(len(sizes))]
     rows, fill = packing.pack_shard(np.array(sizes, np.int64), packing.Index(vec), 256)
     by = {}
-    for d, _, c, n in rows:
+    for d, _, c, n, _ in rows:
         by[c] = by.get(c, 0) + n
     assert all(by[c] == fill[c] <= 256 for c in by)
     for d, n in enumerate(sizes):
@@ -308,9 +308,21 @@ def test_packing_loses_nothing(sizes):
     assert sum(f <= 128 for f in fill) <= 1 and len(fill) <= 2 * -(-sum(sizes) // 256) + 1
 
 
+def test_neighbours_share_their_seeds_container():
+    r = np.random.default_rng(5)
+    kinds = [np.arange(k * 50, k * 50 + 40, dtype=np.uint32) for k in range(6)]
+    of = [int(r.integers(6)) for _ in range(300)]
+    vec = [kinds[k].tobytes() + np.ones(40, np.uint32).tobytes() for k in of]
+    rows, fill = packing.pack_shard(r.integers(20, 120, 300), packing.Index(vec), 256)
+    seeds = {c: d for d, _, c, _, near in reversed(rows) if not near}
+    near = [(d, c) for d, _, c, _, x in rows if x]
+    assert len(near) > 100 and all(of[d] == of[seeds[c]] for d, c in near)
+    assert len(fill) <= 1.05 * sum(fill) / 256 + 1
+
+
 def test_bm25_prefers_the_like():
     a, b = np.arange(10, dtype=np.uint32), np.arange(100, 110, dtype=np.uint32)
-    vec = [x.tobytes() + np.ones(10, np.uint16).tobytes() for x in (a, b, a, b)]
+    vec = [x.tobytes() + np.ones(10, np.uint32).tobytes() for x in (a, b, a, b)]
     s = packing.Index(vec).scores(0)
     assert s[2] > s[1] == s[3] == 0
 
@@ -318,7 +330,7 @@ def test_bm25_prefers_the_like():
 def test_bm25_scores_by_all_terms():
     r = np.random.default_rng(1)
     docs = [np.sort(r.choice(300, 100, replace=False)).astype(np.uint32) for _ in range(200)]
-    tf = [r.integers(1, 5, 100).astype(np.uint16) for _ in docs]
+    tf = [r.integers(1, 5, 100).astype(np.uint32) for _ in docs]
     index = packing.Index([d.tobytes() + c.tobytes() for d, c in zip(docs, tf)])
     df = np.bincount(np.concatenate(docs), minlength=300)
     idf, mean = np.log1p((200 - df + 0.5) / (df + 0.5)), np.mean([c.sum() for c in tf])
