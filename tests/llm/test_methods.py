@@ -176,6 +176,20 @@ def test_foreign_words_are_garbled_by_their_bytes():
     assert g.strict("Größe") is None and g.strict("ČŠŽ čšž") is None and g.strict("Ä") is None
 
 
+def test_limits_come_from_all_counts():
+    counts = {("strong", 300): 999, ("strong", 30): 1, ("weak", 90): 50, ("quality", -400): 9, ("quality", -900): 1}
+    got = mojibake.limits_of(counts)
+    assert got["strong_margin"] == 10.0 and got["weak_margin"] == 3.0 and got["strong_recall"] == 0.999 and got["weak_recall"] == 1.0
+    assert got["floor"] == -9.0 and got["weak_floor"] == -4.0
+    none = mojibake.limits_of({})
+    assert none["strong_margin"] == 2.0 and none["weak_recall"] == 1.0
+
+
+def test_division_marks_are_no_garbling(spark):
+    rows = [(i, "Široka čaša žvenketa na mi¬\nzi ter mačka počasi šepe¬\nta žalostno zgodbo o hiši.") for i in range(40)]
+    assert mojibake.restore(spark.createDataFrame(rows, "id long, text string"), "id", "text").count() == 0
+
+
 # --- spans and near duplicates
 
 

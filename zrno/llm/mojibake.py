@@ -4,8 +4,13 @@ A chain is a way text gets garbled: written in one encoding and read in another,
 no character for kept or lost. Garbling every letter and mark of the collection's alphabet by every chain gives the sequences to
 look for. Records without any such sequence are clean; an interpolated character n-gram model is counted on the tokens of all of
 them. A token with such a sequence is undone by every chain, and the likeliest result is accepted if it beats the token as it
-stands by more than a margin, and is itself no less likely by character than clean tokens are. The margin is validated on
-held-out clean tokens, garbled and not.
+stands by more than a margin, and is itself no less likely by character than clean tokens are. Margins are validated, apart for
+chains that make several characters of one and those that only swap one, on all held-out clean tokens, each garbled by some of the
+chains, by the hash of the token, and weighted by how often it stands.
+
+Two things need no model. A token whose bytes are UTF-8 by a Western or Central European reading is garbled, as sound text hardly
+ever looks so; it is accepted where the model, which knows no foreign words, is not sure. In a record found so or by the model,
+other tokens whose bytes are UTF-8 are decoded too.
 
 The model is broadcast. An n-gram is kept if it makes up 2**-21 or more of its order, so each order has at most 2**21 entries,
 whatever the collection's size.
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,13 +33,15 @@ from pyspark.sql import functions as F
 
 from zrno.session import cut
 
-# The letters and marks beyond ASCII that the collection's own texts are written with.
+#: The letters and marks beyond ASCII that the collection's own texts are written with.
 ALPHABET = "čšžČŠŽćđĆĐ„“”»«–—…’‚‘"
-# Encodings a text is written in and read in by mistake.
+#: Encodings a text is written in and read in by mistake.
 WRITTEN = ("utf-8", "cp1250", "iso8859-2", "cp852")
 READ = ("latin-1", "cp1252", "cp1250", "iso8859-2", "cp852", "cp437", "cp1251", "mac-roman", "utf-8")
 LOST = "�"
 SPACE = re.compile(r"([ \n\t\r]+)")  # other blanks may be part of a garbled sequence
+#: Marks of a word divided over a line end, which single bytes of other encodings are read as too.
+DIVISION = re.compile(r"[¬\xad]+(?=[ \t]*\r?\n)")
 ORDER = 5
 #: Swapped characters are never undone into words less likely by character than this, however little the held-out tokens say.
 WEAK_LEAST = -5.0
@@ -99,6 +107,7 @@ class Garble:
     def __init__(self, alphabet: str = ALPHABET) -> None:
         self.alphabet = alphabet
         self.maps = _chains(alphabet)
+        self.back = {k: {c: q for q, c in m.items()} for k, m in self.maps.items()}
         self.subs = {k: re.compile("|".join(map(re.escape, sorted(m, key=len, reverse=True)))) for k, m in self.maps.items()}
         every = sorted({g for m in self.maps.values() for g in m} | {LOST}, key=len, reverse=True)
         # what the first bytes of two-byte UTF-8 letters are read as begins a sequence too
@@ -107,12 +116,16 @@ class Garble:
         self.sequence = re.compile("|".join(map(re.escape, every)))
         self.codecs = [r for r in READ if r != "utf-8"]
 
+    def garbled(self, token: str, chain: str) -> str:
+        m = self.back[chain]
+        return "".join(m.get(c, c) for c in token)
+
     def suspect(self, token: str) -> bool:
         """Whether the token holds a garbled sequence of any chain, or is UTF-8 by its bytes."""
         return not token.isascii() and self.lead.search(token) is not None and (self.sequence.search(token) is not None or self.strict(token) is not None)
 
     def clean(self, text: str) -> bool:
-        return self.lead.search(text) is None or not any(map(self.suspect, SPACE.split(text)))
+        return self.lead.search(text) is None or not any(map(self.suspect, SPACE.split(DIVISION.sub("", text))))
 
     @staticmethod
     def _decodings(token: str, read: str) -> Iterator[str]:
@@ -220,6 +233,13 @@ def _count_tokens(g: Garble):
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, n, seen): occurrences, and those in tokens that aren't held out."""
     every, seen = Counter(), Counter()
+
+    def flush() -> pa.RecordBatch:
+        b = pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([seen[x] for x in every], pa.int64())], names=["gram", "n", "seen"])
+        every.clear()
+        seen.clear()
+        return b
+
     for b in batches:
         for t, n, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             s = "\x02" + t + "\x03"
@@ -228,13 +248,15 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     every[s[i : i + k]] += n
                     if not held:
                         seen[s[i : i + k]] += n
-    yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([seen[x] for x in every], pa.int64())], names=["gram", "n", "seen"])
+        if len(every) > 1_000_000:
+            yield flush()
+    yield flush()
 
 
-def train(df: DataFrame, text: str, g: Garble, held_out: int = 10, probe: int = 4000) -> tuple[Model, dict[str, float]]:
+def train(df: DataFrame, text: str, g: Garble, held_out: int = 10, chains: int = 4) -> tuple[Model, dict[str, float]]:
     """The model of all clean tokens, and limits validated with a model of nine in ten of them on the rest.
 
-    probe: so many held-out tokens, by hash, are garbled for validation.
+    chains: by so many chains, chosen by its hash, each held-out token is garbled for validation.
     """
     d = df.select(F.col(text).alias("t")).where("t is not null and t <> ''")
     tokens = d.mapInArrow(_count_tokens(g), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -242,11 +264,68 @@ def train(df: DataFrame, text: str, g: Garble, held_out: int = 10, probe: int =
     grams = tokens.mapInArrow(_count_grams, "gram string, n long, seen long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
     total = tokens.agg(F.coalesce(F.sum(F.col("n") * (F.length("token") + 2)), F.lit(0))).first()[0]
     rows = [(r[0], r[1], r[2]) for r in grams.where(F.col("n") >= int(total) >> 21).toLocalIterator()]
-    probes = [r[0] for r in tokens.where("held and n > 1").select("token").orderBy(F.xxhash64("token", F.lit(7))).limit(probe).collect()]
-    limits = validate(Model({x: k for x, _, k in rows if k}), g, probes)
+    sc = df.sparkSession.sparkContext
+    seen = sc.broadcast(Model({x: k for x, _, k in rows if k}))
+    tried = tokens.where("held").select("token", "n").mapInArrow(_probe(g, seen, chains), "what string, at int, n long").groupBy("what", "at").agg(F.sum("n").alias("n"))
+    limits = limits_of({(r[0], r[1]): r[2] for r in tried.collect()})  # a row for each kind and step of the scale
     return Model({x: n for x, n, _ in rows}), limits
 
 
+#: Steps of the scales on which validation counts: tenths of a nat for gains, hundredths for likelihood by character.
+GAIN_STEP, QUALITY_STEP, SCALE = 0.1, 0.01, 3000
+
+
+def _probe(g: Garble, model_bc, chains: int):
+    """(what, at, n): held-out tokens by their likelihood by character ("quality", each once), and, as often as they stand, garbled, by what undoing them gains ("strong", "weak")."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, out = model_bc.value, Counter()
+        at = lambda x, step: int(max(-SCALE, min(SCALE, x // step)))
+        for b in batches:
+            for t, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                out["quality", at(model.per_char(t), QUALITY_STEP)] += 1
+                if t.isascii():
+                    continue
+                can = [k for k, m in g.back.items() if any(c in m for c in t)]
+                z = zlib.crc32(t.encode())
+                for i in range(min(chains, len(can))):
+                    k = can[(z + i * max(1, len(can) // chains)) % len(can)]
+                    out["strong" if is_strong(k) else "weak", at(_gain(model, g, g.garbled(t, k))[0], GAIN_STEP)] += n
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([x for _, x in out], pa.int32()), pa.array(list(out.values()), pa.int64())], names=["what", "at", "n"])
+
+    return run
+
+
+def quantile(counts: dict[tuple[str, int], int], what: str, q: float) -> float | None:
+    """The step that a share q of all lies below or on; None for none."""
+    rows = sorted((at, n) for (w, at), n in counts.items() if w == what)
+    want, sofar = q * sum(n for _, n in rows), 0
+    for at, n in rows:
+        sofar += n
+        if sofar > want:
+            return float(at)
+    return None
+
+
+def limits_of(counts: dict[tuple[str, int], int]) -> dict[str, float]:
+    """Limits from the counts of _probe().
+
+    strong_margin, weak_margin: a third of what undoing garbled tokens gains but for one in a thousand, for chains whose sequences have
+    several characters and for those that only swap one; a sound token gains nothing by being undone into a worse one. floor: the
+    thousandth quantile of sound tokens' likelihood by character, for the first kind; weak_floor: the tenth, for the second, which genuine
+    foreign letters resemble. strong_recall, weak_recall: the share of garbled tokens beyond the margins.
+    """
+    low = {k: quantile(counts, k, 0.001) for k in ("strong", "weak")}
+    out = {f"{k}_margin": max(2.0, (6.0 if v is None else v * GAIN_STEP) / 3) for k, v in low.items()}
+    floor, weak = quantile(counts, "quality", 0.001), quantile(counts, "quality", 0.1)
+    out["floor"] = -8.0 if floor is None else floor * QUALITY_STEP
+    out["weak_floor"] = max(WEAK_LEAST if weak is None else weak * QUALITY_STEP, WEAK_LEAST)
+    for k in low:
+        every = sum(n for (w, _), n in counts.items() if w == k)
+        out[f"{k}_recall"] = sum(n for (w, at), n in counts.items() if w == k and at * GAIN_STEP > out[f"{k}_margin"]) / every if every else 1.0
+    return out
+
+
 def is_strong(chain: str) -> bool:
     return chain.startswith("utf-8>") and not chain.endswith("-lost")
 
@@ -261,33 +340,6 @@ def _gain(model: Model, g: Garble, token: str) -> tuple[float, str, str]:
     return best[0] - model.score(token), best[1], best[2]
 
 
-def validate(model: Model, g: Garble, probes: list[str]) -> dict[str, float]:
-    """Limits from held-out tokens, which the model has not seen.
-
-    margin: midway between what undoing sound tokens gains at most and what undoing garbled ones gains but for one in a hundred.
-    floor: the thousandth quantile of sound tokens' likelihood by character, for chains whose sequences have several characters;
-    weak_floor: the tenth, for chains that only swap a character, which genuine foreign letters resemble.
-    """
-    quality = sorted(model.per_char(t) for t in probes)
-    floor = quality[len(quality) // 1000] if quality else -8.0
-    wrong, right = [0.0], []
-    for t in probes:
-        if g.suspect(t):
-            wrong.append(_gain(model, g, t)[0])
-        if not t.isascii():
-            for m in g.maps.values():
-                x = t
-                for a, b in m.items():
-                    x = x.replace(b, a)
-                if x != t:
-                    right.append(_gain(model, g, x)[0])
-                    break
-    right.sort()
-    low = right[len(right) // 100] if right else 6.0
-    weak = max(quality[len(quality) // 10] if quality else WEAK_LEAST, WEAK_LEAST)
-    return {"margin": max(2.0, (max(wrong) + low) / 2), "floor": floor, "weak_floor": weak}
-
-
 def _restore(g: Garble, model_bc, limits: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_bc.value
@@ -298,7 +350,8 @@ def _restore(g: Garble, model_bc, limits: dict[str, float]):
                 seen.clear()
             if token not in seen:
                 gain, t, chain = _gain(model, g, token)
-                ok = gain > limits["margin"] and model.per_char(t) >= limits["floor" if is_strong(chain) else "weak_floor"]
+                strong = is_strong(chain)
+                ok = gain > limits["strong_margin" if strong else "weak_margin"] and model.per_char(t) >= limits["floor" if strong else "weak_floor"]
                 seen[token] = (t, chain) if ok else g.strict(token) or ((token, "lost") if LOST in token else None)
             return seen[token]
 
@@ -309,6 +362,11 @@ def _restore(g: Garble, model_bc, limits: dict[str, float]):
                     continue
                 hits: Counter = Counter()
                 parts = SPACE.split(t)
+                ends = [""] * len(parts)
+                if DIVISION.search(t):
+                    for k in range(0, len(parts) - 1, 2):
+                        if "\n" in parts[k + 1] and (core := parts[k].rstrip("¬\xad")) != parts[k]:
+                            parts[k], ends[k] = core, parts[k][len(core) :]
                 for k, token in enumerate(parts):
                     if g.suspect(token) and (v := judge(token)):
                         parts[k] = v[0]
@@ -317,7 +375,7 @@ def _restore(g: Garble, model_bc, limits: dict[str, float]):
                     for k, token in enumerate(parts):  # foreign words of an affected record, where their bytes say what they are
                         if not token.isascii() and g.suspect(token) and (t := g.decoded(token)):
                             parts[k] = t
-                    fixed = "".join(parts)
+                    fixed = "".join(map(str.__add__, parts, ends))
                     ids.append(i)
                     texts.append(fixed)
                     kinds.append(LOST not in fixed)
