@@ -206,15 +206,16 @@ def test_window_kernels():
     assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
 
 
-def test_spans_match_brute_force(spark):
+@pytest.mark.parametrize("hot", [0, 4096])
+def test_spans_match_brute_force(spark, hot):
     rows = random_docs() + [(900, "ab" * 40_000), (901, "x" + "ab" * 300)]
     span = 60
     sets = {i: {t[k : k + span] for k in range(len(t) - span + 1)} for i, t in rows}
     want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] & sets[b]}
     d = spark.createDataFrame(rows, "id long, text string").repartition(5)
-    got = {(r.a, r.b) for r in near.expand(*spans.shared_pairs(d, "id", "text", span=span, mini=20)).collect()}
+    got = {(r.a, r.b) for r in near.expand(*spans.shared_pairs(d, "id", "text", span=span, mini=20, hot=hot)).collect()}
     assert got == want
-    share = {r.id: r.shared_chars for r in spans.shared_share(d, "id", "text", span=span, mini=20).collect()}
+    share = {r.id: r.shared_chars for r in spans.shared_share(d, "id", "text", span=span, mini=20, hot=hot).collect()}
     for i, t in rows:
         cover = np.zeros(len(t), bool)
         others = set().union(*(s for j, s in sets.items() if j != i))
@@ -224,6 +225,30 @@ def test_spans_match_brute_force(spark):
         assert share.get(i, 0) == cover.sum(), i
 
 
+def test_windows_are_checked_against_the_strings(monkeypatch):
+    strings = ["abcabcabcabdxyz" * 3, "zzabcabcabcabd", "abc" * 9, "q"]
+    n, span = [max(0, len(s) - 5) for s in strings], 6
+    for spoil in (False, True):
+        if spoil:  # hashes of one value for all windows
+            monkeypatch.setattr(spans.grams, "mix", lambda x: np.zeros(len(x), np.uint64))
+        row, off, run = spans.equal_windows(np.zeros(4, np.int64), strings, span)
+        assert len(row) == sum(n) and sorted(zip(row, off)) == [(i, k) for i in range(4) for k in range(n[i])]
+        by = {}
+        for r, o, k in zip(row, off, run):
+            by.setdefault(int(k), set()).add(strings[r][o : o + span])
+        assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
+
+
+def test_one_passage_in_every_text_is_linear(spark):
+    p = "Stara hiša stoji ob vodi in stari mož počasi hodi po cesti, mlada žena čaka pred vrati, otrok pa spi v topli sobi. "
+    rows = [(i, f"beseda{i * 7919} " * 12 + p + f"reka{i * 104729} " * 12) for i in range(400)]
+    d = spark.createDataFrame(rows, "id long, text string")
+    for hot in (8, 4096):
+        _, groups = spans.shared_groups(d, "id", "text", span=80, mini=20, hot=hot)
+        assert groups.where("g is not null").groupBy("g").count().agg({"count": "max"}).first()[0] == 400 and groups.count() < 20 * 400
+        assert spans.shared_pairs(d, "id", "text", span=80, mini=20, hot=hot)[1].count() == 400 * 399 // 2
+
+
 def test_a_passage_that_a_third_of_all_share(spark):
     p = "Stara hiša stoji ob vodi in stari mož počasi hodi po cesti, mlada žena čaka pred vrati, otrok pa spi v topli sobi. "
     rows = [(i, (p if i % 3 == 0 else "") + f" beseda{i * 7919}" * 30) for i in range(900)]

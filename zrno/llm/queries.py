@@ -71,9 +71,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p4_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each record stands elsewhere, beside what was recorded for held-out works of the same page."""
-    docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
-    return spans.shared_share(docs, "rec_id", "text", span=150).withColumnRenamed("id", "rec_id")
+    """How much of each record stands elsewhere, nothing for null and short texts, beside what was recorded for held-out works of the same page; of several records of a page the greatest."""
+    docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text", "url"))
+    s = spans.shared_share(docs.select("rec_id", "text"), "rec_id", "text", span=150).select(F.col("id").alias("rec_id"), "shared_chars", "share")
+    works = table(spark, sf_dir, "holdout_works").select(splits.page_key("url").alias("page"), "max_containment_elsewhere").where("page is not null")
+    told = works.groupBy("page").agg(F.max("max_containment_elsewhere").alias("recorded"))
+    d = docs.select("rec_id", F.length("text").cast("long").alias("n_chars"), splits.page_key("url").alias("page")).join(told, "page", "left").drop("page")
+    return d.join(s, "rec_id", "left").select("rec_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("share", F.lit(0.0)).alias("share"), "recorded")
 
 
 @query

@@ -1,14 +1,20 @@
 """Long exact spans shared between records.
 
 Windows are runs of `span` code points. Within a window the smallest hash of its runs of `mini` code points is its minimiser;
-consecutive windows of the same minimiser make a super-k-mer. A first pass lists every text's super-k-mers as (minimiser, start,
-number of windows) without their text. Only minimisers that two or more different texts have can hold a shared window, so only
-those super-k-mers are fetched from the texts and travel, each as one packed string, to the bucket of their minimiser. Equal strings
-are gathered with their texts before, in shares by salt, so a passage that a third of all texts have is a few rows. In the bucket all
-windows are hashed and sorted; runs of equal windows are checked against the strings and give the pairs, or the stretches of
-each text that stand elsewhere too.
+consecutive windows of the same minimiser make a super-k-mer. A first pass lists every text's super-k-mers as (minimiser, digest of the
+string, start, number of windows). Only minimisers that two or more different texts have can hold a shared window. Where all
+their strings are the same, nothing has to travel; else each distinct string goes once, packed with its minimiser, to the
+bucket, where all windows are hashed and sorted, and runs of equal hashes are checked against the strings. Which texts have a
+string is a table that is joined afterwards, so a passage that very many texts have is one string in its bucket.
 
-Texts equal as a whole are one class with the smallest id in front; their members are paired at the end. Nothing is capped.
+A minimiser of more than `hot` different strings is split: its super-k-mers are cut again by a second minimiser, which equal windows
+share too, so its windows are spread over many buckets.
+
+What comes out is linear: groups (g, id) of texts that share a window, one for each distinct set of texts; or stretches of each text
+that stand elsewhere too. Pairs are made of groups where a result must hold pairs.
+
+Texts equal as a whole are one class with the smallest id in front; their members are paired at the end. Nothing is capped. Equal
+texts and strings are told by 128-bit digests, sets of texts by two 64-bit sums modulo two.
 
 Nulls: null ids, null texts and texts shorter than a window are no case. Repeated ids must not occur. Empty tables give empty
 results. Extra columns are ignored.
@@ -17,6 +23,7 @@ results. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,74 +37,75 @@ from zrno.llm.near import pack, unpack
 from zrno.session import cut
 
 
+def _super(codes: np.ndarray, n: np.ndarray, span: int, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first window, number of windows) of the super-k-mers of texts whose windows have the minimisers `best`; positions are those of `codes`."""
+    ends, m = np.cumsum(n), len(best)
+    doc = np.repeat(np.arange(len(n)), n)
+    inside = doc[:m] == doc[span - 1 : span - 1 + m] if m else np.empty(0, bool)
+    new = inside.copy()
+    if m:
+        new[1:] &= (best[1:] != best[:-1]) | ~inside[:-1] | (doc[1:m] != doc[: m - 1])
+        new |= inside & ((np.arange(m) - (ends - n)[doc[:m]]) % 0x8000 == 0)  # the count has 16 bits
+    start = np.flatnonzero(new)
+    of = doc[start]
+    # windows of a super-k-mer: up to the next one's start or the text's last window
+    return of, start, np.minimum(np.append(start[1:], m), ends[of] - span + 1) - start
+
+
 def _list(span: int, mini: int):
     """Super-k-mers of every text of a batch, all computed at once."""
-    w = span - mini + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in grams.chunks(batches, 1):
             texts = b.column(1).to_pylist()
             codes, n = grams.code_points(texts)
+            best = grams.window_minima(grams.mix(grams.window_hashes(codes, mini)), span - mini + 1)
+            of, start, count = _super(codes, n, span, best)
             ok = np.flatnonzero(n >= span)
-            ends = np.cumsum(n)
-            best = grams.window_minima(grams.mix(grams.window_hashes(codes, mini)), w)
-            m = len(best)
-            doc = np.repeat(np.arange(len(n)), n)
-            inside = doc[:m] == doc[span - 1 : span - 1 + m] if m else np.empty(0, bool)
-            new = inside.copy()
-            if m:
-                new[1:] &= (best[1:] != best[:-1]) | ~inside[:-1] | (doc[1:m] != doc[: m - 1])
-                new |= inside & ((np.arange(m) - (ends - n)[doc[:m]]) % 0x8000 == 0)  # the count has 16 bits
-            start = np.flatnonzero(new)
-            of = doc[start]
-            # windows of a super-k-mer: up to the next one's start or the text's last window
-            last = ends[of] - span + 1
-            nxt = np.append(start[1:], m)
-            count = np.minimum(nxt, last) - start
-            cuts = np.searchsorted(of, np.append(ok, len(n)))
-            ids = b.column(0).to_numpy(zero_copy_only=False)[ok].astype(np.int64)
-            lists = [pa.array(cuts[: len(ok) + 1] if len(ok) else [0], pa.int32())]
-            packed = ((start - (ends - n)[of]) << 16 | count).astype(np.int64)
-            keys = pa.ListArray.from_arrays(lists[0], pa.array(best[start].view(np.int64) if m else np.empty(0, np.int64)))
-            spots = pa.ListArray.from_arrays(lists[0], pa.array(packed))
+            at = start - (np.cumsum(n) - n)[of]
+            cuts = pa.array(np.searchsorted(of, np.append(ok, len(n))), pa.int32())
+            raw = codes.tobytes()
+            sids = [xxhash.xxh3_128_digest(raw[4 * i : 4 * (i + k + span - 1)]) for i, k in zip(start.tolist(), count.tolist())]
+            lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array(best[start].view(np.int64) if len(best) else np.empty(0, np.int64)), pa.array((at << 16 | count).astype(np.int64)), pa.array(sids, pa.binary()))]
             fps = [xxhash.xxh3_128_digest(texts[i].encode("utf-8", "surrogatepass")) for i in ok]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fps, pa.binary()), pa.array(n[ok]), keys, spots], names=["id", "fp", "n", "keys", "spots"])
+            ids = b.column(0).to_numpy(zero_copy_only=False)[ok].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fps, pa.binary()), pa.array(n[ok]), *lists], names=["id", "fp", "n", "keys", "spots", "sids"])
 
     return run
 
 
-def _slice(span: int):
-    """The strings of the listed super-k-mers of each text."""
+def _slice(span: int, mini: int):
+    """(key, sid, base, lo, hi, s): the strings of the listed super-k-mers of each text; those of hot minimisers cut again by the second one."""
+
+    def again(key: int, t: str) -> Iterator[tuple[int, int, str]]:
+        codes, n = grams.code_points([t])
+        h = grams.mix(grams.window_hashes(codes, mini))
+        second = grams.mix(h ^ np.uint64(0xA0761D6478BD642F))
+        second[h == np.uint64(key & 0xFFFFFFFFFFFFFFFF)] = np.iinfo(np.uint64).max  # what all of the bucket have tells nothing apart
+        best = grams.window_minima(second, span - mini + 1)
+        _, start, count = _super(codes, n, span, best)
+        keys = grams.mix(best[start] ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+        for k, p, c in zip(keys.tolist(), start.tolist(), count.tolist()):
+            yield k, p, t[p : p + c - 1 + span]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         for b in batches:
-            ids, keys, starts, strings = [], [], [], []
-            for i, z, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            out: list[list] = [[], [], [], [], [], []]
+            for z, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t = unpack(d, z)
                 for x in at:
                     p, c = x["spot"] >> 16, x["spot"] & 0xFFFF
-                    ids.append(i)
-                    keys.append(x["key"])
-                    starts.append(p)
-                    strings.append(t[p : p + c - 1 + span])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(strings, pa.string())], names=["key", "id", "start", "s"])
+                    s = t[p : p + c - 1 + span]
+                    for k, base, part in again(x["key"], s) if x["hot"] else ((x["key"], 0, s),):
+                        for col, v in zip(out, (k, x["sid"], base, x["lo"], x["hi"], part)):
+                            col.append(v)
+            types = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(col, k) for col, k in zip(out, types)], names=["key", "sid", "base", "lo", "hi", "s"])
 
     return run
 
 
-def _windows(keys: np.ndarray, strings: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string number, offset, hash with the key) of all windows."""
-    codes, n = grams.code_points(strings)
-    h = grams.window_hashes(codes, span)
-    row = np.repeat(np.arange(len(n)), n)
-    m = len(h)
-    inside = row[:m] == row[span - 1 : span - 1 + m]
-    row = row[:m][inside]
-    off = np.flatnonzero(inside) - (np.cumsum(n) - n)[row]
-    return row, off, grams.mix(h[inside] ^ keys.view(np.uint64)[row])
-
-
 def _whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 6_000) -> Iterator[pa.Table]:
     """Tables that hold whole buckets (rows of equal key come together), of `least` rows or more."""
     held: list[pa.RecordBatch] = []
@@ -121,126 +129,147 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], least: int = 6_000) -> Ite
         yield pa.Table.from_batches(held)
 
 
-def _rows(t: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, strings, ids of all members, starts of all members, where each row's members begin and, last, end)."""
-    members = t.column(2).combine_chunks()
-    if isinstance(members, pa.ChunkedArray):
-        members = members.chunk(0)
-    flat = members.flatten()
-    bounds = np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    return t.column(0).to_numpy(), t.column(1).to_pylist(), flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64), bounds
-
-
-def _equal_runs(keys: np.ndarray, strings: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset) of all windows sorted by their hash, one for each window and row, with the start and size of each run of equal ones."""
-    row, off, h = _windows(keys, strings, span)
-    o = np.lexsort((off, row, h))
-    row, off, h = row[o], off[o], h[o]
-    one = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.empty(0, bool)
-    first = np.append(True, h[1:] != h[:-1])[one] if len(h) else np.empty(0, bool)
-    row, off = row[one], off[one]
-    at = np.flatnonzero(first)
-    return row, off, at, np.diff(np.append(at, len(row)))
-
-
-def _pairs(span: int):
-    """Pairs of ids that have an equal window in a bucket, without repetition within a table."""
+def equal_windows(keys: np.ndarray, strings: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string number, offset, run) of all windows, sorted by run and string; windows of one run are equal, by hash and by their characters."""
+    codes, n = grams.code_points(strings)
+    h = grams.window_hashes(codes, span)
+    row = np.repeat(np.arange(len(n)), n)
+    m = len(h)
+    at = np.flatnonzero(row[:m] == row[span - 1 : span - 1 + m]) if m else np.empty(0, np.int64)
+    row = row[at]
+    h = grams.mix(h[at] ^ keys.view(np.uint64)[row])
+    o = np.lexsort((at, h))
+    row, at, h = row[o], at[o], h[o]
+    first = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, bool)
+    run = np.cumsum(first) - 1
+    lead = at[np.flatnonzero(first)][run] if len(h) else at
+    # a window whose neighbour to the left has the neighbour of its leader for a leader needs its last character compared only
+    by = np.argsort(at)
+    x, y = at[by], lead[by]
+    follows = np.append(False, (x[1:] == x[:-1] + 1) & (y[1:] == y[:-1] + 1) & (row[by][1:] == row[by][:-1])) if len(x) else np.empty(0, bool)
+    same = codes[x + span - 1] == codes[y + span - 1] if len(x) else np.empty(0, bool)
+    whole = np.flatnonzero(~follows & (x != y))
+    for i in range(0, len(whole), 4096):
+        k = whole[i : i + 4096]
+        same[k] = (codes[x[k][:, None] + np.arange(span)] == codes[y[k][:, None] + np.arange(span)]).all(1)
+    if not same.all():  # a window after one that differs has been compared with a leader it may not share, so all of these runs are told apart by their strings
+        bad = np.isin(run, np.unique(run[by][~same]))
+        told: dict[tuple[int, bytes], int] = {}
+        top = int(run[-1]) + 1
+        for k in np.flatnonzero(bad):
+            run[k] = told.setdefault((int(run[k]), codes[at[k] : at[k] + span].tobytes()), top + len(told))
+        o = np.lexsort((at, run))
+        row, at, run = row[o], at[o], run[o]
+    return row, at - (np.cumsum(n) - n)[row], run
+
+
+def _groups(span: int):
+    """(g, sid): the strings of each set that an equal window shows, each distinct set of a bucket once; sets of one string are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_buckets(batches):
-            keys, strings, ids, _, bounds = _rows(t)
-            row, off, at, size = _equal_runs(keys, strings, span)
-            if not len(at):
-                continue
-            # windows that stand in the same strings say the same: keep one of each set of strings
+            keys, sids = t.column(0).to_numpy(), t.column(1).to_pylist()
+            row, off, no = equal_windows(keys, t.column(5).to_pylist(), span)
+            one = np.append(True, (no[1:] != no[:-1]) | (row[1:] != row[:-1])) if len(no) else np.empty(0, bool)
+            row, no = row[one], no[one]
+            at = np.flatnonzero(np.append(True, no[1:] != no[:-1])) if len(no) else np.empty(0, np.int64)
+            size = np.diff(np.append(at, len(no)))
             total = np.concatenate([[np.uint64(0)], np.cumsum(grams.mix(row.astype(np.uint64) + np.uint64(1)), dtype=np.uint64)])
-            _, keep = np.unique((total[at + size] - total[at]) ^ grams.mix(size.astype(np.uint64)), return_index=True)
-            out, n = [], 0
-            for a, k in zip(at[keep], size[keep]):
-                rows = row[a : a + k]
-                if k > 1:
-                    w = strings[rows[0]][off[a] : off[a] + span]
-                    rows = [r for r, o in zip(rows, off[a : a + k]) if strings[r][o : o + span] == w]
-                who = np.unique(np.concatenate([ids[bounds[r] : bounds[r + 1]] for r in rows]))
-                for i in range(len(who) - 1):
-                    out.append(np.stack([np.full(len(who) - 1 - i, who[i]), who[i + 1 :]]))
-                    n += len(who) - 1 - i
-                    if n > 1_000_000:
-                        yield _distinct(out)
-                        out, n = [], 0
-            if out:
-                yield _distinct(out)
+            sets, keep = np.unique((total[at + size] - total[at]) ^ grams.mix(size.astype(np.uint64)), return_index=True)
+            many = size[keep] > 1
+            keep = keep[many]
+            g = grams.mix(sets[many] ^ keys.view(np.uint64)[row[at[keep]]]).view(np.int64) if len(keep) else np.empty(0, np.int64)
+            k = np.repeat(np.arange(len(keep)), size[keep])
+            where = at[keep][k] + np.arange(len(k)) - np.repeat(np.cumsum(size[keep]) - size[keep], size[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(g[k]), pa.array([sids[r] for r in row[where]], pa.binary())], names=["g", "sid"])
 
     return run
 
 
-def _distinct(parts: list[np.ndarray]) -> pa.RecordBatch:
-    x = np.unique(np.concatenate(parts, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
-
-
 def _stretches(span: int):
-    """(id, from, to): stretches of each text whose windows stand in another text of the bucket too."""
+    """(sid, from, to): stretches of each string whose windows stand in another text too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_buckets(batches):
-            keys, strings, ids, starts, bounds = _rows(t)
-            low, high = np.minimum.reduceat(ids, bounds[:-1]), np.maximum.reduceat(ids, bounds[:-1])
-            row, off, h = _windows(keys, strings, span)
-            if not len(h):
+            keys, sids = t.column(0).to_numpy(), t.column(1).to_pylist()
+            base, low, high = (t.column(k).to_numpy() for k in (2, 3, 4))
+            row, off, no = equal_windows(keys, t.column(5).to_pylist(), span)
+            if not len(no):
                 continue
-            o = np.argsort(h, kind="stable")
-            row, off, h = row[o], off[o], h[o]
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            shared = np.repeat(np.minimum.reduceat(low[row], at) != np.maximum.reduceat(high[row], at), np.diff(np.append(at, len(h))))
+            at = np.flatnonzero(np.append(True, no[1:] != no[:-1]))
+            shared = np.repeat(np.minimum.reduceat(low[row], at) != np.maximum.reduceat(high[row], at), np.diff(np.append(at, len(no))))
             row, off = row[shared], off[shared]
             if not len(row):
                 continue
             o = np.lexsort((off, row))
             row, off = row[o], off[o]
-            at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1))) if len(row) else np.empty(0, np.int64)
+            at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1)))
             end = np.append(at[1:], len(row)) - 1
-            lo, hi, r = off[at], off[end] + span, row[at]
-            many = bounds[r + 1] - bounds[r]
-            k = np.repeat(np.arange(len(at)), many)
-            m = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many) + bounds[r][k]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[m]), pa.array(starts[m] + lo[k]), pa.array(starts[m] + hi[k])], names=["id", "lo", "hi"])
+            r = row[at]
+            yield pa.RecordBatch.from_arrays([pa.array([sids[i] for i in r], pa.binary()), pa.array((base[r] + off[at]).astype(np.int64)), pa.array((base[r] + off[end] + span).astype(np.int64))], names=["sid", "lo", "hi"])
 
     return run
 
 
-def _prepare(df: DataFrame, key: str, text: str, span: int, mini: int, salts: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(classes (id, class_id, n), super-k-mers (key, s, members) of classes, each bucket together)."""
+@dataclass
+class Parts:
+    """classes (id, class_id, n); members (key, sid, id, spot) of class ids; alone (sid, spot) of strings that several texts have and that are the only ones of their minimiser; buckets (key, sid, base, lo, hi, s), each bucket together."""
+
+    classes: DataFrame
+    members: DataFrame
+    alone: DataFrame
+    buckets: DataFrame
+
+
+def _prepare(df: DataFrame, key: str, text: str, span: int, mini: int, hot: int) -> Parts:
     d = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(f"id is not null and length(text) >= {span}")
-    listed = cut(d.mapInArrow(_list(span, mini), "id long, fp binary, n long, keys array<long>, spots array<long>"), "listed")
+    listed = cut(d.mapInArrow(_list(span, mini), "id long, fp binary, n long, keys array<long>, spots array<long>, sids array<binary>"), "listed")
     heads = listed.groupBy("fp").agg(F.min("id").alias("class_id"))
     classes = cut(listed.select("id", "fp", "n").join(heads, "fp").select("id", "class_id", "n"), "classes")
     heads = classes.where("id = class_id").select("id")
-    each = listed.join(heads, "id", "left_semi").select("id", F.explode(F.arrays_zip("keys", "spots")).alias("x")).select("id", F.col("x.keys").alias("key"), F.col("x.spots").alias("spot"))
-    some = cut(each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "minimisers")
-    want = each.join(some, "key", "left_semi").groupBy("id").agg(F.collect_list(F.struct("key", "spot")).alias("at"))
-    parts = pack(d).join(cut(want, "wanted"), "id").select("id", "z", "at").mapInArrow(_slice(span), "key long, id long, start int, s string")
-    # equal strings travel once for up to `salts` shares of their texts, so a passage that very many texts have is few rows
-    same = parts.groupBy("key", "s", F.pmod("id", F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("id", "start")).alias("members"))
-    return classes, same.select("key", "s", "members").repartition("key").sortWithinPartitions("key")
-
-
-def shared_pairs(df: DataFrame, key: str, text: str, span: int = 150, mini: int = 40) -> tuple[DataFrame, DataFrame]:
+    each = listed.join(heads, "id", "left_semi")
+    keys = each.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    flat = each.select("id", F.explode(F.arrays_zip("keys", "spots", "sids")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.sids").alias("sid"), "id", F.col("x.spots").alias("spot"))
+    members = cut(flat.join(cut(keys, "minimisers"), "key", "left_semi"), "members")
+    strings = cut(members.groupBy("key", "sid").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "spot")).alias("rep")), "strings")
+    n = strings.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    told = strings.join(n, "key")
+    alone = told.where("n = 1 and lo < hi").select("sid", F.col("rep.spot").alias("spot"))
+    want = told.where("n > 1").groupBy(F.col("rep.id").alias("id")).agg(F.collect_list(F.struct("key", "sid", F.col("rep.spot").alias("spot"), "lo", "hi", (F.col("n") > hot).alias("hot"))).alias("at"))
+    parts = pack(d).join(cut(want, "wanted"), "id").select("z", "at").mapInArrow(_slice(span, mini), "key long, sid binary, base int, lo long, hi long, s string")
+    return Parts(classes, members, alone, parts.repartition("key").sortWithinPartitions("key"))
+
+
+def shared_groups(df: DataFrame, key: str, text: str, span: int = 150, mini: int = 40, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(classes (id, class_id), groups (g, id) of class ids that share a run of `span` or more code points): every two of a group do, and every two that do are in a group."""
+    p = _prepare(df, key, text, span, mini, hot)
+    sets = p.buckets.mapInArrow(_groups(span), "g long, sid binary")
+    several = p.members.groupBy("sid").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.xxhash64("sid").alias("g"), "sid")
+    groups = cut(sets.union(several).join(p.members.select("sid", "id").distinct(), "sid").select("g", "id").distinct(), "groups")
+    same = groups.groupBy("g").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    one = same.groupBy("x", "y", "n").agg(F.min("g").alias("g")).select("g")
+    return p.classes.select("id", "class_id"), cut(groups.join(one, "g", "left_semi"), "spans")
+
+
+def shared_pairs(df: DataFrame, key: str, text: str, span: int = 150, mini: int = 40, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(classes (id, class_id), pairs (a, b) of class ids, a < b, that share a run of `span` or more code points)."""
-    classes, parts = _prepare(df, key, text, span, mini)
-    pairs = parts.mapInArrow(_pairs(span), "a long, b long").distinct()
-    return classes.select("id", "class_id"), cut(pairs, "spans")
+    classes, groups = shared_groups(df, key, text, span, mini, hot)
+    pairs = groups.alias("l").join(groups.alias("r"), F.expr("l.g = r.g and l.id < r.id")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    return classes, pairs.distinct()
 
 
-def shared_share(df: DataFrame, key: str, text: str, span: int = 150, mini: int = 40) -> DataFrame:
+def shared_share(df: DataFrame, key: str, text: str, span: int = 150, mini: int = 40, hot: int = 4096) -> DataFrame:
     """(id, n_chars, shared_chars, share): how much of each text of `span` or more code points stands elsewhere too. A text with an exact copy is shared as a whole."""
-    classes, parts = _prepare(df, key, text, span, mini)
-    s = parts.mapInArrow(_stretches(span), "id long, lo long, hi long")
+    p = _prepare(df, key, text, span, mini, hot)
+    whole = p.alone.select("sid", F.lit(0).cast("long").alias("lo"), (F.expr("spot & 65535") + span - 1).alias("hi"))
+    s = p.buckets.mapInArrow(_stretches(span), "sid binary, lo long, hi long").union(whole)
+    at = F.shiftright("spot", 16)
+    s = s.join(p.members.select("sid", "id", "spot"), "sid").select("id", (at + F.col("lo")).alias("lo"), (at + F.col("hi")).alias("hi"))
     runs = s.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("x"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     step = lambda acc, r: F.struct((acc.n + F.greatest(F.lit(0), r.hi - F.greatest(r.lo, acc.to))).alias("n"), F.greatest(acc.to, r.hi).alias("to"))
     runs = runs.select(F.col("id").alias("class_id"), F.aggregate("x", start, step).n.alias("covered"))
-    size = classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("members"))
-    j = classes.join(size, "class_id").join(runs, "class_id", "left")
+    size = p.classes.groupBy("class_id").agg(F.count(F.lit(1)).alias("members"))
+    j = p.classes.join(size, "class_id").join(runs, "class_id", "left")
     shared = F.when(F.col("members") > 1, F.col("n")).otherwise(F.coalesce("covered", F.lit(0)))
     return j.select("id", F.col("n").alias("n_chars"), shared.cast("long").alias("shared_chars"), (shared / F.col("n")).alias("share"))
