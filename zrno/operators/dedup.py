@@ -6,14 +6,15 @@ the rarest runs of the smaller (prefix filtering), so common runs never meet. No
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zrno.functions.text import tokens
 from zrno.operators.components import connected_components
 from zrno.session import cut
 
@@ -29,63 +30,128 @@ def keep_first(df: DataFrame, same: str, order: list[str]) -> DataFrame:
     return df.join(first, same, "left").withColumn("root", F.coalesce("root", key)).withColumn("is_first", F.col("root") == key)
 
 
+_WORD = re.compile(r"\w+")
+_FOLD = str.maketrans({"ß": "ss", "ſ": "s", "ς": "σ"})
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC6A4A7935BD1E995)
+    return x ^ (x >> np.uint64(32))
+
+
+class _Words(dict):
+    """word -> 64-bit hash, remembered."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+def _runs(k: int):
+    """Distinct hashes of the runs of k words of each text of a batch, all computed at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = _Words().__getitem__
+        for b in batches:
+            parts = [_WORD.findall(t.lower().translate(_FOLD)) if t else [] for t in b.column(b.num_columns - 1).to_pylist()]
+            n = np.array([len(w) for w in parts], np.int64)
+            words = np.fromiter((get(w) for ws in parts for w in ws), np.uint64, int(n.sum()))
+            docs = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+            h = np.zeros(len(words), np.uint64)
+            size = np.minimum(n, k)  # a text of fewer words is one run
+            for i in range(k):
+                at = np.minimum(np.arange(len(words)) + i, max(0, len(words) - 1))
+                h = np.where(i < size[docs], _mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[at]), h)
+            ok = place <= (n - size)[docs]
+            docs, h = docs[ok], h[ok]
+            o = np.lexsort((h, docs))
+            docs, h = docs[o], h[o]
+            new = np.append(True, (h[1:] != h[:-1]) | (docs[1:] != docs[:-1])) if len(h) else np.empty(0, bool)
+            docs, h = docs[new], h[new]
+            many = np.bincount(docs, minlength=len(n))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(many.astype(np.int32))], names=[*b.schema.names[:-1], "sh", "n"])
+
+    return run
+
+
 def shingle_sets(docs: DataFrame, key: str, text: str, k: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, sh array<long>, n): distinct runs of k words as hashes; a text of fewer words is one run, one without words has none."""
-    t = cut(docs.select(key, *keep, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t")), "tokens")  # before the lambda: it would extract anew for every run
-    n = F.size("_t")
-    runs = F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64("_t"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.xxhash64(F.slice("_t", i, k)))))
-    return cut(t.select(key, *keep, runs.alias("sh")).withColumn("n", F.size("sh")), "shingles")
+    """(key, *keep, sh array<long>, n): distinct runs of k words as 64-bit hashes, by whole Arrow batches; a text of fewer words is one run, one without words has none. Similarity is that of the hashes."""
+    d = docs.select(key, *keep, F.col(text).alias("_text"))
+    fields = ", ".join(f"`{c}` {t}" for c, t in d.dtypes if c != "_text")
+    return cut(d.mapInArrow(_runs(k), f"{fields}, sh array<long>, n int"), "shingles")
+
 
+def ordered_runs(sets: DataFrame, key: str, part: list[str]) -> DataFrame:
+    """(key, n, x): each set's runs that stand in other sets of its part too, as structs (df, s), rarest first. Ties go by the run, so all sets have one order. A part's run is one number: nothing else is shuffled."""
+    runs = F.transform("sh", lambda s: F.xxhash64(*part, s)) if part else F.col("sh")
+    each = sets.select(key, "n", F.explode(runs).alias("s"))
+    df = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = each.join(df, "s")  # runs that stand in one set only can't match
+    return cut(shared.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"), F.first("n").alias("n")), "ordered")
 
-def _ranked_prefix(sets: DataFrame, key: str, least: float, part: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(prefixes, all): a row for each run, with its rarity; a set's prefix is what remains after the share that it must have in common."""
-    each = sets.select(key, *part, "n", F.explode("sh").alias("s"))
-    df = each.groupBy(*part, "s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = cut(each.join(df, [*part, "s"]), "shared")  # runs that stand in one set only can't match
-    have = shared.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in part])
-    need = F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9))
-    take = F.col("n") - need + 1 - (F.col("n") - F.size("x"))  # the set's own runs come first in the order of rarity
-    pre = have.where(take > 0).select(key, *part, "n", F.explode(F.slice("x", F.lit(1), take.cast("int"))).alias("y")).select(key, *part, "n", F.col("y.s").alias("s"))
-    return pre, shared
+
+def _prefix(have: DataFrame, key: str, need: Column) -> DataFrame:
+    """(key, n, i, s): the runs of which one must be shared where `need` of them must; i counts from one in the order of rarity, runs of no other set first."""
+    own = F.col("n") - F.size("x")
+    take = (F.col("n") - need + 1 - own).cast("int")
+    d = have.where(take > 0).select(key, "n", own.alias("own"), F.posexplode(F.slice("x", F.lit(1), F.greatest(take, F.lit(0)))).alias("i", "y"))
+    return d.select(key, "n", (F.col("own") + F.col("i") + 1).alias("i"), F.col("y.s").alias("s"))
+
+
+def jaccard_candidates(sets: DataFrame, key: str, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs that can reach `least`, and few others: both have one of the runs of their prefixes, sizes fit, and what is left after the place of the run is enough for the overlap that is needed."""
+    pre = cut(_prefix(ordered_runs(sets, key, []), key, F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9))), "prefixes")
+    l = pre.select(F.col(key).alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "s")
+    r = pre.select(F.col(key).alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), "s")
+    # of the first run that both have, the greatest overlap is one and all that follows in the shorter rest
+    fits = F.expr(f"a < b and least(na, nb) >= {least} * greatest(na, nb) - 1e-9 and 1 + least(na - ia, nb - ib) >= {least / (1 + least)} * (na + nb) - 1e-9")
+    return l.join(r, "s").where(fits).select("a", "b").distinct()
 
 
 def jaccard_pairs(sets: DataFrame, key: str, least: float = 0.8) -> DataFrame:
     """(a, b, both, similarity), a < b, of all pairs of shingle_sets() at or above `least`."""
-    pre, _ = _ranked_prefix(sets, key, least, [])
-    pre = cut(pre, "prefixes")
-    l, r = pre.select(F.col(key).alias("a"), F.col("n").alias("na"), "s"), pre.select(F.col(key).alias("b"), F.col("n").alias("nb"), "s")
-    fits = F.expr(f"a < b and least(na, nb) >= {least} * greatest(na, nb) - 1e-9")
-    cand = l.join(r, "s").where(fits).select("a", "b").distinct()
+    cand = jaccard_candidates(sets, key, least)
     return _measure(cand, sets, key).withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("similarity") >= least).select("a", "b", "both", "similarity")
 
 
 def _measure(cand: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """Candidates with the sizes and the overlap of their sets; only sets of candidates travel."""
     cand = cut(cand, "candidates")
-    a = sets.select(F.col(key).alias("a"), F.col("sh").alias("sa"), F.col("n").alias("na"))
-    b = sets.select(F.col(key).alias("b"), F.col("sh").alias("sb"), F.col("n").alias("nb"))
+    need = cand.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    some = cut(sets.select(key, "sh", "n").join(need, key, "left_semi"), "compared")
+    a = some.select(F.col(key).alias("a"), F.col("sh").alias("sa"), F.col("n").alias("na"))
+    b = some.select(F.col(key).alias("b"), F.col("sh").alias("sb"), F.col("n").alias("nb"))
     return cand.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("sa", "sb"))).drop("sa", "sb")
 
 
-def containment_pairs(sets: DataFrame, key: str, least: float = 0.5, part: list[str] | None = None) -> DataFrame:
-    """(a, b, both, containment): how much of a stands in b, for all ordered pairs at or above `least`, within equal `part` columns."""
-    part = part or []
-    pre, every = _ranked_prefix(sets, key, least, part)
-    l = pre.select(F.col(key).alias("a"), *part, "s")
-    r = every.select(F.col(key).alias("b"), *part, "s")
-    cand = l.join(r, [*part, "s"]).where("a <> b").select("a", "b").distinct()
+def containment_pairs(sets: DataFrame, key: str, least: float = 0.5, part: list[str] | None = None, inner: str = "true", outer: str = "true") -> DataFrame:
+    """(a, b, both, containment): how much of a stands in b, for all ordered pairs at or above `least`, within equal `part` columns; inner, outer: conditions on the number n of runs of a and of b."""
+    have = ordered_runs(sets, key, part or [])
+    pre = _prefix(have.where(inner), key, F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)))
+    every = have.where(outer).select(key, F.size("x").alias("k"), F.posexplode("x").alias("i", "y")).select(F.col(key).alias("b"), (F.col("k") - F.col("i")).alias("rest"), F.col("y.s").alias("s"))
+    l = pre.select(F.col(key).alias("a"), F.col("n").alias("na"), "s")
+    fits = F.expr(f"a <> b and rest >= {least} * na - 1e-9")  # the first run that both have, and all that follows it in b
+    cand = l.join(every, "s").where(fits).select("a", "b").distinct()
     return _measure(cand, sets, key).withColumn("containment", F.col("both") / F.col("na")).where(F.col("containment") >= least).select("a", "b", "both", "containment")
 
 
-def greedy_keep(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, kept, root) of a first-come selection over nodes in their order: a node is dropped if any earlier neighbour is kept.
 
     edges: (early, late), early < late. In each round nodes whose earlier neighbours are all dropped are kept, and nodes with a kept
-    earlier neighbour are dropped; rounds are as many as the longest chain of decisions. Nodes without edges never enter a round.
+    earlier neighbour are dropped; rounds are as many as the longest chain of decisions, and each settles one node at least, the earliest
+    open one. Nodes without edges never enter a round.
     """
     every = e = cut(edges.select("early", "late").distinct(), "edges")
     open_ = cut(e.select(F.explode(F.array("early", "late")).alias("node")).distinct(), "open")
     done: DataFrame | None = None
-    for _ in range(max_rounds):
+    while not open_.isEmpty():
         waiting = e.join(open_.select(F.col("node").alias("early")), "early", "left_semi").select(F.col("late").alias("node")).distinct()
         kept = cut(open_.join(waiting, "node", "left_anti"), "kept")
         hit = e.join(kept.select(F.col("node").alias("early")), "early").join(open_.select(F.col("node").alias("late")), "late", "left_semi")
@@ -94,10 +160,8 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Da
         done = cut(step if done is None else done.union(step), "done")
         open_ = cut(open_.join(done, "node", "left_anti"), "open")
         e = cut(e.join(open_.select(F.col("node").alias("late")), "late", "left_semi").select("early", "late"), "edges")
-        if open_.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"selection did not settle in {max_rounds} rounds")
+    if done is None:
+        return nodes.select("node", F.lit(True).alias("kept"), F.col("node").alias("root"))
     of = every.join(done.where("kept").select(F.col("node").alias("early")), "early").groupBy(F.col("late").alias("node")).agg(F.min("early").alias("root"))
     out = nodes.join(done, "node", "left").join(of, "node", "left").withColumn("kept", F.coalesce("kept", F.lit(True)))
     return out.select("node", "kept", F.when(F.col("kept"), F.col("node")).otherwise(F.col("root")).alias("root"))
@@ -113,11 +177,6 @@ def band_hashes(sets: DataFrame, key: str, bands: int, rows: int, seed: int = 1)
     """(key, band hash), a row for each band of each set that isn't empty. The MinHash signature, `bands` x `rows` minima of re-hashed elements, is made for whole Arrow batches at once."""
     d = sets.where("n > 0").select(key, "sh")
 
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC6A4A7935BD1E995)
-        return x ^ (x >> np.uint64(32))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, lists = b.column(0), b.column(1)
@@ -128,8 +187,8 @@ def band_hashes(sets: DataFrame, key: str, bands: int, rows: int, seed: int = 1)
             for j in range(bands):
                 band = np.full(len(size), j, np.uint64)
                 for i in range(rows):
-                    low = np.minimum.reduceat(mixed(h + np.uint64((seed + j * rows + i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), starts)
-                    band = mixed(band * np.uint64(31) + low)
+                    low = np.minimum.reduceat(_mixed(h + np.uint64((seed + j * rows + i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)), starts)
+                    band = _mixed(band * np.uint64(31) + low)
                 out.append(band)
             flat = np.stack(out, axis=1).reshape(-1).view(np.int64) if len(size) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(size)), bands))), pa.array(flat)], names=[key, "h"])

@@ -58,18 +58,23 @@ def decisions(docs: DataFrame, p: MergeParams = MergeParams(), collisions: DataF
         keys = flagged.select("author", _work(F.col("author"), F.col("title")).alias("work")).where("work <> ''").distinct()
         wrong = cut(d.select("rec_id", "author", _work(F.col("author"), F.col("title")).alias("work")).join(keys, ["author", "work"], "left_semi").select("rec_id"), "flagged")
         d = d.join(wrong, "rec_id", "left_anti")
-    d = cut(gate.signals(d).withColumn("gated", F.col("literary") & (F.col("verdict") != "kept")).select("rec_id", "pref", "literary", "gated", "verdict", "author", "title", "text", dedup.content_hash(F.coalesce("text", F.lit(""))).alias("hash")), "gated")
+    d = gate.signals(d).withColumn("gated", F.col("literary") & (F.col("verdict") != "kept"))
+    hashed = dedup.content_hash(F.coalesce("text", F.lit("")))
+    d = d.select("rec_id", "pref", "literary", "gated", "verdict", "author", "title", hashed.alias("hash"), F.when(~F.col("gated"), F.col("text")).alias("text"))
+    # one pass over the texts: from here on there are only their hashes and runs
+    d = dedup.shingle_sets(d, "rec_id", "text", keep=("pref", "literary", "gated", "verdict", "author", "title", "hash"))
     out_gate = d.where("gated").select("rec_id", F.concat(F.lit("gate_"), "verdict").alias("decision"), F.lit(None).cast("long").alias("root_id"))
-    live = dedup.keep_first(d.where("not gated"), "hash", ["pref", "rec_id"])
-    live = cut(live.withColumn("rep", F.col("root.rec_id")).drop("root", "hash", "verdict", "gated"), "live")
-    reps = live.where("is_first")
-    sets = dedup.shingle_sets(reps, "rec_id", "text", keep=("author", "title", "literary", "pref"))
+    live = dedup.keep_first(d.where("not gated").select("rec_id", "pref", "hash"), "hash", ["pref", "rec_id"])
+    live = cut(live.select("rec_id", F.col("root.rec_id").alias("rep"), "is_first"), "live")
+    sets = d.where("not gated").join(live.where("not is_first").select("rec_id"), "rec_id", "left_anti").select("rec_id", "pref", "literary", "author", "title", "sh", "n")
     near = dedup.jaccard_pairs(sets.select("rec_id", "sh", "n"), "rec_id", p.near).select("a", "b", F.lit("near_dup").alias("why"))
     info = sets.select("rec_id", "pref", "author", "title", "literary")
     if collisions is not None:
         near = _without_distinct(near, info, collisions)
     title = normal_title(without_author(nfc(F.col("title")), F.col("author")))
     work = sets.where("literary and author is not null and title is not null").withColumn("work", title).where("work <> ''")
+    twice = work.groupBy("author", "work").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    work = work.join(twice, ["author", "work"], "left_semi")
     same = dedup.containment_pairs(work, "rec_id", p.identity, part=["author", "work"]).select("a", "b", F.lit("registry_identity").alias("why"))
     pairs = near.union(same)
     order = lambda x: info.select(F.col("rec_id").alias(x), F.col("pref").alias(f"p{x}"))
@@ -124,13 +129,13 @@ def _without_distinct(near: DataFrame, info: DataFrame, collisions: DataFrame) -
 
 
 def contained(sets: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
-    """(rec_id, container, score, verdict): for each smaller literary work the container of the same author and another title that holds most of it."""
-    lit = sets.where("literary and author is not null")
-    small, large = lit.where(F.col("n") < p.container), lit.where(F.col("n") >= p.container)
-    l = small.select("author", F.col("rec_id").alias("a"), F.col("title").alias("ta"), F.col("n").alias("na"), F.explode("sh").alias("s"))
-    r = large.select("author", F.col("rec_id").alias("b"), F.col("title").alias("tb"), F.explode("sh").alias("s"))
-    both = l.join(r, ["author", "s"]).where("ta is distinct from tb").groupBy("a", "b", "na").agg(F.count(F.lit(1)).alias("both"))
-    best = both.withColumn("score", F.col("both") / F.col("na")).groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("container"), F.max("score").alias("score"))
+    """(rec_id, container, score, verdict): for each smaller literary work the container of the same author and another title that holds most of it, where that is more than `partly`."""
+    lit = sets.where("literary and author is not null").select("rec_id", "author", "title", "sh", "n")
+    lit = lit.join(lit.where(f"n >= {p.container}").select("author").distinct(), "author", "left_semi")
+    pairs = dedup.containment_pairs(lit, "rec_id", p.partly, part=["author"], inner=f"n < {p.container}", outer=f"n >= {p.container}")
+    titled = lambda x: lit.select(F.col("rec_id").alias(x), F.col("title").alias(f"t{x}"))
+    other = pairs.join(titled("a"), "a").join(titled("b"), "b").where("ta is distinct from tb")
+    best = other.groupBy("a").agg(F.max_by("b", F.struct("containment", -F.col("b"))).alias("container"), F.max("containment").alias("score"))
     return best.select(F.col("a").alias("rec_id"), "container", "score", containment_verdict(F.col("score"), p).alias("verdict"))
 
 
