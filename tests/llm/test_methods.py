@@ -256,8 +256,17 @@ def test_a_passage_that_a_third_of_all_share(spark):
     assert {i for i, n in got.items() if n} == set(range(0, 900, 3)) and all(n >= len(p) for n in got.values() if n)
 
 
+def test_boilerplate_makes_no_candidates(spark):
+    r = random.Random(8)
+    common = " ".join(f"skupna{i}" for i in range(40))
+    rows = [(i, " ".join(f"beseda{r.randrange(10**6)}" for _ in range(60)) + " " + common) for i in range(300)] + [(900 + i, f"{common} dodatek{i}") for i in range(3)]
+    _, pairs = near.near_pairs(spark.createDataFrame(rows, "id long, text string"), "id", "text", least=0.5, weighted=False, hot=5)
+    assert {(x.a, x.b) for x in pairs.collect()} == {(900, 901), (900, 902), (901, 902)}
+
+
+@pytest.mark.parametrize("hot", [0, 2048])
 @pytest.mark.parametrize("weighted", [False, True])
-def test_near_pairs_match_brute_force(spark, weighted):
+def test_near_pairs_match_brute_force(spark, weighted, hot):
     from collections import Counter
 
     rows = random_docs()
@@ -269,8 +278,11 @@ def test_near_pairs_match_brute_force(spark, weighted):
     sim = lambda a, b: sum((a & b).values()) / sum((a | b).values())
     want = {(a, b) for a, b in itertools.combinations(sorted(bags), 2) if sim(bags[a], bags[b]) >= 0.5}
     d = spark.createDataFrame(rows, "id long, text string").repartition(3)
-    got = {(r.a, r.b) for r in near.expand(*near.near_pairs(d, "id", "text", 0.5, weighted=weighted)).collect()}
+    got = {(r.a, r.b) for r in near.expand(*near.near_pairs(d, "id", "text", 0.5, weighted=weighted, hot=hot)).collect()}
     assert got == want
+    only = {x for x, t in rows if x <= 60}
+    exact = near.exact_pairs(d.where("id <= 60"), "id", "text", 0.5, weighted=weighted)
+    assert {(r.a, r.b) for r in exact.collect()} == {(a, b) for a, b in want if a in only and b in only}
 
 
 def test_bag_signatures_are_unbiased():

@@ -2,8 +2,9 @@
 
 One pass gives every text a fingerprint of its words and a BagMinHash signature of its word shingles. Texts of the same words
 form a class; the smallest id stands for it. Bands of the signature are joined to candidate pairs, whose texts are fetched and
-compared exactly. Nothing is capped: a full bucket is an equi-join on its band, which the engine splits by size where it is
-skewed.
+compared by all their shingles, as 64-bit hashes. Nothing is capped. A bucket of more than `hot` texts, as boilerplate makes
+them, is not joined with itself: its texts are compared by their rarest shingles, of which a pair must share one, so that what most
+of them have makes no candidates; no pair is missed by that.
 
 With bands of r components each, a pair of similarity s is missed with probability (1 - s**r)**bands: at the defaults 0.1 % at
 0.5, none to speak of at 0.6 and above.
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zrno.llm import grams
+from zrno.operators import dedup
 from zrno.operators.components import connected_components
 from zrno.session import cut
 
@@ -106,7 +108,26 @@ def _verify(k: int, least: float, weighted: bool):
     return run
 
 
-def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, bands: int = 24, rows: int = 2, weighted: bool = True) -> tuple[DataFrame, DataFrame]:
+def _sets(k: int, weighted: bool):
+    """(id, sh, n): shingles as 64-bit hashes, the second and further occurrences as elements of their own where weighted, so that the Jaccard similarity of sets is that of bags."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = grams.Hashes()
+        for b in grams.chunks(batches, 1):
+            words, n = grams.word_hashes(b.column(1).to_pylist(), cache)
+            doc, h, weight = grams.distinct(*grams.shingles(words, n, k))
+            if weighted:
+                at = np.repeat(np.arange(len(h)), weight)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(weight) - weight, weight)
+                doc, h = doc[at], np.where(nth == 0, h[at], grams.mix(h[at] + nth.astype(np.uint64)))
+            size = np.bincount(doc, minlength=len(n))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(size.astype(np.int32))], names=["id", "sh", "n"])
+
+    return run
+
+
+def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, bands: int = 24, rows: int = 2, weighted: bool = True, hot: int = 2048) -> tuple[DataFrame, DataFrame]:
     """(classes, pairs): classes (id, class_id) of every text that has a shingle, by same words; pairs (a, b, similarity) of class ids, a < b, at or above `least`.
 
     weighted: compare bags of shingles (sum of the lesser over sum of the greater multiplicities), else sets.
@@ -117,18 +138,30 @@ def near_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, k: int =
     classes = cut(signed.select("id", "fp").join(reps, "fp").select("id", "class_id"), "classes")
     heads = classes.where("id = class_id").select("id")
     b = signed.join(heads, "id", "left_semi").select("id", F.explode("bands").alias("band"))
-    some = cut(b.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band"), "bands")
-    b = cut(b.join(some, "band", "left_semi"), "banded")
-    pairs = b.alias("l").join(b.alias("r"), F.expr("l.band = r.band and l.id < r.id")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    pairs = cut(pairs, "candidates")
+    full = cut(b.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "bands")
+    cold = cut(b.join(full.where(f"many <= {hot}"), "band", "left_semi"), "banded")
+    pairs = cold.alias("l").join(cold.alias("r"), F.expr("l.band = r.band and l.id < r.id")).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    crowded = full.where(f"many > {hot}")
+    if not crowded.isEmpty():
+        ids = cut(b.join(crowded, "band", "left_semi").select("id").distinct(), "crowded")
+        sets = cut(d.select("id", "text").join(ids, "id", "left_semi").mapInArrow(_sets(k, weighted), "id long, sh array<long>, n int"), "sets")
+        pairs = pairs.union(dedup.jaccard_candidates(sets, "id", least))
+    pairs = cut(pairs.distinct(), "candidates")
     z = pack(d.select("id", "text"))
     need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     z = cut(z.join(need, "id", "left_semi"), "texts")
-    full = pairs.join(z.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-    sure = full.select("a", "b", "za", "zb").mapInArrow(_verify(k, least, weighted), "a long, b long, similarity double")
+    texts = pairs.join(z.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
+    sure = texts.select("a", "b", "za", "zb").mapInArrow(_verify(k, least, weighted), "a long, b long, similarity double")
     return classes, cut(sure, "near")
 
 
+def exact_pairs(df: DataFrame, key: str, text: str, least: float = 0.8, k: int = 5, weighted: bool = True) -> DataFrame:
+    """(a, b, both, similarity) of all pairs of texts by their shingles alone, to measure signatures against."""
+    d = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null and text <> ''")
+    sets = cut(d.mapInArrow(_sets(k, weighted), "id long, sh array<long>, n int"), "sets")
+    return dedup.jaccard_pairs(sets.where("n > 0"), "id", least)
+
+
 def expand(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b): pairs of records from pairs of classes, and those within a class; where the result must hold pairs."""
     c = classes.select(F.col("class_id").alias("ca"), F.col("id").alias("ia"))

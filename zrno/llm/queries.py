@@ -62,6 +62,16 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(*near.near_pairs(docs, "rec_id", "text")).withColumnRenamed("id", "rec_id")
 
 
+@query
+def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pairs, found, recall): of all pairs of texts whose bags are similar to 0.8 or more, by an exact join on their rarest shingles, those that signatures lead to."""
+    docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
+    classes, pairs = near.near_pairs(docs, "rec_id", "text")
+    every = near.exact_pairs(docs.join(classes.where("id = class_id").select(F.col("id").alias("rec_id")), "rec_id", "left_semi"), "rec_id", "text")
+    j = every.join(pairs.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("found"))
+    return j.withColumn("recall", F.when(F.col("pairs") == 0, F.lit(1.0)).otherwise(F.col("found") / F.col("pairs")))
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
