@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zrno.llm import defects, levels, mixing, mojibake, near, packing, scans, spans, splits
+from zrno.llm import defects, levels, mixing, mojibake, near, packing, scans, spans, splits, tokens
 from zrno.session import cut, spread, table
 
 QUERIES: dict = {}
@@ -17,6 +17,16 @@ def query(f):
     return f
 
 
+def kept(sql: str):
+    """Registers a query of what must hold of another's result, with the SQL that states it."""
+
+    def wrap(f):
+        ORACLES[f.__name__] = sql
+        return query(f)
+
+    return wrap
+
+
 @query
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "train_pairs").select("pair_id", "cankar", "plain"))
@@ -48,6 +58,16 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(_tied(spark, sf_dir), {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
+@kept("SELECT count(*) AS n_records, 0::BIGINT AS n_torn, true AS near_quota FROM corpus_docs")
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record has a split, no component is torn, and every split is within a hundredth of its quota."""
+    s = cut(p2_splits(spark, sf_dir), "splits")
+    torn = s.groupBy("component").agg(F.countDistinct("split").alias("k")).agg(F.coalesce(F.sum((F.col("k") > 1).cast("long")), F.lit(0)).alias("n_torn"))
+    n = s.agg(F.count(F.lit(1)).alias("n_records"), *[F.avg((F.col("split") == k).cast("int")).alias(k) for k in ("train", "validation", "test")])
+    near_quota = F.greatest(*[F.abs(F.col(k) - q) for k, q in (("train", 0.8), ("validation", 0.1), ("test", 0.1))]) <= 0.01
+    return n.join(F.broadcast(torn)).select("n_records", "n_torn", near_quota.alias("near_quota"))
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
@@ -133,6 +153,15 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "doc_id", "text", capacity=2048)
 
 
+@kept("SELECT count(*) AS n_documents, 0::BIGINT AS n_over, 0::BIGINT AS n_split, true AS tight FROM documents")
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document lies somewhere, no container is over its capacity, no document that fits is split, and containers are at most a hundredth more than their tokens need."""
+    c = cut(p7_containers(spark, sf_dir), "containers")
+    fill = c.groupBy("container").agg(F.sum("n_tokens").alias("fill")).agg(F.sum((F.col("fill") > 2048).cast("long")).alias("n_over"), F.count(F.lit(1)).alias("k"), F.sum("fill").alias("all"))
+    docs = c.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows")).agg(F.count(F.lit(1)).alias("n_documents"), F.sum(((F.col("n") <= 2048) & (F.col("rows") > 1)).cast("long")).alias("n_split"))
+    return docs.join(F.broadcast(fill)).select("n_documents", "n_over", "n_split", (F.col("k") <= 1.01 * F.ceil(F.col("all") / 2048) + 1).alias("tight"))
+
+
 @query
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document stands in the mix, with its source's share as asked for and as reached."""
@@ -147,3 +176,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     targets = table(spark, sf_dir, "mix_targets")
     return mixing.shares(cut(mixing.mix(docs, targets, "doc_id", "text", "source"), "mix"), targets)
+
+
+@kept("SELECT source, target_share, true AS within_repeats, true AS as_near FROM mix_targets")
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No document stands more often than its source allows, and every source either has its target's share of what all uncapped ones reach, to a twentieth, or is used up."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    targets = table(spark, sf_dir, "mix_targets")
+    m = cut(mixing.mix(docs, targets, "doc_id", "text", "source"), "mix")
+    s = mixing.shares(m, targets).join(targets.select("source", "max_repeats"), "source")
+    sizes = tokens.count_tokens(docs, "doc_id", "text", keep=("source",)).groupBy("source").agg(F.sum("n_tokens").alias("have"))
+    s = cut(s.join(sizes, "source", "left").withColumn("up", F.col("actual_share") / F.col("target_share")), "shares")
+    top = s.agg(F.max("up").alias("top"))
+    used = F.coalesce(F.col("n_tokens") >= 0.95 * F.col("have") * F.col("max_repeats"), F.lit(True))
+    return s.join(F.broadcast(top)).select("source", "target_share", (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"), ((F.col("up") >= 0.95 * F.col("top")) | used).alias("as_near"))
