@@ -14,7 +14,7 @@ What comes out is linear: groups (g, id) of texts that share a window, one for e
 that stand elsewhere too. Pairs are made of groups where a result must hold pairs.
 
 Texts equal as a whole are one class with the smallest id in front; their members are paired at the end. Nothing is capped. Equal
-texts and strings are told by 128-bit digests, sets of texts by two 64-bit sums modulo two.
+texts are told by 128-bit digests, equal strings by their minimiser and a 64-bit digest, sets of texts by two 64-bit sums modulo two.
 
 Nulls: null ids, null texts and texts shorter than a window are no case. Repeated ids must not occur. Empty tables give empty
 results. Extra columns are ignored.
@@ -37,6 +37,10 @@ from zrno.llm.near import pack, unpack
 from zrno.session import cut
 
 
+#: Marks a super-k-mer whose minimiser the text has had before.
+AGAIN = 1 << 62
+
+
 def _super(codes: np.ndarray, n: np.ndarray, span: int, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, first window, number of windows) of the super-k-mers of texts whose windows have the minimisers `best`; positions are those of `codes`."""
     ends, m = np.cumsum(n), len(best)
@@ -65,8 +69,13 @@ def _list(span: int, mini: int):
             at = start - (np.cumsum(n) - n)[of]
             cuts = pa.array(np.searchsorted(of, np.append(ok, len(n))), pa.int32())
             raw = codes.tobytes()
-            sids = [xxhash.xxh3_128_digest(raw[4 * i : 4 * (i + k + span - 1)]) for i, k in zip(start.tolist(), count.tolist())]
-            lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array(best[start].view(np.int64) if len(best) else np.empty(0, np.int64)), pa.array((at << 16 | count).astype(np.int64)), pa.array(sids, pa.binary()))]
+            sids = np.fromiter((xxhash.xxh3_64_intdigest(raw[4 * i : 4 * (i + k + span - 1)]) for i, k in zip(start.tolist(), count.tolist())), np.uint64, len(start)).view(np.int64)
+            keys = best[start].view(np.int64) if len(best) else np.empty(0, np.int64)
+            o = np.lexsort((at, keys, of))
+            again = np.append(False, (keys[o][1:] == keys[o][:-1]) & (of[o][1:] == of[o][:-1])) if len(o) else np.empty(0, bool)
+            spots = (at << 16 | count).astype(np.int64)
+            spots[o[again]] |= AGAIN
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (keys, spots, sids)]
             fps = [xxhash.xxh3_128_digest(texts[i].encode("utf-8", "surrogatepass")) for i in ok]
             ids = b.column(0).to_numpy(zero_copy_only=False)[ok].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(fps, pa.binary()), pa.array(n[ok]), *lists], names=["id", "fp", "n", "keys", "spots", "sids"])
@@ -75,7 +84,7 @@ def _list(span: int, mini: int):
 
 
 def _slice(span: int, mini: int):
-    """(key, sid, base, lo, hi, s): the strings of the listed super-k-mers of each text; those of hot minimisers cut again by the second one."""
+    """(bucket, key, sid, base, lo, hi, s): the strings of the listed super-k-mers of each text; those of hot minimisers cut again by the second one."""
 
     def again(key: int, t: str) -> Iterator[tuple[int, int, str]]:
         codes, n = grams.code_points([t])
@@ -91,17 +100,17 @@ def _slice(span: int, mini: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = zstandard.ZstdDecompressor()
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for z, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t = unpack(d, z)
                 for x in at:
-                    p, c = x["spot"] >> 16, x["spot"] & 0xFFFF
+                    p, c = (x["spot"] & ~AGAIN) >> 16, x["spot"] & 0xFFFF
                     s = t[p : p + c - 1 + span]
                     for k, base, part in again(x["key"], s) if x["hot"] else ((x["key"], 0, s),):
-                        for col, v in zip(out, (k, x["sid"], base, x["lo"], x["hi"], part)):
+                        for col, v in zip(out, (k, x["key"], x["sid"], base, x["lo"], x["hi"], part)):
                             col.append(v)
-            types = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(col, k) for col, k in zip(out, types)], names=["key", "sid", "base", "lo", "hi", "s"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(col, k) for col, k in zip(out, types)], names=["bucket", "key", "sid", "base", "lo", "hi", "s"])
 
     return run
 
@@ -164,12 +173,12 @@ def equal_windows(keys: np.ndarray, strings: list[str], span: int) -> tuple[np.n
 
 
 def _groups(span: int):
-    """(g, sid): the strings of each set that an equal window shows, each distinct set of a bucket once; sets of one string are left out."""
+    """(g, key, sid): the strings of each set that an equal window shows, each distinct set of a bucket once; sets of one string are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_buckets(batches):
-            keys, sids = t.column(0).to_numpy(), t.column(1).to_pylist()
-            row, off, no = equal_windows(keys, t.column(5).to_pylist(), span)
+            keys, own, sids = (t.column(k).to_numpy() for k in range(3))
+            row, off, no = equal_windows(keys, t.column(6).to_pylist(), span)
             one = np.append(True, (no[1:] != no[:-1]) | (row[1:] != row[:-1])) if len(no) else np.empty(0, bool)
             row, no = row[one], no[one]
             at = np.flatnonzero(np.append(True, no[1:] != no[:-1])) if len(no) else np.empty(0, np.int64)
@@ -181,19 +190,18 @@ def _groups(span: int):
             g = grams.mix(sets[many] ^ keys.view(np.uint64)[row[at[keep]]]).view(np.int64) if len(keep) else np.empty(0, np.int64)
             k = np.repeat(np.arange(len(keep)), size[keep])
             where = at[keep][k] + np.arange(len(k)) - np.repeat(np.cumsum(size[keep]) - size[keep], size[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(g[k]), pa.array([sids[r] for r in row[where]], pa.binary())], names=["g", "sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(g[k]), pa.array(own[row[where]]), pa.array(sids[row[where]])], names=["g", "key", "sid"])
 
     return run
 
 
 def _stretches(span: int):
-    """(sid, from, to): stretches of each string whose windows stand in another text too."""
+    """(key, sid, from, to): stretches of each string whose windows stand in another text too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_buckets(batches):
-            keys, sids = t.column(0).to_numpy(), t.column(1).to_pylist()
-            base, low, high = (t.column(k).to_numpy() for k in (2, 3, 4))
-            row, off, no = equal_windows(keys, t.column(5).to_pylist(), span)
+            keys, own, sids, base, low, high = (t.column(k).to_numpy() for k in range(6))
+            row, off, no = equal_windows(keys, t.column(6).to_pylist(), span)
             if not len(no):
                 continue
             at = np.flatnonzero(np.append(True, no[1:] != no[:-1]))
@@ -206,49 +214,54 @@ def _stretches(span: int):
             at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (off[1:] != off[:-1] + 1)))
             end = np.append(at[1:], len(row)) - 1
             r = row[at]
-            yield pa.RecordBatch.from_arrays([pa.array([sids[i] for i in r], pa.binary()), pa.array((base[r] + off[at]).astype(np.int64)), pa.array((base[r] + off[end] + span).astype(np.int64))], names=["sid", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(sids[r]), pa.array((base[r] + off[at]).astype(np.int64)), pa.array((base[r] + off[end] + span).astype(np.int64))], names=["key", "sid", "lo", "hi"])
 
     return run
 
 
 @dataclass
 class Parts:
-    """classes (id, class_id, n); members (key, sid, id, spot) of class ids; alone (sid, spot) of strings that several texts have and that are the only ones of their minimiser; buckets (key, sid, base, lo, hi, s), each bucket together."""
+    """classes (id, class_id, n); keys (key, one, x, y): shared minimisers, whether all their strings are the same, and the set of their texts as two sums; members (key, sid, id, spot, one) of class ids; strings (key, sid, lo, hi) of minimisers of several, with the least and greatest text; buckets (bucket, key, sid, base, lo, hi, s), each together."""
 
     classes: DataFrame
+    keys: DataFrame
     members: DataFrame
-    alone: DataFrame
+    strings: DataFrame
     buckets: DataFrame
 
 
 def _prepare(df: DataFrame, key: str, text: str, span: int, mini: int, hot: int) -> Parts:
     d = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(f"id is not null and length(text) >= {span}")
-    listed = cut(d.mapInArrow(_list(span, mini), "id long, fp binary, n long, keys array<long>, spots array<long>, sids array<binary>"), "listed")
+    listed = cut(d.mapInArrow(_list(span, mini), "id long, fp binary, n long, keys array<long>, spots array<long>, sids array<long>"), "listed")
     heads = listed.groupBy("fp").agg(F.min("id").alias("class_id"))
     classes = cut(listed.select("id", "fp", "n").join(heads, "fp").select("id", "class_id", "n"), "classes")
-    heads = classes.where("id = class_id").select("id")
-    each = listed.join(heads, "id", "left_semi")
-    keys = each.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    copies = classes.where("id <> class_id").select("id")
+    each = listed.join(copies, "id", "left_anti")
+    shared = each.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     flat = each.select("id", F.explode(F.arrays_zip("keys", "spots", "sids")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.sids").alias("sid"), "id", F.col("x.spots").alias("spot"))
-    members = cut(flat.join(cut(keys, "minimisers"), "key", "left_semi"), "members")
-    strings = cut(members.groupBy("key", "sid").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "spot")).alias("rep")), "strings")
-    n = strings.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    told = strings.join(n, "key")
-    alone = told.where("n = 1 and lo < hi").select("sid", F.col("rep.spot").alias("spot"))
-    want = told.where("n > 1").groupBy(F.col("rep.id").alias("id")).agg(F.collect_list(F.struct("key", "sid", F.col("rep.spot").alias("spot"), "lo", "hi", (F.col("n") > hot).alias("hot"))).alias("at"))
-    parts = pack(d).join(cut(want, "wanted"), "id").select("z", "at").mapInArrow(_slice(span, mini), "key long, sid binary, base int, lo long, hi long, s string")
-    return Parts(classes, members, alone, parts.repartition("key").sortWithinPartitions("key"))
+    flat = cut(flat.join(cut(shared, "minimisers"), "key", "left_semi"), "shared")
+    first = F.when(F.col("spot") < AGAIN, F.xxhash64("id"))
+    keys = flat.groupBy("key").agg((F.min("sid") == F.max("sid")).alias("one"), F.bit_xor(first).alias("x"), F.bit_xor(F.when(F.col("spot") < AGAIN, F.xxhash64("id", F.lit(7)))).alias("y"), (F.count(F.lit(1)) > hot).alias("hot"))
+    keys = cut(keys, "keys")
+    several = keys.where("not one").select("key", "hot")
+    strings = cut(flat.join(several, "key").groupBy("key", "sid", "hot").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("spot", F.struct("id", "spot")).alias("spot")), "strings")
+    want = strings.groupBy(F.col("lo").alias("id")).agg(F.collect_list(F.struct("key", "sid", "spot", "lo", "hi", "hot")).alias("at"))
+    parts = pack(d).join(cut(want, "wanted"), "id").select("z", "at").mapInArrow(_slice(span, mini), "bucket long, key long, sid long, base int, lo long, hi long, s string")
+    return Parts(classes, keys, flat, strings.select("key", "sid", "lo", "hi"), parts.repartition("bucket").sortWithinPartitions("bucket"))
 
 
 def shared_groups(df: DataFrame, key: str, text: str, span: int = 150, mini: int = 40, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(classes (id, class_id), groups (g, id) of class ids that share a run of `span` or more code points): every two of a group do, and every two that do are in a group."""
     p = _prepare(df, key, text, span, mini, hot)
-    sets = p.buckets.mapInArrow(_groups(span), "g long, sid binary")
-    several = p.members.groupBy("sid").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.xxhash64("sid").alias("g"), "sid")
-    groups = cut(sets.union(several).join(p.members.select("sid", "id").distinct(), "sid").select("g", "id").distinct(), "groups")
-    same = groups.groupBy("g").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    one = same.groupBy("x", "y", "n").agg(F.min("g").alias("g")).select("g")
-    return p.classes.select("id", "class_id"), cut(groups.join(one, "g", "left_semi"), "spans")
+    # of minimisers of one string, one for each set of texts says it all
+    alone = p.keys.where("one").groupBy("x", "y").agg(F.min("key").alias("key")).select("key")
+    groups = p.members.join(alone, "key", "left_semi").where(F.col("spot") < AGAIN).select(F.col("key").alias("g"), "id")
+    sets = p.buckets.mapInArrow(_groups(span), "g long, key long, sid long")
+    same = p.strings.where("lo < hi").select(F.xxhash64("key", "sid").alias("g"), "key", "sid")
+    told = cut(sets.union(same).join(p.members, ["key", "sid"]).select("g", "id").distinct(), "told")
+    several = told.groupBy("g").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rest = several.groupBy("x", "y").agg(F.min("g").alias("g")).join(p.keys.where("one").select("x", "y"), ["x", "y"], "left_anti").select("g")
+    return p.classes.select("id", "class_id"), cut(groups.union(told.join(rest, "g", "left_semi")), "spans")
 
 
 def shared_pairs(df: DataFrame, key: str, text: str, span: int = 150, mini: int = 40, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -261,10 +274,10 @@ def shared_pairs(df: DataFrame, key: str, text: str, span: int = 150, mini: int
 def shared_share(df: DataFrame, key: str, text: str, span: int = 150, mini: int = 40, hot: int = 4096) -> DataFrame:
     """(id, n_chars, shared_chars, share): how much of each text of `span` or more code points stands elsewhere too. A text with an exact copy is shared as a whole."""
     p = _prepare(df, key, text, span, mini, hot)
-    whole = p.alone.select("sid", F.lit(0).cast("long").alias("lo"), (F.expr("spot & 65535") + span - 1).alias("hi"))
-    s = p.buckets.mapInArrow(_stretches(span), "sid binary, lo long, hi long").union(whole)
-    at = F.shiftright("spot", 16)
-    s = s.join(p.members.select("sid", "id", "spot"), "sid").select("id", (at + F.col("lo")).alias("lo"), (at + F.col("hi")).alias("hi"))
+    at = F.shiftright(F.col("spot").bitwiseAND(F.lit(AGAIN - 1)), 16)
+    whole = p.members.join(p.keys.where("one").select("key"), "key", "left_semi").select("id", at.alias("lo"), (at + F.expr("spot & 65535") + (span - 1)).alias("hi"))
+    s = p.buckets.mapInArrow(_stretches(span), "key long, sid long, lo long, hi long")
+    s = s.join(p.members, ["key", "sid"]).select("id", (at + F.col("lo")).alias("lo"), (at + F.col("hi")).alias("hi")).union(whole)
     runs = s.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("x"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
     step = lambda acc, r: F.struct((acc.n + F.greatest(F.lit(0), r.hi - F.greatest(r.lo, acc.to))).alias("n"), F.greatest(acc.to, r.hi).alias("to"))
