@@ -72,6 +72,11 @@ def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULAR
     return d.mapInArrow(run, fields + ", n_tokens long")
 
 
+def digit_ids(r: dict[bytes, int]) -> frozenset[int]:
+    """Ids of tokens that are digits only."""
+    return frozenset(i for raw, i in r.items() if raw.isdigit())
+
+
 def with_ids(df: DataFrame, text: str, vocabulary: str = VOCABULARY, first: int | None = None) -> DataFrame:
     """Adds tokens array<int>: the ids of the text, after `first` if given; empty for a null text."""
     bc = shared_ranks(df.sparkSession, vocabulary)

@@ -78,6 +78,11 @@ def without_marks(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else "".join(ch for ch in unicodedata.normalize("NFKD", s) if not unicodedata.combining(ch)))
 
 
+def page_url(base: str, title: Column) -> Column:
+    """A page's address from its title, blanks as underscores."""
+    return F.concat(F.lit(base), F.replace(title, F.lit(" "), F.lit("_")))
+
+
 def slug(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(without_marks(normal_title(title)), WS + "+", "-"), "^-+|-+$", "")
 

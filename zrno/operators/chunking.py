@@ -143,14 +143,36 @@ def token_totals(sizes: DataFrame, *by: str) -> DataFrame:
     return d.rollup(*by).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def slice_of(source: Column, author: Column, first: str, general: str) -> Column:
+    """The slice of a document: the first author's, the general source's, or literary."""
+    return F.when(F.coalesce(author == first, F.lit(False)), "first_author").when(F.coalesce(source == general, F.lit(False)), "general").otherwise("literary")
+
+
 def fertility(sizes: DataFrame, by: str, text: str) -> DataFrame:
-    """(by, n_docs, n_words, n_bytes, n_tokens, tokens_per_word, bytes_per_token, soft_hyphens, tabs) of texts with n_tokens."""
+    """(by, n_docs, n_words, n_bytes, n_tokens, n_digit_tokens, tokens_per_word, bytes_per_token, digit_token_share, fertility_p95, soft_hyphens, tabs) of texts with n_tokens and n_digit_tokens.
+
+    fertility_p95 is the nearest-rank 95th percentile of tokens a word by document, rounded to six places, from counts of distinct values.
+    """
     from zrno.functions.text import words
+    from zrno.operators.stats import nearest_rank_by
 
     n = F.count(F.lit(1))
-    has = lambda ch: F.sum(F.contains(F.col(text), F.lit(ch)).cast("int"))
-    g = sizes.where(F.col(text).isNotNull()).withColumn("_w", F.size(words(text))).groupBy(by).agg(n.alias("n_docs"), F.sum("_w").alias("n_words"), F.sum(F.octet_length(text)).alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"), has("\xad").alias("soft_hyphens"), has("\t").alias("tabs"))
-    return g.withColumns({"tokens_per_word": F.col("n_tokens") / F.col("n_words"), "bytes_per_token": F.col("n_bytes") / F.col("n_tokens")})
+    has = lambda c: F.sum(F.col(c).cast("int"))
+    d = cut(sizes.where(F.col(text).isNotNull()).withColumns({"_w": F.size(words(text)), "_b": F.octet_length(text), "soft": F.contains(F.col(text), F.lit("\xad")), "tab": F.contains(F.col(text), F.lit("\t"))}).drop(text), "sizes")
+    g = d.groupBy(by).agg(n.alias("n_docs"), F.sum("_w").alias("n_words"), F.sum("_b").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_digit_tokens").alias("n_digit_tokens"), has("soft").alias("soft_hyphens"), has("tab").alias("tabs"))
+    p95 = nearest_rank_by(d.where("_w > 0").select(by, F.round(F.col("n_tokens") / F.col("_w"), 6).alias("_f")), by, "_f", 0.95, "fertility_p95")
+    over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return g.join(p95, by, "left").withColumns({"tokens_per_word": over("n_tokens", "n_words"), "bytes_per_token": over("n_bytes", "n_tokens"), "digit_token_share": over("n_digit_tokens", "n_tokens"), "fertility_p95": F.coalesce("fertility_p95", F.lit(0.0))})
+
+
+def length_report(made: DataFrame, by: str, budget: int, short: int = 64) -> DataFrame:
+    """(by, n_chunks, n_tokens, p50, p95, longest, at_budget, under_short) of chunks' lengths; percentiles are nearest ranks from counts of distinct lengths."""
+    from zrno.operators.stats import nearest_rank_by
+
+    n = F.col("n_tokens")
+    d = made.select(by, "n_tokens")
+    g = d.groupBy(by).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(n.cast("long")).alias("n_tokens"), F.max(n).alias("longest"), F.sum((n == budget).cast("long")).alias("at_budget"), F.sum((n < short).cast("long")).alias("under_short"))
+    return g.join(nearest_rank_by(d, by, "n_tokens", 0.5, "p50"), by).join(nearest_rank_by(d, by, "n_tokens", 0.95, "p95"), by)
 
 
 def tiles(docs: DataFrame, key: str, tokens: str, seq_len: int, pad: int = 0, ignore: int = -1) -> DataFrame:

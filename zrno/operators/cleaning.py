@@ -20,7 +20,6 @@ HEADER = r"^\s*(Štev\.|V Ljubljani,? dne|Leposloven)|(\bLeto [IVX]+\.?\s*$)"
 ROMAN = r"^[IVXLC]{1,6}\.?$"
 BACKSLASHES = r"^\\+\s*$"
 NOISE = r"[^<>^=~|%&$#]"
-GOOD = r"[^\p{L}\s.,;:!?\-\"'()„“”«»*…]"
 HEADER_ZONE, ORPHAN_ZONE, LINE_FLOOR = 10, 30, 0.85
 EARLY, EARLY_MOST, ALPHA_LEAST, CHARS_LEAST = 1000, 10, 0.84, 400
 
@@ -79,9 +78,9 @@ def _decode(b: bytes) -> str:
 # Names and headings of wiki markup.
 MEDIA = ("slika", "datoteka", "file", "image", "berilo")
 BACK_MATTER = ("viri", "sklici", "opombe", "reference", "zunanje povezave", "glej tudi", "literatura", "nadaljnje branje", "sorodne strani", "opombe in sklici")
-TAG_BLOCKS = ("score", "hiero", "chem", "mapframe", "maplink", "syntaxhighlight", "source", "imagemap", "gallery", "timeline", "math", "templatestyles")
+TAG_BLOCK = r"<(score|hiero|chem|mapframe|maplink|syntaxhighlight|source|imagemap|gallery|timeline|math|templatestyles)\b[^>]*>.*?</\1>"
 _BACK = re.compile(r"^=+\s*(?:" + "|".join(BACK_MATTER) + r")\s*=+\s*$", re.I | re.M)
-_BLOCK = re.compile(r"<(" + "|".join(TAG_BLOCKS) + r")\b[^>]*>.*?</\1>", re.S | re.I)
+_BLOCK = re.compile(TAG_BLOCK, re.S | re.I)
 _CLOSED = re.compile(r"<(?:templatestyles|mapframe|maplink)\b[^>]*/>", re.I)
 _OTHER_WIKI = re.compile(r"\[\[[a-z]{2,3}(?:-[a-z]+)?:[^\]]+\]\]")
 _REF = re.compile(r"<ref[^>/]*(?:/>|>.*?</ref>)", re.S | re.I)

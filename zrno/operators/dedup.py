@@ -196,7 +196,39 @@ def band_hashes(sets: DataFrame, key: str, bands: int, rows: int, seed: int = 1)
     return d.mapInArrow(run, f"`{key}` {dict(d.dtypes)[key]}, h long")
 
 
-def lsh_pairs(sets: DataFrame, key: str, bands: int = 21, rows: int = 6) -> DataFrame:
-    """(a, b), a < b: pairs whose signatures agree in a band, unverified; the chance at similarity s is 1 - (1 - s**rows)**bands."""
+def lsh_index(sets: DataFrame, key: str, bands: int = 21, rows: int = 6) -> DataFrame:
+    """(key, sh, n, bands): sets with their band hashes, to be kept and matched against; more are added by union."""
+    b = band_hashes(sets, key, bands, rows).groupBy(key).agg(F.collect_list("h").alias("bands"))
+    return cut(sets.where("n > 0").select(key, "sh", "n").join(b, key), "index")
+
+
+def lsh_match(index: DataFrame, sets: DataFrame, key: str, least: float = 0.8, bands: int = 21, rows: int = 6) -> DataFrame:
+    """(key, root_id) of every set: the smallest key of the index that it is similar to at `least` or more, null for none; candidates are compared by their runs."""
+    new = cut(band_hashes(sets, key, bands, rows), "bands")
+    old = index.select(F.col(key).alias("b"), F.explode("bands").alias("h"))
+    cand = new.select(F.col(key).alias("a"), "h").join(old, "h").select("a", "b").distinct()
+    every = sets.select(key, "sh", "n").unionByName(index.select(key, "sh", "n"))
+    m = _measure(cand, every, key).where(F.col("both") >= F.lit(least) * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9)
+    return sets.select(key).join(m.groupBy(F.col("a").alias(key)).agg(F.min("b").alias("root_id")), key, "left")
+
+
+def lsh_pairs(sets: DataFrame, key: str, least: float = 0.8, bands: int = 21, rows: int = 6) -> DataFrame:
+    """(a, b), a < b: pairs whose signatures agree in a band and that are similar to `least` or more by their runs; one of similarity s is found with the chance 1 - (1 - s**rows)**bands."""
     b = cut(band_hashes(sets, key, bands, rows), "bands")
-    return b.select(F.col(key).alias("a"), "h").join(b.select(F.col(key).alias("b"), "h"), "h").where("a < b").select("a", "b").distinct()
+    b = cut(b.join(b.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"), "h", "left_semi"), "shared")
+    cand = b.select(F.col(key).alias("a"), "h").join(b.select(F.col(key).alias("b"), "h"), "h").where("a < b").select("a", "b").distinct()
+    return _measure(cand, sets, key).where(F.col("both") >= F.lit(least) * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def most_contained(sets: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """(key, max_containment) of the sets whose keys are in `some`: how much of each stands in the one other set that holds most of it.
+
+    Only runs of those sets are looked up in the others, and only overlaps are counted; no pair of sets is ever gathered.
+    """
+    own = sets.where("n > 0").join(some, key, "left_semi")
+    l = own.select(F.col(key).alias("h"), F.explode("sh").alias("s"))
+    runs = cut(l.groupBy("s").agg(F.count(F.lit(1)).alias("k")).select("s"), "runs")
+    r = sets.select(F.col(key).alias("b"), F.explode("sh").alias("s")).join(runs, "s", "left_semi")
+    both = l.join(r, "s").where("b <> h").groupBy("h", "b").agg(F.count(F.lit(1)).alias("both"))
+    best = both.groupBy(F.col("h").alias(key)).agg(F.max("both").alias("both"))
+    return own.join(best, key, "left").select(key, F.coalesce(F.col("both") / F.col("n"), F.lit(0.0)).alias("max_containment"))

@@ -14,9 +14,18 @@ from zrno.functions.text import casefold, words
 from zrno.operators.components import numbered
 from zrno.session import cut
 
-# Spelling pairs, function words of the ablation, control margin and fitness floor.
+# The spelling pair, function words of the ablation in their published order, control margin and fitness floor.
 SPELLING = (r"([sS])oln([cčCČ])", "$1on$2")
-FUNCTION_WORDS = "je in se da na ne so pa bi ni sem po ki za bil ga še ali kakor mu tudi to tako ko si mi kaj od že iz vse ter zakaj doklej dasi temveč vendar ker dokler čeprav ampak"
+FUNCTION_WORDS = (
+    "in pa ter ali a ampak toda ker da ki ko če kakor kot saj sicer "
+    "je so sem si smo ste bil bila bilo bili bom boš bo bomo boste bodo bi biti "
+    "ne ni nič se me te ga jo jih nas vas jim mu ji mi ti on ona ono oni vi "
+    "moj tvoj njegov njen naš vaš svoj ta to tega tem taka tisti tale "
+    "v na z s k h o po za do od pri pred med nad pod ob čez skozi brez proti iz "
+    "zaradi kljub kdo kaj kje kam kdaj kako zakaj kateri kdor "
+    "tudi še že le samo celo prav zelo bolj najbolj tako potem zdaj takrat tam "
+    "tukaj tja vsak ves vsi nekaj nekdo nihče noben"
+)
 MARGIN, AUC_FLOOR = 1.0, 0.75
 # The families of the ablation.
 FAMILIES = ("characters", "words", "function_words", "one_spelling")
@@ -41,6 +50,28 @@ def auc(scores: DataFrame, score: str, positive: str) -> DataFrame:
     return r.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), (wins / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
+def deploy_check(scores: DataFrame, own: str, peer: str, plain: str) -> DataFrame:
+    """One row from scores of aligned texts (a work's own, a peer's and a plain rewriting): means, how much of the difference is style and how much topic, both AUCs and the verdict. Rows without all three are left out of the pair and the means alike."""
+    d = cut(scores.where(F.col(own).isNotNull() & F.col(peer).isNotNull() & F.col(plain).isNotNull()).select(F.col(own).alias("o"), F.col(peer).alias("p"), F.col(plain).alias("q")), "deploy")
+    m = d.agg(F.count(F.lit(1)).alias("n"), F.avg("o").alias("mean_own"), F.avg("p").alias("mean_peer"), F.avg("q").alias("mean_plain"), F.avg(F.when(F.col("o") > F.col("q"), 1.0).when(F.col("o") == F.col("q"), 0.5).otherwise(0.0)).alias("paired_auc"))
+    un = auc(d.select(F.col("o").alias("x"), F.lit(True).alias("y")).union(d.select("q", F.lit(False))), "x", "y").select(F.col("auc").alias("unpaired_auc"))
+    r = m.join(F.broadcast(un)).withColumns({"style_effect": F.col("mean_own") - F.col("mean_plain"), "topic_effect": F.col("mean_own") - F.col("mean_peer")})
+    return r.withColumn("verdict", deploy_verdict(F.col("unpaired_auc"), F.col("style_effect"), F.col("topic_effect")))
+
+
+def deploy_status(artifacts: DataFrame, records: DataFrame) -> DataFrame:
+    """(artifact, sha256, status): the recorded verdict only where it was measured on exactly this artifact, else pending."""
+    r = records.select(F.col("artifact_sha256").alias("sha256"), "verdict", "created_at").groupBy("sha256").agg(F.max_by("verdict", "created_at").alias("verdict"))
+    return artifacts.join(r, "sha256", "left").select("artifact", "sha256", F.coalesce("verdict", F.lit("pending")).alias("status"))
+
+
+def weighted_loss(batches: DataFrame, loss: str, n_scored: str) -> DataFrame:
+    """(loss, n_scored): the mean of batches' losses by their scored tokens; batches that score none are left out, and no tokens at all give 0."""
+    n = F.sum(F.when((F.col(n_scored) > 0) & F.col(loss).isNotNull(), F.col(n_scored)))
+    total = F.sum(F.when(F.col(n_scored) > 0, F.col(loss) * F.col(n_scored)))
+    return batches.agg((F.coalesce(total, F.lit(0.0)) / F.greatest(F.coalesce(n, F.lit(0)), F.lit(1))).alias("loss"), F.coalesce(n, F.lit(0)).cast("long").alias("n_scored"))
+
+
 def paired_auc(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(n, paired_auc, effect): the share of pairs in which a outscores b, ties half, and the mean difference."""
     x = F.when(F.col(a) > F.col(b), 1.0).when(F.col(a) == F.col(b), 0.5).otherwise(0.0)
@@ -111,7 +142,7 @@ def unigram_nats(train: DataFrame, test: DataFrame, word: str) -> DataFrame:
 
 def style_passages(docs: DataFrame, key: str, text: str, target: int = 90, least: int = 30, most: int = 200) -> DataFrame:
     """(key, n, passage, n_words): whole sentences gathered to `target` words; shorter rests than `least` are dropped, longer passages than `most` are cut into pieces of `target`."""
-    sents = F.filter(F.transform(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), r"(?<=[.!?…])\s+"), words), lambda w: F.size(w) > 0)
+    sents = F.filter(F.transform(F.split(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), r"(?<=[.!?…])\s+(?=[A-ZČŠŽ])"), words), lambda w: F.size(w) > 0)
     d = cut(docs.where(F.col(text).isNotNull()).select(key, sents.alias("_s")), "words")
     row = "array<array<string>>"
     zero = F.struct(F.array().cast(row).alias("out"), F.array().cast("array<string>").alias("buf"))

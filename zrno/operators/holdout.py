@@ -43,6 +43,32 @@ def select(docs: DataFrame, candidate: Column, p: HoldoutParams = HoldoutParams(
     return roles.select("key", "url", role.alias("role"), F.coalesce("most", F.lit(0.0)).alias("max_containment")).where("role is not null")
 
 
+def misattributed(docs: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(author, url) of records under an author that are known not to be theirs; wrong: (author, url)."""
+    return docs.where("url is not null").join(wrong.where("url is not null").select("author", "url").distinct(), ["author", "url"], "left_semi").select("author", "url").distinct()
+
+
+def require_no_misattributed(docs: DataFrame, wrong: DataFrame) -> None:
+    """Fails loud where a misattributed text is back in the merged corpus; names at most ten."""
+    found = [r.url for r in misattributed(docs, wrong).orderBy("url").limit(10).collect()]
+    if found:
+        raise ValueError(f"misattributed texts in the corpus: {found}; merge again")
+
+
+def require_enough(selected: DataFrame, p: HoldoutParams = HoldoutParams()) -> int:
+    """The number of works held out; fewer than least_works are an error."""
+    n = selected.where("role = 'held_out'").count()
+    if n < p.least_works:
+        raise ValueError(f"{n} clean works, {p.least_works} are needed")
+    return n
+
+
+def require_same_corpus(built_on: str, frozen_on: str) -> None:
+    """Fails where a table was made of another corpus than the one the held-out works were frozen on: their pages may then miss excerpts."""
+    if built_on != frozen_on:
+        raise ValueError(f"corpus {built_on[:12]} is not {frozen_on[:12]}, on which the held-out works were frozen; make the table again")
+
+
 def without(docs: DataFrame, url: str, *excluded: DataFrame) -> DataFrame:
     """docs without those whose url stands in any of the excluded sets (each with a column url)."""
     every = excluded[0].select("url")

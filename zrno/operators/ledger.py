@@ -31,6 +31,31 @@ def upsert(ledger: DataFrame, entries: DataFrame) -> DataFrame:
     return j.select(F.coalesce("work_id", slug(F.coalesce("_k", F.lit("")))).alias("work_id"), "author", F.coalesce("title", "t").alias("title"), F.coalesce("year", "y").alias("year"), F.coalesce("genre", "g").alias("genre"), F.array_union(F.coalesce("flags", none), F.coalesce("f", none)).alias("flags"))
 
 
+def add_aliases(have: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(aliases, index) after new ones (author, work_id, alias, seq): aliases (author, work_id, alias) united; index (author, title_key, work_id), in which the first owner of a key keeps it: titles before aliases, then the order of seq. `have` holds (author, work_id, title, aliases)."""
+    old = have.select("author", "work_id", F.posexplode(F.concat(F.array("title"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("at", "alias"))
+    rows = old.select("author", "work_id", "alias", (F.col("at") == 0).alias("own"), F.col("at").cast("long").alias("seq"), F.lit(0).alias("late")).union(
+        new.join(have.select("author", "work_id"), ["author", "work_id"], "left_semi").select("author", "work_id", "alias", F.lit(False), F.col("seq").cast("long"), F.lit(1))
+    )
+    keyed = rows.withColumn("title_key", normal_title(nfc(F.col("alias")))).where("title_key <> ''")
+    index = keyed.groupBy("author", "title_key").agg(F.min_by("work_id", F.struct((~F.col("own")).alias("o"), "late", "seq", "work_id")).alias("work_id"))
+    return rows.where("not own").select("author", "work_id", "alias").distinct(), index
+
+
+def seed_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(author, n_added, n_updated): works that seeding added, and those whose year, genre or flags it filled."""
+    b = before.select("author", "work_id", F.struct("year", "genre", F.array_sort("flags")).alias("was"))
+    j = after.select("author", "work_id", F.struct("year", "genre", F.array_sort("flags")).alias("now")).join(b, ["author", "work_id"], "left")
+    new = F.col("was").isNull()
+    return j.groupBy("author").agg(F.sum(new.cast("long")).alias("n_added"), F.sum((~new & ~F.col("was").eqNullSafe(F.col("now"))).cast("long")).alias("n_updated"))
+
+
+def one_edition(records: DataFrame, key: str, work: str) -> DataFrame:
+    """The record to pull of each work: the earliest year, records without one last, then the smallest key."""
+    first = F.min_by(key, F.struct(F.col("year").isNull().alias("no"), "year", key))
+    return records.where(F.col(work).isNotNull()).groupBy(work).agg(first.alias(key), F.count(F.lit(1)).alias("n_editions"))
+
+
 def add_sources(have: DataFrame, refs: DataFrame) -> DataFrame:
     """Source references (author, work_id, source, id, status, year, note) folded by source and id: ingested is never downgraded, otherwise the later status, year and note win where given. `seq` orders the new ones."""
     both = have.withColumn("seq", F.lit(-1).cast("long")).unionByName(refs)

@@ -18,6 +18,7 @@ ABBREVIATIONS = ("dr", "g", "ga", "sv", "št", "str", "prim", "tj", "npr", "itd"
 BOUNDARY = r"(?<![.!?…])(?<!(?<![\p{L}\p{N}_])(?:" + "|".join(ABBREVIATIONS) + r"|\p{Nd}{1,18})\s{0,3})([.!?…]+[»«”“\"']*)\s+(?=[\p{Lu}»„“\"'\-–—(])"
 HEADING = r"^(?:[IVXL]{1,6}\.?|[A-ZČŠŽ][A-ZČŠŽ \-]{3,})$"
 LEADING_HEADING = r"^(?:[IVXL]{1,6}\.|[IVXL]{2,6})\s+(?=[A-ZČŠŽ»„“])"
+# Genres that passages are taken from, openings of comments, limits, and sounds before which a preposition changes.
 PROSE = ("Proza", "Pripovedni spisi", "Esejistika", "Mladinska dela")
 PREAMBLES = ("#", "```", "Here is", "Rewritten", "Translation:", "The passage")
 MIN_RATIO, MAX_RATIO, MIN_SIMILARITY, CARONS_LEAST, CARONS_KEPT = 0.5, 1.8, 0.40, 8, 0.1

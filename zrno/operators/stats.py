@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from zrno.functions.text import casefold, lines, share, words
 
-# The characters a clean text is made of, apart from blanks.
-ALLOWED = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZčšžćđČŠŽĆĐáàâäéèêëíìîïóòôöúùûüýőűÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜ0123456789.,;:!?–—…\"'»«„“”()*/-"
+# The characters a clean text is made of, in their published order.
+ALLOWED = (
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    "čšžćđČŠŽĆĐ"
+    "áàâäéèêëíìîïóòôöúùûüýőűÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜ"
+    "0123456789"
+    " \t\n\r"
+    ".,;:!?-–—…\"'»«„“”()[]/*"
+)
 # What should not survive cleaning.
 PROBES = {"wikitable": r"\{\|", "wikilink": r"\[\[", "template": r"\{\{", "image_frag": r"\b(thumb|sličica)\|", "ref_tag": "<ref", "heading": r"(?m)^==+.+==+[ \t]*$"}
 WINDOW = 500
@@ -16,7 +23,7 @@ WINDOW = 500
 
 def unknown_chars(text: Column) -> Column:
     """Characters that are neither blank nor allowed."""
-    return F.length(F.regexp_replace(F.translate(text, ALLOWED + "[]", ""), r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]", ""))
+    return F.length(F.regexp_replace(F.translate(text, ALLOWED, ""), r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}]", ""))
 
 
 def duplicate_line_share(text: Column) -> Column:

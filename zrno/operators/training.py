@@ -10,13 +10,13 @@ IGNORE = -1
 BUCKETS = 1 << 16
 
 
-def placed(docs: DataFrame, key: str, size: str, seed: int = 1) -> DataFrame:
-    """Adds pos, each document's first token in a seeded permutation of all documents.
+def placed(docs: DataFrame, key: str, size: str, seed: int = 1, epoch: int = 0, order: Column | None = None) -> DataFrame:
+    """Adds pos, each document's first token in a permutation of all documents by seed and epoch, or in the order of a 64-bit hash.
 
     Documents are ordered by a hash, which is cut into 65,536 ranges; the ranges' totals are summed up in order, and positions within a
     range by a window, so no task holds more than a range.
     """
-    h = F.xxhash64(key, F.lit(seed))
+    h = F.xxhash64(key, F.lit(seed), F.lit(epoch)) if order is None else order
     d = docs.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 48))
     total = d.groupBy("_b").agg(F.sum(size).alias("_n"))
     before = total.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before")
@@ -77,6 +77,25 @@ def replay_windows(target_tokens: Column, seq_len: int, share: float) -> Column:
     return F.lit(0) if share == 0 else F.greatest(F.lit(1), F.bround(target_tokens * (share / (1 - share)) / seq_len, 0).cast("long"))
 
 
+def draw_windows(rows: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """n of the rows of x and y (each a whole window) as examples (key, tokens, y, n_prompt, n_target, replay), those with the smallest seeded hash of their place; fewer are an error. Every position is scored, so n_prompt is 1."""
+    from zrno.session import cut
+
+    h = F.xxhash64("batch", "row", F.lit(seed))
+    some = cut(rows.select("batch", "row", h.alias("h")).orderBy("h", "batch", "row").limit(n), "drawn")
+    have = some.count()
+    if have < n:
+        raise ValueError(f"{n} replay windows are needed, the corpus holds {have}")
+    d = rows.join(F.broadcast(some), ["batch", "row"])  # as many as were asked for
+    return d.select(F.concat(F.lit("replay:"), "batch", F.lit(":"), "row").alias("key"), F.concat("x", F.slice("y", -1, 1)).alias("tokens"), F.col("y"), F.lit(1).alias("n_prompt"), F.size("y").alias("n_target"), F.lit(True).alias("replay"))
+
+
+def with_replay(examples: DataFrame, key: str, windows: DataFrame) -> DataFrame:
+    """Examples (key, tokens, y, n_prompt, n_target) and drawn windows as one set; the examples alone stay what held-out loss is measured on."""
+    e = examples.select(F.col(key).cast("string").alias("key"), "tokens", "y", "n_prompt", "n_target", F.lit(False).alias("replay"))
+    return e.unionByName(windows)
+
+
 def replay_shares(examples: DataFrame, batch: str, n_target: str, replay: str) -> DataFrame:
     """(token_share, step_share): of the scored tokens, and of the batches that hold a replay window."""
     b = examples.groupBy(batch).agg(F.max(F.col(replay).cast("int")).alias("any"), F.sum(n_target).alias("n"), F.sum(F.when(F.col(replay), F.col(n_target)).otherwise(0)).alias("r"))

@@ -76,7 +76,7 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("rec_id", F.rlike("title", F.lit(gate.INDEX_TITLE)).alias("index_title"), F.rlike(t, F.lit(gate.REDIRECT)).alias("redirect"), F.rlike(t, F.lit(gate.DISAMBIGUATION)).alias("disambiguation"))
 
 
-ALLOWED = stats.ALLOWED.replace("'", "''") + "[]"
+ALLOWED = stats.ALLOWED.replace("'", "''")
 UNKNOWN = f"length(regexp_replace(translate(text, '{ALLOWED}', ''), '[\\s\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{001C}}-\\x{{001F}}]', '', 'g'))"
 PROBES = {k: v.replace("'", "''") for k, v in stats.PROBES.items()}
 METRICS = f"""m0 AS (SELECT source, text, list_transform({words('text')}, lambda w: {fold('w')}) AS w, {lines('text')} AS l FROM corpus_docs WHERE text IS NOT NULL AND source IS NOT NULL),
@@ -144,52 +144,11 @@ def doc_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.cluster(pairs, s, "rec_id")
 
 
-@query()
-def near_dups_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate pairs of banded MinHash signatures, unverified as an incremental index would report them."""
-    return dedup.lsh_pairs(sets_of(spark, sf_dir).select("rec_id", "sh", "n"), "rec_id")
-
-
-@query()
-def near_dups_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-come selection over near duplicates in the order of records."""
-    s = sets_of(spark, sf_dir)
-    e = dedup.jaccard_pairs(s.select("rec_id", "sh", "n"), "rec_id", 0.8).select(F.col("a").alias("early"), F.col("b").alias("late"))
-    return dedup.greedy_keep(s.select(F.col("rec_id").alias("node")), e).select(F.col("node").alias("rec_id"), "kept", F.col("root").alias("root_id"))
-
-
-@query()
-def merge_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.decisions(docs_of(spark, sf_dir, "rec_id", "shard", "title", "url", "text", "source", "author"))
-
-
-@query()
-def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge_decisions(spark, sf_dir).groupBy("decision").agg(F.count(F.lit(1)).alias("n_docs"))
-
-
-@query()
-def merged_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_of(spark, sf_dir, "rec_id", "shard", "title", "url", "text", "source", "author")
-    return merge.survivors(docs, cut(merge.decisions(docs), "decisions"))
-
-
-@query()
-def merge_cross_author(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_of(spark, sf_dir, "rec_id", "shard", "title", "url", "text", "source", "author")
-    return merge.cross_author(docs, cut(merge.decisions(docs), "decisions"))
-
-
 @query(f"""WITH {SHINGLES}, w AS (SELECT h.url, d.rec_id FROM holdout_works h JOIN corpus_docs d USING (url) WHERE text IS NOT NULL GROUP BY 1, 2), hs AS (SELECT DISTINCT w.rec_id AS h, s FROM w JOIN sh USING (rec_id)),
 p AS (SELECT h, sh.rec_id AS b, count(*) AS "both" FROM hs JOIN sh USING (s) WHERE sh.rec_id <> h GROUP BY 1, 2)
 SELECT w.rec_id, coalesce(max("both")::DOUBLE / any_value(n.n), 0.0) AS max_containment FROM w JOIN n USING (rec_id) LEFT JOIN p ON p.h = w.rec_id GROUP BY 1""")
 def holdout_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each held-out page's texts stands in the one other record that holds most of it."""
     docs = docs_of(spark, sf_dir, "rec_id", "url", "text").where("text is not null")
-    s = dedup.shingle_sets(docs, "rec_id", "text")
     held = docs.join(table(spark, sf_dir, "holdout_works").select("url").distinct(), "url").select("rec_id").distinct()
-    hs = s.join(held, "rec_id").where("n > 0")
-    l = hs.select(F.col("rec_id").alias("h"), "n", F.explode("sh").alias("s"))
-    both = l.join(s.select(F.col("rec_id").alias("b"), F.explode("sh").alias("s")), "s").where("b <> h").groupBy("h", "b").agg(F.count(F.lit(1)).alias("both"))
-    best = both.groupBy(F.col("h").alias("rec_id")).agg(F.max("both").alias("both"))
-    return hs.join(best, "rec_id", "left").select("rec_id", F.coalesce(F.col("both") / F.col("n"), F.lit(0.0)).alias("max_containment"))
+    return dedup.most_contained(dedup.shingle_sets(docs, "rec_id", "text"), held, "rec_id")

@@ -33,9 +33,11 @@ def local_session(cpus: str | int = "*", app: str = "zrno", **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset and the master is local, since on a cluster each executor would write to its own disk."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="zrno-")
         shared_dir.own = at
         at = "file://" + at

@@ -86,6 +86,19 @@ def freshness(report: str, now: str) -> str:
     return "unstamped" if not m else "fresh" if m[1] == now else "stale"
 
 
+def uploads(card: str | Path, pairs: str | Path, manifest: str | Path, raw: str | Path) -> list[tuple[Path, str, bool]]:
+    """(local file, remote name, whether it is required) of a published set of pairs; the raw log is added where it exists."""
+    return [(Path(card), "README.md", True), (Path(pairs), "pairs.jsonl", True), (Path(manifest), "provenance/pairs.manifest.json", True), (Path(raw), "provenance/responses.jsonl", False)]
+
+
+def require_uploads(files: list[tuple[Path, str, bool]]) -> list[tuple[Path, str]]:
+    """What there is to upload; a required file that is missing is an error."""
+    missing = [str(p) for p, _, needed in files if needed and not p.exists()]
+    if missing:
+        raise FileNotFoundError(f"can't publish, missing: {missing}")
+    return [(p, name) for p, name, _ in files if p.exists()]
+
+
 def dataset_card(name: str, licence: str, manifests: list[dict], allowed: tuple[str, ...] = ("cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0")) -> str:
     """A card from manifests; without an allowed licence there is none."""
     if licence.lower() not in allowed:
