@@ -112,6 +112,17 @@ def fold_log(log: DataFrame, key: str, order: list[str], values: list[str]) -> D
     return g.select(key, *[F.col(f"_v.{v}").alias(v) for v in values], "first_seen")
 
 
+def skip_reason(source: Column, author: Column, held_out: Column, genre: Column, home: str) -> Column:
+    """Why a record gives no passages: another source or no author, held out, or no genre of prose; null for an eligible one."""
+    return F.when(~source.eqNullSafe(F.lit(home)) | author.isNull(), "other_source").when(held_out, "held_out").when(genre.isNull() | ~genre.isin(*PROSE), "not_prose")
+
+
+def quarantined(responses: DataFrame, passages: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(responses to passages that were sent, the others, null keys among them)."""
+    sent = passages.select(key).distinct()
+    return responses.join(sent, key, "left_semi"), responses.join(sent, key, "left_anti")
+
+
 def resolve(responses: DataFrame, passage: str, order: str, reason: str) -> DataFrame:
     """(passage, chosen, reason): the last sound response of each passage, else its first unsound one."""
     ok = F.col(reason).isNull()
