@@ -56,20 +56,23 @@ def shared_ranks(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(ranks(path))
 
 
-def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n_tokens, *keep): the size of every text; 0 for a null or empty one."""
+def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, keep: tuple[str, ...] = (), digits: bool = False) -> DataFrame:
+    """(key, *keep, n_tokens): the size of every text; 0 for a null or empty one. digits: and n_digit_tokens, tokens of digits only."""
     bc = shared_ranks(df.sparkSession, vocabulary)
     d = df.select(F.col(key), *keep, F.col(text).alias("_text"))
     fields = ", ".join(f"`{c}` {t}" for c, t in d.dtypes if c != "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(bc.value)
-        get = sizes.__getitem__
+        get, only = sizes.__getitem__, digit_ids(bc.value) if digits else frozenset()
         for b in batches:
-            n = [sum(map(get, split(t))) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "n_tokens"])
+            parts = [split(t) if t else [] for t in b.column(b.num_columns - 1).to_pylist()]
+            more = [pa.array([sum(map(get, p)) for p in parts], pa.int64())]
+            if digits:
+                more.append(pa.array([sum(sum(t in only for t in sizes.encoding.encode_ordinary(w)) for w in p if any("0" <= c <= "9" for c in w)) for p in parts], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], "n_tokens", "n_digit_tokens"][: b.num_columns + digits])
 
-    return d.mapInArrow(run, fields + ", n_tokens long")
+    return d.mapInArrow(run, fields + ", n_tokens long" + ", n_digit_tokens long" * digits)
 
 
 def digit_ids(r: dict[bytes, int]) -> frozenset[int]:

@@ -52,14 +52,14 @@ def chat_examples(pairs: DataFrame, key: str, prompt: str, target: str, special:
     return d.select(key, F.concat("p", "t").alias("tokens"), F.size("p").alias("n_prompt"), F.size("t").alias("n_target"), F.concat(F.array_repeat(F.lit(IGNORE), F.size("p") - 1), "t").alias("y"), (F.size("p") + F.size("t") <= seq_len + 1).alias("fits"))
 
 
-def length_batches(examples: DataFrame, key: str, size: str, batch_size: int, seed: int = 1) -> DataFrame:
-    """(key, batch): examples ordered by length, equal lengths by a seeded hash, in groups of batch_size. Lengths are counted first; ranks are a length's offset and a rank within it."""
+def length_batches(examples: DataFrame, key: str, size: str, batch_size: int, seed: int = 1, order: Column | None = None) -> DataFrame:
+    """(key, batch): examples ordered by length, equal lengths by a seeded 64-bit hash or the one given, in groups of batch_size. Lengths are counted first; ranks are a length's offset and a rank within it."""
     from zrno.operators.components import ranked
 
-    d = examples.select(key, F.col(size).alias("_n"))
+    d = examples.select(key, F.col(size).alias("_n"), (F.xxhash64(key, F.lit(seed)) if order is None else order).alias("_o"))
     n = d.groupBy("_n").agg(F.count(F.lit(1)).alias("_k"))
     off = n.withColumn("_off", F.coalesce(F.sum("_k").over(Window.orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_n", "_off")
-    r = ranked(d, ["_n"], F.xxhash64(key, F.lit(seed)), "_r").join(off, "_n")
+    r = ranked(d, ["_n"], F.col("_o"), "_r").join(off, "_n")
     return r.select(key, F.floor((F.col("_off") + F.col("_r") - 1) / batch_size).cast("long").alias("batch"))
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from zrno.functions import encoding
 from zrno.functions import text as tx
 from zrno.operators import chunking, dedup, evaluation, gate, holdout, training
+from zrno.operators.components import numbered
 from zrno.plans.corpus_queries import docs_of, fold, words
 from zrno.plans.registry import query
 from zrno.plans.text_queries import ARCHAIC, RECEIPTS
@@ -23,12 +23,18 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.count_tokens(docs_of(spark, sf_dir, "rec_id", "source", "author", "text").where("text is not null"), "rec_id", "text", keep=("source", "author"))
 
 
+def training_records(d: DataFrame, works: DataFrame, same: DataFrame | None) -> DataFrame:
+    """Records that are trained on: without held-out pages and, where given, the records contained in them."""
+    d = holdout.without(d, "url", works)
+    return d if same is None else d.join(same, "rec_id", "left_anti")
+
+
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec_id, text) of what is trained on: every record with text, but for held-out pages and records contained in them."""
+    """(rec_id, text) of what is trained on: every record with text, but for held-out pages and records contained in them. The held-out works must be frozen on this corpus."""
     works = table(spark, sf_dir, "holdout_works")
     d = docs_of(spark, sf_dir, "rec_id", "url", "author", "text").where("text is not null")
     same = cut(holdout.contained(d.withColumnRenamed("rec_id", "key"), works).withColumnRenamed("key", "rec_id"), "contained")  # of known size, so that few are broadcast
-    return holdout.without(d, "url", works).join(same, "rec_id", "left_anti").select("rec_id", "text")
+    return training_records(d, works, same).select("rec_id", "text")
 
 
 @query()
@@ -36,10 +42,34 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.token_totals(_sizes(spark, sf_dir), "source", "author")
 
 
+def _first_author(spark: SparkSession, sf_dir: str) -> str:
+    return (table(spark, sf_dir, "authors").where("author_id = 1").select("name").first() or [""])[0]
+
+
 @query()
 def token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs_of(spark, sf_dir, "rec_id", "source", "text").where("text is not null")
-    return chunking.fertility(encoding.count_tokens(d.withColumn("_t2", F.col("text")), "rec_id", "text", keep=("source", "_t2")).withColumnRenamed("_t2", "body"), "source", "body")
+    """Tokens a word, bytes a token, digit tokens and odd characters, by slice."""
+    d = docs_of(spark, sf_dir, "rec_id", "source", "author", "text").where("text is not null")
+    d = d.select("rec_id", chunking.slice_of(F.col("source"), F.col("author"), _first_author(spark, sf_dir), "leksikon").alias("slice"), "text", F.col("text").alias("body"))
+    return chunking.fertility(encoding.count_tokens(d, "rec_id", "text", keep=("slice", "body"), digits=True), "slice", "body")
+
+
+@query("""SELECT CASE WHEN author IS NOT DISTINCT FROM (SELECT name FROM authors WHERE author_id = 1) THEN 'first_author' WHEN source IS NOT DISTINCT FROM 'leksikon' THEN 'general' ELSE 'literary' END AS slice, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM corpus_docs WHERE text IS NOT NULL GROUP BY 1""")
+def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs_of(spark, sf_dir, "source", "author", "text").where("text is not null")
+    g = d.groupBy(chunking.slice_of(F.col("source"), F.col("author"), _first_author(spark, sf_dir), "leksikon").alias("slice"))
+    return g.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text").cast("long")).alias("n_chars"))
+
+
+@query(f"""WITH m AS (SELECT CASE WHEN source IS NOT DISTINCT FROM 'leksikon' THEN 'general' ELSE 'literary' END AS slice, length(text) AS nt, strlen(text) AS nb, len({words('text')}) AS nw, len(regexp_extract_all(text, '[0-9]')) AS nd, contains(text, chr(173)) AS soft, contains(text, chr(9)) AS tab FROM corpus_docs WHERE text IS NOT NULL),
+r AS (SELECT slice, round(nt / nw::DOUBLE, 6) AS f, row_number() OVER (PARTITION BY slice ORDER BY round(nt / nw::DOUBLE, 6)) - 1 AS k, count(*) OVER (PARTITION BY slice) AS n FROM m WHERE nw > 0), q AS (SELECT slice, min(f) AS fertility_p95 FROM r WHERE k = floor(0.95 * (n - 1))::BIGINT GROUP BY 1)
+SELECT slice, count(*) AS n_docs, sum(nw)::BIGINT AS n_words, sum(nb)::BIGINT AS n_bytes, sum(nt)::BIGINT AS n_tokens, sum(nd)::BIGINT AS n_digit_tokens, round(sum(nt) / sum(nw)::DOUBLE, 9) AS tokens_per_word, round(sum(nb) / sum(nt)::DOUBLE, 9) AS bytes_per_token, round(sum(nd) / sum(nt)::DOUBLE, 9) AS digit_token_share, any_value(fertility_p95) AS fertility_p95, count(*) FILTER (soft) AS soft_hyphens, count(*) FILTER (tab) AS tabs FROM m JOIN q USING (slice) GROUP BY 1""")
+def character_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of token_fertility with characters as tokens, which SQL can count too."""
+    d = docs_of(spark, sf_dir, "source", "text").where("text is not null")
+    d = d.select(F.when(F.coalesce(F.col("source") == "leksikon", F.lit(False)), "general").otherwise("literary").alias("slice"), F.col("text").alias("body"), F.length("text").cast("long").alias("n_tokens"), F.regexp_count("text", F.lit("[0-9]")).cast("long").alias("n_digit_tokens"))
+    r = chunking.fertility(d, "slice", "body")
+    return r.select("slice", *[F.col(c).cast("long").alias(c) for c in ("n_docs", "n_words", "n_bytes", "n_tokens", "n_digit_tokens", "soft_hyphens", "tabs")], *[F.round(c, 9).alias(c) for c in ("tokens_per_word", "bytes_per_token", "digit_token_share")], "fertility_p95")
 
 
 @query()
@@ -54,11 +84,28 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(docs_of(spark, sf_dir, "rec_id", "source", "text"), "rec_id", "text", 512, keep=("source",))
 
 
-@query()
+@query("SELECT count(*) AS n_docs, 0::BIGINT AS n_faulty, true AS whole FROM corpus_docs WHERE text IS NOT NULL")
 def chunk_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with the chunks; no rows if nothing is."""
-    d = docs_of(spark, sf_dir, "rec_id", "text")
-    return chunking.chunk_faults(d, chunking.chunks(d, "rec_id", "text", 512), "rec_id", "text", 512)
+    """How many texts have chunks, and how many of them are wrong: not given back whole, over budget, or with gaps."""
+    d = docs_of(spark, sf_dir, "rec_id", "text").where("text is not null")
+    c = cut(chunking.chunks(d, "rec_id", "text", 512), "chunks")
+    bad = chunking.chunk_faults(d, c, "rec_id", "text", 512).agg(F.count(F.lit(1)).alias("n_faulty"))
+    n = c.groupBy("rec_id").agg((F.count(F.lit(1)) == F.max("n_chunks")).alias("all")).agg(F.count(F.lit(1)).alias("n_docs"), F.min("all").alias("whole"))
+    return n.join(F.broadcast(bad)).select("n_docs", "n_faulty", "whole")
+
+
+@query()
+def chunk_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median, 95th percentile and greatest length of chunks, and those at the budget and under 64 tokens, by source."""
+    return chunking.length_report(cut(chunks(spark, sf_dir).select("source", "n_tokens"), "lengths"), "source", 512)
+
+
+@query("""WITH m AS (SELECT source, length(text) AS n FROM corpus_docs WHERE text IS NOT NULL AND source IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n) - 1 AS k, count(*) OVER (PARTITION BY source) AS c FROM m)
+SELECT source, count(*) AS n_chunks, sum(n)::BIGINT AS n_tokens, max(n) AS longest, count(*) FILTER (n = 512) AS at_budget, count(*) FILTER (n < 64) AS under_short, min(n) FILTER (k = floor(0.5 * (c - 1))::BIGINT) AS p50, min(n) FILTER (k = floor(0.95 * (c - 1))::BIGINT) AS p95 FROM r GROUP BY 1""")
+def character_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of chunk_lengths over whole texts by their characters."""
+    d = docs_of(spark, sf_dir, "source", "text").where("text is not null and source is not null").select("source", F.length("text").cast("long").alias("n_tokens"))
+    return chunking.length_report(d, "source", 512)
 
 
 @query()
@@ -147,13 +194,45 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.verdicts_of(d, "k", "raw").select("k.*", "meaning", "voice", "fluency")
 
 
+@query("""WITH s AS (SELECT rec.pair_id, length(cankar) % 97 / 97.0::DOUBLE AS o, length(cankar) % 89 / 101.0::DOUBLE AS p, length(plain) % 83 / 103.0::DOUBLE AS q FROM train_pairs rec WHERE cankar IS NOT NULL AND plain IS NOT NULL), m AS (SELECT count(*) AS n, avg(o) AS mo, avg(p) AS mp, avg(q) AS mq, avg(CASE WHEN o > q THEN 1.0 WHEN o = q THEN 0.5 ELSE 0.0 END) AS paired FROM s), u AS (SELECT avg(CASE WHEN x.o > y.q THEN 1.0 WHEN x.o = y.q THEN 0.5 ELSE 0.0 END) AS unpaired FROM s x, s y)
+SELECT n, round(mo, 9) AS mean_own, round(mp, 9) AS mean_peer, round(mq, 9) AS mean_plain, round(paired, 9) AS paired_auc, round(unpaired, 9) AS unpaired_auc, round(mo - mq, 9) AS style_effect, round(mo - mp, 9) AS topic_effect, CASE WHEN unpaired >= 0.75 AND mo - mq > mo - mp THEN 'validated' ELSE 'measured_inadequate' END AS verdict FROM m, u""")
+def style_deploy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Style and topic effects, both AUCs and the verdict, of scores made up from lengths."""
+    n = lambda c, m, d: (F.length(c) % m) / F.lit(float(d))
+    t = spread(table(spark, sf_dir, "train_pairs").select("cankar", "plain")).select(n("cankar", 97, 97).alias("o"), n("cankar", 89, 101).alias("p"), n("plain", 83, 103).alias("q"))
+    r = evaluation.deploy_check(t, "o", "p", "q")
+    return r.select("n", *[F.round(c, 9).alias(c) for c in ("mean_own", "mean_peer", "mean_plain", "paired_auc", "unpaired_auc", "style_effect", "topic_effect")], "verdict")
+
+
+@query("""WITH a AS (SELECT url AS artifact, content_sha256 AS sha256, row_number() OVER (ORDER BY url, content_sha256) AS i FROM (SELECT DISTINCT url, content_sha256 FROM holdout_works))
+SELECT artifact, sha256, CASE WHEN i % 2 = 0 THEN 'validated' ELSE 'pending' END AS status FROM a""")
+def deploy_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded verdict of artifacts (held-out pages stand in for them); every second has a record of its own hash, the others one of another hash."""
+    a = table(spark, sf_dir, "holdout_works").select(F.col("url").alias("artifact"), F.col("content_sha256").alias("sha256")).distinct()
+    n = numbered(a, ["artifact", "sha256"])
+    right = F.col("rn") % 2 == 0
+    records = n.select(F.when(right, F.col("sha256")).otherwise(F.concat(F.lit("x"), "sha256")).alias("artifact_sha256"), F.lit("validated").alias("verdict"), F.lit("2026-01-01").alias("created_at"))
+    return evaluation.deploy_status(a, records)
+
+
+@query(f"WITH {CONTROLS}, v AS (SELECT pair_id, control, 1 + length(candidate) % 5 AS meaning FROM c), x AS (SELECT c.pair_id, c.control FROM c WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.pair_id = c.pair_id AND v.control = c.control AND v.meaning > 1)) SELECT control, count(*) AS n FROM x GROUP BY 1")
+def unanswered_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls that no verdict came for, where those of the least meaning are lost."""
+    k = F.struct("pair_id", "control").alias("k")
+    items, answers = _controls(spark, sf_dir).select(k, "control"), _verdicts(spark, sf_dir).where("meaning > 1").select(k)
+    return evaluation.without_verdict(items, answers, "k").groupBy("control").agg(F.count(F.lit(1)).alias("n"))
+
+
 AVGS = ", ".join(f"round(avg({a}) FILTER (control = '{k}'), 9) AS {k}_{a}" for k in ("real", "echo", "mismatch") for a in ("meaning", "voice", "fluency"))
 
 
-@query(f"WITH {CONTROLS}, {VERDICTS} SELECT {AVGS} FROM v")
+@query(f"""WITH {CONTROLS}, {VERDICTS}, m AS (SELECT {AVGS} FROM v), g AS (SELECT *, round(real_voice - echo_voice, 9) AS voice_margin, round(real_meaning - mismatch_meaning, 9) AS meaning_margin FROM m)
+SELECT *, array_to_string(list_filter([CASE WHEN voice_margin < 1 THEN 'styling' END, CASE WHEN meaning_margin < 1 THEN 'content' END, CASE WHEN abs(mismatch_voice - real_voice) >= 1 THEN 'halo' END, CASE WHEN echo_meaning < real_meaning - 1 THEN 'echo_meaning' END], lambda x: x IS NOT NULL), '|') AS failures, false AS usable FROM g""")
 def control_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means by control, margins, and which of them fail."""
     m = evaluation.control_margins(_verdicts(spark, sf_dir))
-    return m.select(*[F.round(f"{k}_{a}", 9).alias(f"{k}_{a}") for k in ("real", "echo", "mismatch") for a in ("meaning", "voice", "fluency")])
+    names = [f"{k}_{a}" for k in ("real", "echo", "mismatch") for a in ("meaning", "voice", "fluency")] + ["voice_margin", "meaning_margin"]
+    return m.select(*[F.round(c, 9).alias(c) for c in names], F.array_join("failures", "|").alias("failures"), "usable")
 
 
 @query(f"WITH {CONTROLS}, {VERDICTS} SELECT coalesce(control, 'all') AS series, count(*) AS n, round(avg(meaning), 9) AS meaning, round(avg(voice), 9) AS voice, round(avg(fluency), 9) AS fluency FROM v GROUP BY GROUPING SETS ((control), ())")
@@ -240,16 +319,12 @@ def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.collate(e.join(b, "pair_id"), "batch").select("batch", "pair_id", "x", "y")
 
 
-@query("""SELECT rec_id, ((row_number() OVER (ORDER BY length(text), rec_id) - 1) // 16)::BIGINT AS batch FROM corpus_docs WHERE text IS NOT NULL""")
+@query("""SELECT rec_id, ((row_number() OVER (ORDER BY length(text), ('0x' || md5(rec_id::VARCHAR)[1:15])::BIGINT, rec_id) - 1) // 16)::BIGINT AS batch FROM corpus_docs WHERE text IS NOT NULL""")
 def length_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records in groups of 16 by length; equal lengths by number, so that SQL can tell the order."""
-    from pyspark.sql import Window
-
-    d = docs_of(spark, sf_dir, "rec_id", "text").where("text is not null").withColumn("_n", F.length("text"))
-    n = d.groupBy("_n").agg(F.count(F.lit(1)).alias("_k"))
-    off = n.withColumn("_off", F.coalesce(F.sum("_k").over(Window.orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r = d.withColumn("_r", F.row_number().over(Window.partitionBy("_n").orderBy("rec_id"))).join(off, "_n")
-    return r.select("rec_id", F.floor((F.col("_off") + F.col("_r") - 1) / 16).cast("long").alias("batch"))
+    """Records in groups of 16 by length; equal lengths by a hash that SQL has too."""
+    d = docs_of(spark, sf_dir, "rec_id", "text").where("text is not null").select("rec_id", F.length("text").alias("n"))
+    h = F.conv(F.substring(F.md5(F.col("rec_id").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    return training.length_batches(d, "rec_id", "n", 16, order=h)
 
 
 @query("SELECT sum(out_tokens)::BIGINT AS n_target, greatest(1, round_even(sum(out_tokens) * (0.2::DOUBLE / 0.8) / 512, 0))::BIGINT AS windows FROM train_pairs")
@@ -268,7 +343,7 @@ def receipts_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold of receipts by a stream that takes what is there; its first-seen times come from the log."""
     src = f"{sf_dir}/batch_receipts.parquet"
     log = spark.read.parquet(src)
-    base = f"{shared_dir(spark)}/zrno-stream-{os.path.basename(tempfile.mkdtemp(prefix='s'))}"
+    base = f"{shared_dir(spark)}/zrno-stream-{uuid.uuid4().hex[:12]}"
     log.write.parquet(f"{base}/log")
     stream = spark.readStream.schema(log.schema).parquet(f"{base}/log")
     incremental.fold(stream, "batch_id", ["logged_at", "downloaded", "n_requests", "model"], ["created_at", "pair_set"], f"{base}/state", f"{base}/check").awaitTermination()

@@ -58,7 +58,7 @@ def scan_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pages in wiki markup made of records, so that every rule of the cleaner and every reason of the filter has cases; the SQL says what must be left.
 BODY = f"regexp_replace({strip("regexp_replace(nfc_normalize(text), '[ \\t]+\\n', chr(10), 'g')")}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
 MARKUP = r"[\[\]{}<>|=^]|''|__|&(nbsp|lt|gt|quot|amp);"
-PLAIN = f"""b AS (SELECT rec_id, coalesce(title, '') AS t0, CASE WHEN rec_id % 7 = 3 THEN {BODY}[1:150] ELSE {BODY} END AS body FROM corpus_docs WHERE text IS NOT NULL AND NOT regexp_matches(text, '{MARKUP.replace("'", "''")}')),
+PLAIN = f"""b AS (SELECT rec_id, coalesce(title, '') AS t0, CASE WHEN rec_id % 7 = 3 THEN regexp_replace({BODY}[1:150], '[ \\t]+$', '') ELSE {BODY} END AS body FROM corpus_docs WHERE text IS NOT NULL AND NOT regexp_matches(text, '{MARKUP.replace("'", "''")}')),
 w AS (SELECT rec_id, t0, body, CASE rec_id % 11 WHEN 4 THEN 1 ELSE 0 END AS ns, rec_id % 13 IN (5, 6) AS redirect, CASE WHEN rec_id % 17 = 2 THEN 'Seznam del' ELSE t0 END AS title, rec_id % 19 = 1 AS disambiguation, rec_id % 23 = 0 AS bare FROM b),
 x AS (SELECT *, CASE WHEN bare THEN '' ELSE {strip("regexp_replace('Naslov: glej oznako in Cilj ter krepko.' || chr(10) || chr(10) || body || chr(10) || 'konec', '\\n{3,}', chr(10) || chr(10), 'g')")} END AS clean FROM w)"""
 
