@@ -202,12 +202,12 @@ def lsh_index(sets: DataFrame, key: str, bands: int = 21, rows: int = 6) -> Data
     return cut(sets.where("n > 0").select(key, "sh", "n").join(b, key), "index")
 
 
-def lsh_match(index: DataFrame, sets: DataFrame, key: str, least: float = 0.8, bands: int = 21, rows: int = 6) -> DataFrame:
-    """(key, root_id) of every set: the smallest key of the index that it is similar to at `least` or more, null for none; candidates are compared by their runs."""
+def lsh_match(index: DataFrame, sets: DataFrame, key: str, least: float = 0.8, bands: int = 21, rows: int = 6, earlier: bool = False) -> DataFrame:
+    """(key, root_id) of every set: the smallest other key of the index that it is similar to at `least` or more, null for none; candidates are compared by their runs. earlier: only smaller keys than its own."""
     new = cut(band_hashes(sets, key, bands, rows), "bands")
     old = index.select(F.col(key).alias("b"), F.explode("bands").alias("h"))
-    cand = new.select(F.col(key).alias("a"), "h").join(old, "h").select("a", "b").distinct()
-    every = sets.select(key, "sh", "n").unionByName(index.select(key, "sh", "n"))
+    cand = new.select(F.col(key).alias("a"), "h").join(old, "h").where("a > b" if earlier else "a <> b").select("a", "b").distinct()
+    every = sets.select(key, "sh", "n").unionByName(index.select(key, "sh", "n")).dropDuplicates([key])
     m = _measure(cand, every, key).where(F.col("both") >= F.lit(least) * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9)
     return sets.select(key).join(m.groupBy(F.col("a").alias(key)).agg(F.min("b").alias("root_id")), key, "left")
 

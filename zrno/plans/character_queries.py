@@ -26,7 +26,7 @@ def characters(text: Column | str) -> Column:
 
 
 # What is trained on, as one stream in the order of a hash; the first 31 bits of MD5 serve in both languages.
-STREAM = f"""tr AS (SELECT d.rec_id, {ids('text')} AS t FROM corpus_docs d WHERE text IS NOT NULL AND rec_id % 20 <> 7 AND (url IS NULL OR url NOT IN (SELECT url FROM holdout_works WHERE url IS NOT NULL))),
+STREAM = f"""tr AS (SELECT d.rec_id, {ids('text')} AS t FROM corpus_docs d WHERE text IS NOT NULL AND (url IS NULL OR url NOT IN (SELECT url FROM holdout_works WHERE url IS NOT NULL))),
 st AS (SELECT rec_id, list_prepend(1, t) AS t, ('0x' || md5(rec_id::VARCHAR)[1:15])::BIGINT AS h FROM tr),
 sp AS (SELECT t, len(t) AS n, coalesce(sum(len(t)) OVER (ORDER BY h, rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM st),
 al AS (SELECT sum(n)::BIGINT AS n FROM sp)"""
@@ -37,9 +37,9 @@ def _hash(key: str) -> Column:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pos, tokens) of all records but the held-out pages and, as stand-ins for what these contain, one in twenty."""
+    """(pos, tokens) of all records but the held-out pages."""
     works = table(spark, sf_dir, "holdout_works")
-    d = training_records(docs_of(spark, sf_dir, "rec_id", "url", "text").where("text is not null"), works, None).where("rec_id % 20 <> 7")
+    d = training_records(docs_of(spark, sf_dir, "rec_id", "url", "text").where("text is not null"), works, None)
     t = d.select("rec_id", F.concat(F.array(F.lit(1)), characters("text")).alias("tokens"))
     return cut(training.placed(t.withColumn("n", F.size("tokens")), "rec_id", "n", order=_hash("rec_id")).select("pos", "tokens"), "stream")
 

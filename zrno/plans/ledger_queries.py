@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zrno.functions import encoding
 from zrno.functions import text as tx
 from zrno.operators import holdout, ledger
 from zrno.plans.corpus_queries import docs_of, fold, words
@@ -60,14 +61,35 @@ def title_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("authors", F.array_join("authors", "|"))
 
 
-@query(f"""WITH {WORKS}, t AS (SELECT author, urn, title, year FROM (SELECT urn, title, year, unnest(people) AS p FROM edm_records) JOIN (SELECT name AS author, regexp_extract(name, '(\\S+)$', 1) || ', ' || regexp_extract(name, '^(\\S+)', 1) AS q FROM authors) ON p = q WHERE year IS NOT NULL AND title IS NOT NULL)
-SELECT author, urn, 'year' AS problem FROM (SELECT DISTINCT author, urn, year FROM t) WHERE year < 1850 OR year > 1920""")
+@query(f"""WITH t AS (SELECT DISTINCT author, urn, title, year FROM (SELECT urn, title, year, unnest(people) AS p FROM edm_records) JOIN (SELECT name AS author, regexp_extract(name, '(\\S+)$', 1) || ', ' || regexp_extract(name, '^(\\S+)', 1) AS q FROM authors) ON p = q WHERE year IS NOT NULL AND title IS NOT NULL), k AS (SELECT *, {KEY} AS k, {SLUG} AS id FROM t)
+SELECT DISTINCT author, urn, 'year' AS problem FROM k WHERE year < 1850 OR year > 1920 UNION ALL SELECT DISTINCT author, urn, 'id' FROM k WHERE id <> urn UNION ALL SELECT DISTINCT k.author, urn, 'title' FROM k JOIN (SELECT author, k FROM k GROUP BY 1, 2 HAVING count(*) > 1) d ON d.author = k.author AND d.k = k.k""")
 def ledger_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Library records of a roster author whose year is outside 1850 to 1920."""
+    """What is wrong with library records as works of roster authors: their number is no slug, the year is outside 1850 to 1920, the title repeats."""
     a = table(spark, sf_dir, "authors").select(F.col("name").alias("author"), F.concat(F.regexp_extract("name", r"(\S+)$", 1), F.lit(", "), F.regexp_extract("name", r"^(\S+)", 1)).alias("p"))
     e = table(spark, sf_dir, "edm_records").where("year is not null and title is not null").select("urn", "title", "year", F.explode("people").alias("p"))
     w = e.join(a, "p").select("author", F.col("urn").alias("work_id"), "title", "year").distinct()
-    return ledger.violations(w, 1850, 1920).where("problem = 'year'").select("author", F.col("work_id").alias("urn"), "problem").distinct()
+    return ledger.violations(w, 1850, 1920).select("author", F.col("work_id").alias("urn"), "problem").distinct()
+
+
+@query(f"""WITH {WORKS}, al AS (SELECT k.author, w.work_id, k.title, min(k.rec_id) AS seq FROM (SELECT rec_id, author, title, {KEY} AS k FROM corpus_docs WHERE author IS NOT NULL AND title IS NOT NULL AND len({words('author')}) > 0) k JOIN w ON w.author = k.author AND w.k = k.k WHERE k.title <> w.title GROUP BY 1, 2, 3),
+u AS (SELECT author, work_id, title, 0 AS o, 0::BIGINT AS seq FROM w UNION ALL SELECT author, work_id, title, 1, seq FROM al), n AS (SELECT *, {normal('nfc_normalize(title)')} AS title_key FROM u)
+SELECT author, title_key, first(work_id ORDER BY o, seq, work_id) AS work_id FROM n WHERE title_key <> '' GROUP BY 1, 2""")
+def ledger_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of titles after every other spelling of a work's title is added as an alias: the first owner of a key keeps it."""
+    w = cut(_works(spark, sf_dir).select("author", "work_id", "title", F.array().cast("array<string>").alias("aliases")), "works")
+    keyed = w.withColumn("k", ledger.title_key(F.col("title"), F.col("author"))).select("author", "k", "work_id", F.col("title").alias("own"))
+    new = _records(spark, sf_dir).join(keyed, ["author", "k"]).where("title <> own").groupBy("author", "work_id", F.col("title").alias("alias")).agg(F.min("rec_id").alias("seq"))
+    return ledger.add_aliases(w, new)[1]
+
+
+@query(f"""WITH {WORKS}, a AS (SELECT DISTINCT author, k, source FROM k WHERE k <> '') SELECT author, count(DISTINCT k) FILTER (NOT old) AS n_added, count(DISTINCT k) FILTER (old AND lib) AS n_updated FROM (SELECT author, k, bool_or(coalesce(source = 'wikivir', false)) AS old, bool_or(coalesce(source = 'dlib', false)) AS lib FROM a GROUP BY 1, 2) GROUP BY 1""")
+def ledger_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works by author that seeding from all records adds to a ledger of the archive's, and those whose genre the library's fill."""
+    entry = lambda d: d.select("author", "title", F.lit(None).cast("int").alias("year"), F.when(F.col("source") == "dlib", "Proza").alias("genre"), F.array().cast("array<string>").alias("flags"))
+    none = spark.createDataFrame([], "work_id string, author string, title string, year int, genre string, flags array<string>")
+    r = _records(spark, sf_dir)
+    before = cut(ledger.upsert(none, entry(r.where("source = 'wikivir'"))), "ledger")
+    return ledger.seed_counts(before, ledger.upsert(before, entry(r)))
 
 
 QUERY_NAME = "regexp_extract(name, '(\\S+)$', 1) || ', ' || regexp_extract(name, '^(\\S+)', 1)"
@@ -104,6 +126,13 @@ def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir)
 
 
+@query(f"""WITH {WORKS}, {BY}, {PARTS}, x AS (SELECT DISTINCT e.urn, e.year, m.work_id FROM edm_records e JOIN m USING (urn)) SELECT work_id, first(urn ORDER BY year IS NULL, year, urn) AS urn, count(*) AS n_editions FROM x GROUP BY 1""")
+def editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library record to pull of each work that one matches."""
+    e = table(spark, sf_dir, "edm_records").select("urn", "year").join(_matched(spark, sf_dir), "urn").distinct()
+    return ledger.one_edition(e, "urn", "work_id")
+
+
 @query(f"""WITH {WORKS}, {BY}, {PARTS}, u AS (SELECT DISTINCT upper(regexp_extract(url, '(?i)(urn:[a-z0-9:]+-[a-z0-9]+)', 1)) AS urn FROM corpus_docs WHERE url IS NOT NULL),
 c AS (SELECT DISTINCT k.work_id FROM k, a WHERE k.author = a.name AND k.source = 'wikivir'),
 x AS (SELECT b.*, m.work_id, u.urn IS NOT NULL AS own, c.work_id IS NOT NULL AS cov FROM b LEFT JOIN m ON m.urn = b.urn LEFT JOIN u ON u.urn = upper(b.urn) LEFT JOIN c ON c.work_id = m.work_id)
@@ -150,3 +179,16 @@ def holdout_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand = (F.col("source") == "wikivir") & F.col("size").between(1000, 45000)
     r = holdout.select(d.select(F.col("rec_id").alias("key"), "url", "text", "size", "source"), cand, holdout.HoldoutParams(min_chars=1000))
     return r.withColumnRenamed("key", "rec_id")
+
+
+@query()
+def holdout_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works of the roster's first author, held out by tokens, in the default band of lengths; enough tells whether the least number of works is reached."""
+    who = table(spark, sf_dir, "authors").where("author_id = 1").select(F.col("name").alias("author"))
+    d = docs_of(spark, sf_dir, "rec_id", "url", "text", "source", "author").join(who, "author", "left_semi").where("text is not null")
+    n = encoding.count_tokens(d.withColumn("body", F.col("text")), "rec_id", "body", keep=("url", "source", "text"))
+    p = holdout.HoldoutParams()
+    cand = (F.col("source") == "wikivir") & F.length("text").between(p.min_chars, p.max_chars)
+    r = cut(holdout.select(cut(n.select(F.col("rec_id").alias("key"), "url", "text", F.col("n_tokens").alias("size"), "source"), "sizes"), cand, p), "selected")
+    k = r.agg((F.count(F.when(F.col("role") == "held_out", 1)) >= p.least_works).alias("enough"))
+    return r.join(F.broadcast(k)).withColumnRenamed("key", "rec_id")

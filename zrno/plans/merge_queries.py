@@ -58,13 +58,11 @@ def near_dups_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.lsh_pairs(sets_of(spark, sf_dir).select("rec_id", "sh", "n"), "rec_id", 0.8)
 
 
-@query(f"""WITH {SHINGLES}, {NEAR}, x AS (SELECT late AS rec_id, min(early) AS root_id FROM ne WHERE early % 2 = 0 AND late % 2 = 1 GROUP BY 1), y AS (SELECT early AS rec_id, min(late) AS root_id FROM ne WHERE early % 2 = 1 AND late % 2 = 0 GROUP BY 1)
-SELECT tok.rec_id, coalesce(least(x.root_id, y.root_id), -1) AS root_id FROM tok LEFT JOIN x USING (rec_id) LEFT JOIN y USING (rec_id) WHERE tok.rec_id % 2 = 1""")
+@query(f"WITH {SHINGLES}, {NEAR} SELECT rec_id, coalesce((SELECT min(early) FROM ne WHERE late = rec_id), -1) AS root_id FROM tok")
 def near_dups_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of odd number against an index of those of even number: the earliest that each repeats, -1 for none."""
+    """The earliest record that each repeats, by an index of all records; -1 for none."""
     s = sets_of(spark, sf_dir).select("rec_id", "sh", "n")
-    index = dedup.lsh_index(s.where("rec_id % 2 = 0"), "rec_id")
-    return dedup.lsh_match(index, s.where("rec_id % 2 = 1"), "rec_id", 0.8).withColumn("root_id", F.coalesce("root_id", F.lit(-1)))
+    return dedup.lsh_match(dedup.lsh_index(s, "rec_id"), s, "rec_id", 0.8, earlier=True).withColumn("root_id", F.coalesce("root_id", F.lit(-1)))
 
 
 FLAGGED = "fl AS (SELECT DISTINCT author, title FROM corpus_docs WHERE title IS NOT NULL AND author IN (SELECT name FROM authors WHERE author_id % 40 = 7))"
