@@ -123,3 +123,30 @@ def test_misfiled_works_and_audit(spark):
     assert [(r.rec_id, r.root_id, r.root_author) for r in cross.collect()] == [(2, 1, "Ana Kos")]
     table = spark.createDataFrame([("Zima", "same_work", "Ana Kos"), ("ZIMA", "same_work", "Bor Žagar")], "title string, resolution string, attribution string")
     assert [tuple(r) for r in merge.conflicts(cross, table).collect()] == [(1, ["Ana Kos", "Bor Žagar"])]
+
+
+def test_an_index_finds_the_earliest(spark):
+    base = " ".join(f"beseda{i}" for i in range(80))
+    rows = [(1, base), (2, "nekaj povsem drugega " * 9), (3, base + " konec"), (4, base + " konec in še"), (5, None)]
+    s = dedup.shingle_sets(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    index = dedup.lsh_index(s.where("id <= 3"), "id")
+    assert {r.id: r.root_id for r in dedup.lsh_match(index, s.where("id > 3"), "id").collect()} == {4: 1, 5: None}
+    assert {r.id: r.root_id for r in dedup.lsh_match(dedup.lsh_index(s, "id"), s, "id", earlier=True).collect()} == {1: None, 2: None, 3: 1, 4: 1, 5: None}
+
+
+def test_a_long_chain_of_near_duplicates_settles(spark):
+    n = 130
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "early long, late long")
+    got = {r.node: r.kept for r in dedup.greedy_keep(nodes, edges).collect()}
+    assert len(got) == n and [got[i] for i in range(22)] == [i % 2 == 0 for i in range(21)] + [True]
+    none = dedup.greedy_keep(nodes, edges.where("early < 0")).collect()
+    assert len(none) == n and all(r.kept and r.root == r.node for r in none)
+
+
+def test_containment_by_parts_and_sizes(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(20))
+    rows = [(1, "x", a), (2, "x", a + " " + b), (3, "y", a), (4, "x", b)]
+    s = dedup.shingle_sets(spark.createDataFrame(rows, "id long, who string, t string"), "id", "t", keep=("who",))
+    assert {(r.a, r.b) for r in dedup.containment_pairs(s, "id", 0.5, part=["who"]).collect()} == {(1, 2), (2, 1), (4, 2)}
+    assert {(r.a, r.b) for r in dedup.containment_pairs(s, "id", 0.5, part=["who"], inner="n < 20", outer="n >= 20").collect()} == {(4, 2)}

@@ -87,32 +87,68 @@ def test_bits_per_byte_by_hand(spark):
 
 
 def test_style_passages(spark):
-    s = " ".join(f"b{i}" for i in range(40)) + ". "
-    d = spark.createDataFrame([(1, s * 5), (2, "kratko. "), (3, " ".join(f"b{i}" for i in range(250))), (4, None)], "id long, t string")
+    s = "Beseda " + " ".join(f"b{i}" for i in range(39)) + ". "
+    d = spark.createDataFrame([(1, s * 5), (5, s.lower() * 5), (2, "kratko. "), (3, " ".join(f"b{i}" for i in range(250))), (4, None)], "id long, t string")
     got = {}
     for r in evaluation.style_passages(d, "id", "t").collect():
         got.setdefault(r.id, []).append(r.n_words)
-    assert sorted(got[1]) == [80, 120] and got[3] == [90, 90, 70] and 2 not in got
+    assert sorted(got[1]) == [80, 120] and got[5] == [200] and got[3] == [90, 90, 70] and 2 not in got
 
 
-def test_folds_keep_groups_and_balance():
-    import pandas as pd
-
+def test_folds_keep_groups_and_balance(spark):
     r = random.Random(1)
-    g = pd.DataFrame([(f"g{i}", r.randint(0, 9), r.randint(1, 30)) for i in range(60)], columns=["group", "pos", "neg"])
-    f = evaluation.folds(g, 5)
-    by = g.assign(fold=g.group.map(f)).groupby("fold")[["pos", "neg"]].sum()
-    assert len(by) == 5 and (by.max() / by.min()).max() < 1.5
+    rows = [(f"g{i}", k < p) for i in range(300) for p, n in [(r.randint(0, 9), r.randint(1, 30))] for k in range(p + n)]
+    d = spark.createDataFrame(rows, "g string, y boolean")
+    f = {x.g: x.fold for x in evaluation.folds_of(d, "g", "y", 5).collect()}
+    assert set(f) == {g for g, _ in rows}
+    by = [(sum(f[g] == k for g, _ in rows), sum(f[g] == k and y for g, y in rows)) for k in range(5)]
+    assert max(n for n, _ in by) < 1.25 * min(n for n, _ in by) and max(p for _, p in by) < 1.4 * min(p for _, p in by)
 
 
 def test_style_classifier_learns(spark):
     r = random.Random(1)
     a, b = ["ter", "doklej", "zmerom", "vkup"], ["in", "dokler", "vedno", "skupaj"]
     word = lambda: "".join(r.choice("abeiok") for _ in range(5))
-    rows = [(" ".join(r.choice(a if i % 2 else b) if k % 4 == 0 else word() for k in range(40)), i % 2, f"g{i // 4}") for i in range(120)]
-    d = spark.createDataFrame(rows, "t string, y int, g string")
-    got = evaluation.cross_validate(d, "t", "y", "g", "words", k=2, features=2000, min_df=2).collect()
-    assert len(got) == 2 and all(x.auc > 0.9 for x in got)
+    rows = [(" ".join(r.choice(a if i % 2 else b) if k % 4 == 0 else word() for k in range(40)), i % 2, f"g{i // 4}", "XY"[i % 2]) for i in range(120)]
+    d = spark.createDataFrame(rows, "t string, y int, g string, who string")
+    scored = evaluation.cross_validate(d, "t", "y", "g", "words", k=2, min_df=2, keep=("who",))
+    got = evaluation.fold_metrics(scored, 2).collect()
+    assert len(got) == 2 and all(x.auc > 0.9 and x.average_precision > 0.9 and 0 < x.pos_rate < 1 for x in got) and sum(x.n for x in got) == 120
+    means = {x.who: x.mean_probability for x in evaluation.author_means(scored, "who").collect()}
+    assert means["Y"] > 0.5 > means["X"]
+    models = evaluation.style_models(d.withColumn("fold", F.lit(0)), "t", "y", "fold", "words", k=1, min_df=2)
+    top = {(x.side, x.term) for x in evaluation.top_features(models, 4).collect()}
+    assert {t for s, t in top if s == "for"} <= {*a} | {f"{x} {y}" for x in a for y in a} and len(top) == 8
+
+
+def test_families_of_features():
+    assert evaluation.terms("Solnce je", "one_spelling") == evaluation.terms("sonce je", "characters")
+    assert evaluation.terms("Ko je prišel, je šel.", "function_words") == ["ko", "je", "je"]
+    assert evaluation.terms("a b a", "words") == ["a", "b", "a", "a b", "b a"] and evaluation.terms("", "words") == []
+
+
+def test_average_precision_by_steps(spark):
+    rows = [(0.9, True), (0.8, False), (0.7, True), (0.7, False), (0.1, True), (0.0, False)]
+    got = evaluation.average_precision(spark.createDataFrame(rows, "s double, y boolean"), "s", "y").first()[0]
+    assert abs(got - (1 + 2 / 4 + 3 / 5) / 3) < 1e-12
+
+
+def test_weighted_loss_and_deploy_status(spark):
+    d = spark.createDataFrame([(1.0, 10), (3.0, 30), (9.0, 0), (None, 5)], "l double, n int")
+    assert tuple(evaluation.weighted_loss(d, "l", "n").first()) == (2.5, 40)
+    assert tuple(evaluation.weighted_loss(d.where("n > 100"), "l", "n").first()) == (0.0, 0)
+    a = spark.createDataFrame([("m1", "x"), ("m2", "y")], "artifact string, sha256 string")
+    r = spark.createDataFrame([("x", "measured_inadequate", "1"), ("x", "validated", "2"), ("z", "validated", "1")], "artifact_sha256 string, verdict string, created_at string")
+    assert {x.artifact: x.status for x in evaluation.deploy_status(a, r).collect()} == {"m1": "validated", "m2": "pending"}
+
+
+def test_replay_windows_are_drawn(spark):
+    rows = spark.createDataFrame([(b, r, [b, r, 1], [r, 1, 9]) for b in range(5) for r in range(4)], "batch long, row int, x array<int>, y array<int>")
+    w = training.draw_windows(rows, 7).collect()
+    assert len(w) == 7 and all(x.tokens == [*x.tokens[:3], 9] and x.n_prompt == 1 and x.n_target == 3 and x.replay for x in w)
+    assert {x.key for x in w} == {x.key for x in training.draw_windows(rows, 7).collect()} != {x.key for x in training.draw_windows(rows, 7, seed=2).collect()}
+    with pytest.raises(ValueError):
+        training.draw_windows(rows, 21)
 
 
 def test_style_folds_keep_clusters_and_leave_out_held_and_verse(spark, tmp_path, monkeypatch):
@@ -126,11 +162,12 @@ def test_style_folds_keep_clusters_and_leave_out_held_and_verse(spark, tmp_path,
     spark.createDataFrame([(1, "A")], "author_id long, name string").write.parquet(f"{tmp_path}/authors.parquet")
     seen = []
 
-    def fake(p, text, label, group, family, k):
+    def fake(p, text, label, group, family, k=5):
         seen.append((family, k, {r.rec_id: r[group] for r in p.collect()}))
         return spark.range(1)
 
     monkeypatch.setattr(evaluation, "cross_validate", fake)
+    monkeypatch.setattr(evaluation, "fold_metrics", lambda scored, k=5: scored)
     q.style_folds(spark, str(tmp_path))
     assert [(f, k) for f, k, _ in seen] == [(f, 5) for f in ("characters", "words", "function_words", "one_spelling")]
     assert all(g == {1: 1, 2: 1, 3: 3, 4: 4} for _, _, g in seen)

@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from zrno.operators import holdout, ledger, pairs
@@ -98,3 +99,49 @@ def test_holdout_is_closed_both_ways(spark):
     w = spark.createDataFrame([("u1", "x"), ("u99", "y")], "url string, content_sha256 string")
     assert {x.url: x.state for x in holdout.verify(w, d).collect()} == {"u1": "drifted", "u99": "missing"}
     assert holdout.without(d, "url", w).count() == len(rows) - 1
+
+
+def test_aliases_keep_their_first_owner(spark):
+    have = spark.createDataFrame([("A", "w1", "Na klancu", ["Klanec"]), ("A", "w2", "Hiša", [])], "author string, work_id string, title string, aliases array<string>")
+    new = spark.createDataFrame([("A", "w2", "Klanec", 1), ("A", "w2", "Na klancu", 2), ("A", "w2", "Stara hiša", 3), ("B", "w9", "Nič", 4)], "author string, work_id string, alias string, seq int")
+    aliases, index = ledger.add_aliases(have, new)
+    assert {(r.work_id, r.alias) for r in aliases.collect()} == {("w1", "Klanec"), ("w2", "Klanec"), ("w2", "Na klancu"), ("w2", "Stara hiša")}
+    assert {r.title_key: r.work_id for r in index.collect()} == {"na klancu": "w1", "klanec": "w1", "hiša": "w2", "stara hiša": "w2"}
+
+
+def test_guards_fail_loud(spark):
+    docs = spark.createDataFrame([("A", "u1"), ("A", None), ("B", "u2")], "author string, url string")
+    holdout.require_no_misattributed(docs, spark.createDataFrame([("A", "u2"), ("B", "u1")], "author string, url string"))
+    with pytest.raises(ValueError, match="u1"):
+        holdout.require_no_misattributed(docs, spark.createDataFrame([("A", "u1")], "author string, url string"))
+    roles = spark.createDataFrame([("held_out",)] * 3, "role string")
+    assert holdout.require_enough(roles, holdout.HoldoutParams(least_works=3)) == 3
+    with pytest.raises(ValueError):
+        holdout.require_enough(roles)
+    holdout.require_same_corpus("abc", "abc")
+    with pytest.raises(ValueError):
+        holdout.require_same_corpus("abc", "abd")
+
+
+def test_uploads_and_addresses(spark, tmp_path):
+    from zrno.functions.text import page_url
+    from zrno.sources import writers
+
+    for n in ("card.md", "pairs.jsonl", "m.json"):
+        (tmp_path / n).write_text("x")
+    files = writers.uploads(tmp_path / "card.md", tmp_path / "pairs.jsonl", tmp_path / "m.json", tmp_path / "raw.jsonl")
+    assert [n for _, n in writers.require_uploads(files)] == ["README.md", "pairs.jsonl", "provenance/pairs.manifest.json"]
+    (tmp_path / "m.json").unlink()
+    with pytest.raises(FileNotFoundError):
+        writers.require_uploads(files)
+    assert spark.range(1).select(page_url("https://x/wiki/", F.lit("Na klancu"))).first()[0] == "https://x/wiki/Na_klancu"
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from zrno.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x:7077")))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zrno.functions.text import casefold, words
-from zrno.operators.components import numbered
+from zrno.functions.text import words
+from zrno.operators.components import numbered, ranked
 from zrno.session import cut
 
 # The spelling pair, function words of the ablation in their published order, control margin and fitness floor.
@@ -158,78 +159,165 @@ def style_passages(docs: DataFrame, key: str, text: str, target: int = 90, least
     return p.select(key, F.struct("i", F.lit(0)).alias("o"), F.explode(cuts).alias("w")).select(key, F.col("o.i").alias("n"), F.array_join("w", " ").alias("passage"), F.size("w").alias("n_words"))
 
 
-def terms(text: Column, family: str) -> Column:
+_SOLN = re.compile(r"([sS])oln([cčCČ])")
+_FUNCTION = frozenset(FUNCTION_WORDS.split())
+
+
+def terms(text: str, family: str) -> list[str]:
     """Features of a passage: characters (3 to 5 within words), words (single and pairs), function words, or characters after spelling is made one."""
-    w = words(casefold(text))
+    w = (_SOLN.sub(r"\1on\2", text) if family == "one_spelling" else text).casefold().split()
     if family == "words":
-        return F.concat(w, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(w, i, 2))))
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
     if family == "function_words":
-        return F.filter(w, lambda x: x.isin(*FUNCTION_WORDS.split()))
-    if family == "one_spelling":
-        w = words(casefold(spelling(text)))
-    padded = F.transform(w, lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
-    grams = lambda k: F.flatten(F.transform(padded, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (k - 1), F.lit(1))), lambda i: F.substring(x, i, F.lit(k)))))
-    return F.concat(*[grams(k) for k in (3, 4, 5)])
-
-
-def folds(groups: pd.DataFrame, k: int = 5) -> dict[str, int]:
-    """Fold of each group (group, pos, neg), so that folds are alike in both counts: largest groups first, each to the fold where it leaves the spread least."""
-    import numpy as np
-
-    have = np.zeros((k, 2))
-    want = groups[["pos", "neg"]].sum().to_numpy() / k
-    out = {}
-    for g, p, n in sorted(groups[["group", "pos", "neg"]].itertuples(index=False), key=lambda r: (-(r[1] + r[2]), str(r[0]))):
-        cost = [float((((have + np.array([p, n]) * (np.arange(k) == j)[:, None]) / np.maximum(want, 1)) ** 2).sum()) for j in range(k)]
-        j = int(np.argmin(cost))
-        have[j] += (p, n)
-        out[g] = j
+        return [x for t in w if (x := t.strip(".,;:!?…\"'()[]«»„“”–—-")) in _FUNCTION]
+    out = []
+    for t in w:
+        t = f" {t} "
+        for k in (3, 4, 5):
+            out.extend(t[i : i + k] for i in range(max(1, len(t) - k + 1)))
     return out
 
 
-def cross_validate(passages: DataFrame, text: str, label: str, group: str, family: str = "characters", k: int = 5, features: int = 1 << 16, min_df: int = 5) -> DataFrame:
-    """(fold, n, n_pos, auc) of a balanced logistic regression on sublinear TF-IDF, with groups kept whole.
-
-    Groups (works), not passages, come to the driver to be dealt to folds.
+def folds_of(passages: DataFrame, group: str, label: str, k: int) -> DataFrame:
+    """(group, fold): groups are kept whole; those of one majority label and size, by powers of two, are dealt in the order of a hash, so folds are alike in both. No list of groups comes to the driver."""
+    g = passages.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
+    g = g.select(group, F.floor(F.log2("n")).cast("int").alias("size"), (2 * F.col("p") >= F.col("n")).alias("major"))
+    dealt = ranked(g, ["major", "size"], F.xxhash64(group), "rn")
+    return dealt.select(group, F.pmod(F.col("rn") - 1 + F.col("size"), F.lit(k)).cast("int").alias("fold"))
+
+
+class Style:
+    """Sublinear TF-IDF rows of unit length and a balanced logistic regression on them."""
+
+    def __init__(self, lists: list[list[str]], min_df: int) -> None:
+        df = Counter(t for ts in lists for t in set(ts))
+        self.vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in df.items() if n >= min_df))}
+        self.idf = np.log((1 + len(lists)) / (1 + np.array([df[t] for t in self.vocabulary]))) + 1 if self.vocabulary else np.empty(0)
+        self.coef, self.bias = np.zeros(len(self.vocabulary)), 0.0
+
+    def rows(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, value) of the features of passages."""
+        row, col, val = [], [], []
+        for i, ts in enumerate(lists):
+            c = Counter(self.vocabulary[t] for t in ts if t in self.vocabulary)
+            x = (1 + np.log(np.fromiter(c.values(), float, len(c)))) * self.idf[list(c)] if c else np.empty(0)
+            row.append(np.full(len(c), i))
+            col.append(np.fromiter(c, np.int64, len(c)))
+            val.append(x / np.sqrt((x * x).sum()) if len(x) else x)
+        cat = lambda a, t: np.concatenate(a).astype(t) if a else np.empty(0, t)
+        return cat(row, np.int64), cat(col, np.int64), cat(val, float)
+
+    def fit(self, lists: list[list[str]], y: np.ndarray, rounds: int = 150) -> Style:
+        """Nesterov's gradient steps on the weighted loss with a penalty of half the squared coefficients."""
+        row, col, val = self.rows(lists)
+        n, m = len(lists), len(self.coef)
+        pos = y.sum()
+        w = np.where(y == 1, n / (2 * max(pos, 1)), n / (2 * max(n - pos, 1)))
+        step = 1.0 / (0.25 * 2 * w.sum() * 0.5 + 1)  # rows have unit length, so this is above the curvature's bound
+        v, b, pv, pb = self.coef.copy(), 0.0, self.coef.copy(), 0.0
+        for k in range(rounds):
+            r = w * (1 / (1 + np.exp(-(np.bincount(row, val * v[col], n) + b))) - y)
+            nv, nb = v - step * (np.bincount(col, val * r[row], m) + v), b - step * r.sum()
+            t = k / (k + 3)
+            v, b, pv, pb = nv + t * (nv - pv), nb + t * (nb - pb), nv, nb
+        self.coef, self.bias = pv, float(pb)
+        return self
+
+    def scores(self, lists: list[list[str]]) -> np.ndarray:
+        row, col, val = self.rows(lists)
+        return np.bincount(row, val * self.coef[col], len(lists)) + self.bias
+
+
+def _fit(family: str, min_df: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("text", "ascending")])
+        lists = [terms(x, family) for x in t.column("text").to_pylist()]
+        s = Style(lists, min_df).fit(lists, t.column("label").to_numpy().astype(float))
+        return pa.table({"fold": pa.array([t.column("left_out")[0].as_py()], pa.int32()), "bias": [s.bias], "term": [list(s.vocabulary)], "idf": [s.idf.tolist()], "coef": [s.coef.tolist()]})
+
+    return run
+
+
+def style_models(passages: DataFrame, text: str, label: str, fold: str, family: str, k: int = 5, most: int = 20_000, min_df: int = 5) -> DataFrame:
+    """(fold, bias, term, idf, coef): a model for each fold left out, and one, fold -1, of all.
+
+    Each is fitted in one task on at most `most` passages, the first by hash, a documented bound; so a model's terms are bounded too.
     """
-    d = cut(passages.select(terms(F.col(text), family).alias("terms"), F.col(label).cast("double").alias("label"), F.col(group).alias("group")), "terms")
-    g = d.groupBy("group").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")).toPandas()
-    where = d.sparkSession.createDataFrame(list(folds(g, k).items()) or [("", 0)], "group string, fold int")
-    d = cut(d.withColumn("group", F.col("group").cast("string")).join(where, "group"), "folds")
+    d = passages.select(F.col(text).alias("text"), F.col(label).cast("double").alias("label"), F.col(fold).alias("fold"))
+    some = cut(d.orderBy(F.xxhash64("text"), "text").limit(most), "sample")
+    each = some.withColumn("left_out", F.explode(F.filter(F.array(*[F.lit(j) for j in range(-1, k)]), lambda j: j != F.col("fold"))))
+    return cut(each.groupBy("left_out").applyInArrow(_fit(family, min_df), "fold int, bias double, term array<string>, idf array<double>, coef array<double>"), "models")
+
+
+def style_scores(passages: DataFrame, text: str, fold: str, models: DataFrame, family: str) -> DataFrame:
+    """passages with score: each by the model that its fold was left out of. Models, k + 1 of bounded size, are broadcast."""
+    made = {}
+    for r in models.where("fold >= 0").toLocalIterator():
+        s = Style([], 1)
+        s.vocabulary, s.idf, s.coef, s.bias = {t: i for i, t in enumerate(r.term)}, np.array(r.idf), np.array(r.coef), r.bias
+        made[r.fold] = s
+    bc = passages.sparkSession.sparkContext.broadcast(made)
+    d = passages.select(*[c for c in passages.columns if c not in (text, fold)], F.col(text).alias("_text"), F.col(fold).alias("_fold"))
+    fields = ", ".join(f"`{c}` {t}" for c, t in d.dtypes if c != "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [terms(x, family) for x in b.column(b.num_columns - 2).to_pylist()]
+            at = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+            out = np.zeros(len(lists))
+            for j in np.unique(at):
+                rows = np.flatnonzero(at == j)
+                if j in bc.value:
+                    out[rows] = bc.value[j].scores([lists[i] for i in rows])
+            kept = [*b.columns[:-2], b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out)], names=[*b.schema.names[:-2], "_fold", "score"])
+
+    return d.mapInArrow(run, fields + ", score double").withColumnRenamed("_fold", fold)
+
+
+def average_precision(scores: DataFrame, score: str, positive: str) -> DataFrame:
+    """(average_precision): the mean of the precision over the steps of the recall; equal scores are one step. Counted by distinct score, range by range."""
+    s = scores.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    s = cut(s.repartitionByRange(F.desc(score)).withColumn("part", F.spark_partition_id()), "steps")
+    whole = s.groupBy("part").agg(F.sum("p").alias("wp"), F.sum("n").alias("wn"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = whole.select("part", F.coalesce(F.sum("wp").over(earlier), F.lit(0)).alias("bp"), F.coalesce(F.sum("wn").over(earlier), F.lit(0)).alias("bn"))
+    upto = Window.partitionBy("part").orderBy(F.desc(score))
+    r = s.withColumns({"sp": F.sum("p").over(upto), "sn": F.sum("n").over(upto)}).join(F.broadcast(before), "part")
+    return r.agg((F.sum(F.col("p") * (F.col("sp") + F.col("bp")) / (F.col("sn") + F.col("bn"))) / F.nullif(F.sum("p"), F.lit(0))).alias("average_precision"))
+
+
+def cross_validate(passages: DataFrame, text: str, label: str, group: str, family: str = "characters", k: int = 5, most: int = 20_000, min_df: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """passages (text, label, group, *keep) with fold and score, the score by a model that saw nothing of the passage's group."""
+    d = cut(passages.select(F.col(text).alias("text"), F.col(label).alias("label"), F.col(group).cast("string").alias("group"), *keep), "passages")
+    d = cut(d.join(folds_of(d, "group", "label", k), "group"), "folds")
+    return style_scores(d, "text", "fold", style_models(d, "text", "label", "fold", family, k, most, min_df), family)
+
+
+def fold_metrics(scored: DataFrame, k: int = 5) -> DataFrame:
+    """(fold, n, n_pos, pos_rate, auc, average_precision) of each fold of cross_validate()."""
     out: DataFrame | None = None
+    scored = cut(scored.select("fold", "score", F.col("label").cast("boolean").alias("label")), "scored")
     for j in range(k):
-        train, test = d.where(F.col("fold") != j), d.where(F.col("fold") == j)
-        model = fit_style(train, features, min_df)
-        one = auc(model(test).withColumn("positive", F.col("label") == 1.0), "score", "positive").select(F.lit(j).alias("fold"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", "auc")
+        f = scored.where(F.col("fold") == j)
+        one = auc(f, "score", "label").join(F.broadcast(average_precision(f, "score", "label")))
+        one = one.select(F.lit(j).alias("fold"), (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", (F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("pos_rate"), "auc", "average_precision")
         out = one if out is None else out.union(one)
     return out
 
 
-def fit_style(train: DataFrame, features: int, min_df: int):
-    """A function that adds `score` to a DataFrame of terms, from a DataFrame of terms and labels."""
-    cv = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features, minDF=min_df).fit(train)
-    n = train.count()
-    names = cv.vocabulary
-    spark = train.sparkSession
-    df = {r[0]: r[1] for r in train.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(spark.createDataFrame([(x,) for x in names] or [("",)], "t string")), "t").collect()}
-    import numpy as np
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    idf = np.log((1 + n) / (1 + np.array([df.get(x, 0) for x in names]))) + 1
-    bc = spark.sparkContext.broadcast(idf)
-
-    @F.udf(VectorUDT())
-    def weigh(v):
-        x = (1 + np.log(v.values)) * bc.value[v.indices]
-        s = np.sqrt((x * x).sum())
-        return SparseVector(v.size, v.indices, x / s if s else x)
+def summary(metrics: DataFrame) -> DataFrame:
+    """One row: mean and deviation of the folds' AUC, mean of their average precision."""
+    return metrics.agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"), F.avg("average_precision").alias("average_precision_mean"))
 
-    def prepare(d: DataFrame) -> DataFrame:
-        return cv.transform(d).withColumn("features", weigh("tf"))
 
-    pos = train.agg(F.avg("label")).first()[0] or 0.5
-    w = F.when(F.col("label") == 1.0, 0.5 / max(pos, 1e-9)).otherwise(0.5 / max(1 - pos, 1e-9))
-    model = LogisticRegression(weightCol="w", regParam=1.0 / max(n, 1), maxIter=40).fit(prepare(train).withColumn("w", w))
-    return lambda d: model.transform(prepare(d)).withColumn("score", vector_to_array("probability")[1])
+def author_means(scored: DataFrame, author: str) -> DataFrame:
+    """(author, n, mean_probability): out-of-fold probabilities by author."""
+    return scored.groupBy(author).agg(F.count(F.lit(1)).alias("n"), F.avg(1 / (1 + F.exp(-F.col("score")))).alias("mean_probability"))
 
 
+def top_features(models: DataFrame, n: int = 25) -> DataFrame:
+    """(side, place, term, coef): the n terms that speak most for and most against, of the model of all passages."""
+    t = models.where("fold = -1").select(F.explode(F.arrays_zip("term", "coef")).alias("x")).select("x.term", "x.coef")
+    take = lambda side, o: t.orderBy(o, "term").limit(n).withColumns({"side": F.lit(side), "place": F.row_number().over(Window.orderBy(o, "term"))})
+    return take("for", F.desc("coef")).union(take("against", F.asc("coef"))).select("side", "place", "term", "coef")

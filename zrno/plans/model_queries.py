@@ -281,14 +281,49 @@ def style_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _style(spark, sf_dir)
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, passage, label, author, cluster) of prose by known authors, clusters of near duplicates told."""
+    d = cut(_style_docs(spark, sf_dir), "prose")
+    p = evaluation.style_passages(d.select("rec_id", "text"), "rec_id", "text").join(d.select("rec_id", "label", "author"), "rec_id")
+    return cut(p.join(_style_clusters(spark, sf_dir), "rec_id"), "style")
+
+
 @query()
 def style_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-validated AUC by fold of telling the roster's first author, by each family of features; clusters of near duplicates are kept whole."""
-    p = cut(_style(spark, sf_dir).join(_style_clusters(spark, sf_dir), "rec_id"), "style")
-    one = lambda f: evaluation.cross_validate(p, "passage", "label", "cluster", f, k=5).withColumn("family", F.lit(f))
+    """Cross-validated AUC and average precision by fold of telling the roster's first author, by each family of features; clusters of near duplicates are kept whole."""
+    p = _labelled(spark, sf_dir)
+    one = lambda f: evaluation.fold_metrics(evaluation.cross_validate(p, "passage", "label", "cluster", f)).withColumn("family", F.lit(f))
     return reduce(DataFrame.union, map(one, evaluation.FAMILIES))
 
 
+@query()
+def style_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation over the folds by family."""
+    m = cut(style_folds(spark, sf_dir), "metrics")
+    return m.groupBy("family").agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"), F.avg("average_precision").alias("average_precision_mean"))
+
+
+@query()
+def style_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean out-of-fold probability of the first author's style by author."""
+    return evaluation.author_means(evaluation.cross_validate(_labelled(spark, sf_dir), "passage", "label", "cluster", keep=("author",)), "author")
+
+
+@query()
+def style_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features that speak most for and against the first author."""
+    p = _labelled(spark, sf_dir).withColumn("fold", F.lit(0))
+    return evaluation.top_features(evaluation.style_models(p, "passage", "label", "fold", "characters", k=1))
+
+
+@query("WITH x AS (SELECT DISTINCT pair_id, length(cankar) % 211 AS s, length(plain) % 3 = 0 AS y FROM train_pairs WHERE cankar IS NOT NULL AND plain IS NOT NULL), g AS (SELECT s, count(*) FILTER (y) AS p, count(*) AS n FROM x GROUP BY 1), c AS (SELECT p, sum(p) OVER (ORDER BY s DESC) AS sp, sum(n) OVER (ORDER BY s DESC) AS sn FROM g) SELECT round(sum(p * (sp / sn::DOUBLE)) / sum(p), 9) AS average_precision FROM c")
+def style_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average precision of scores made up from lengths."""
+    t = spread(table(spark, sf_dir, "train_pairs").select("pair_id", "cankar", "plain").where("cankar is not null and plain is not null"))
+    s = t.select((F.length("cankar") % 211).alias("s"), (F.length("plain") % 3 == 0).alias("y"))
+    return evaluation.average_precision(s, "s", "y").withColumn("average_precision", F.round("average_precision", 9))
+
+
 @query()
 def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 8 rows of 256 targets over the tokens of all records but what is held out, each document after a start token."""
