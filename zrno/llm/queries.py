@@ -68,7 +68,9 @@ def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(F.broadcast(torn)).select("n_records", "n_torn", near_quota.alias("near_quota"))
 
 
-@query
+@kept("""WITH t AS (SELECT rec_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM corpus_docs WHERE text IS NOT NULL), s AS (SELECT rec_id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS s FROM t WHERE len(w) >= 5),
+n AS (SELECT rec_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT x.rec_id AS a, y.rec_id AS b, count(*) AS c FROM s x JOIN s y USING (s) WHERE x.rec_id < y.rec_id GROUP BY 1, 2)
+SELECT a AS rec_id_a, b AS rec_id_b FROM p JOIN n na ON na.rec_id = a JOIN n nb ON nb.rec_id = b WHERE c >= 0.5 * (na.n + nb.n - c)""")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
     classes, pairs = near.near_pairs(docs, "rec_id", "text", least=0.5, weighted=False)
@@ -92,7 +94,8 @@ def p6_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.withColumn("recall", F.when(F.col("pairs") == 0, F.lit(1.0)).otherwise(F.col("found") / F.col("pairs")))
 
 
-@query
+@kept("""WITH w AS (SELECT DISTINCT rec_id, substring(text, i, 150) AS w FROM (SELECT rec_id, text, unnest(range(1, length(text) - 148)) AS i FROM corpus_docs WHERE length(text) >= 150))
+SELECT DISTINCT x.rec_id AS rec_id_a, y.rec_id AS rec_id_b FROM w x JOIN w y USING (w) WHERE x.rec_id < y.rec_id""")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "corpus_docs").select("rec_id", "text"))
     classes, pairs = spans.shared_pairs(docs, "rec_id", "text", span=150)
