@@ -37,7 +37,7 @@ def spelling(text: Column) -> Column:
 
 
 def auc(scores: DataFrame, score: str, positive: str) -> DataFrame:
-    """(n_pos, n_neg, auc): the chance that a positive outscores a negative, ties half.
+    """(n_pos, n_neg, auc): the chance that a positive outscores a negative, ties half; null where there are none of one side.
 
     Scores are counted by value first; the running sum over distinct values is range-partitioned, so no task sees them all.
     """
@@ -48,7 +48,7 @@ def auc(scores: DataFrame, score: str, positive: str) -> DataFrame:
     within = F.coalesce(F.sum("q").over(Window.partitionBy("part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     r = s.withColumn("below", within).join(F.broadcast(before), "part")
     wins = F.sum(F.col("p") * (F.col("below") + F.col("before") + F.col("q") / 2.0))
-    return r.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), (wins / (F.sum("p") * F.sum("q"))).alias("auc"))
+    return r.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), (wins / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
 
 
 def deploy_check(scores: DataFrame, own: str, peer: str, plain: str) -> DataFrame:
