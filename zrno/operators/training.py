@@ -24,9 +24,9 @@ def placed(docs: DataFrame, key: str, size: str, seed: int = 1, epoch: int = 0,
     return d.withColumn("_w", within).join(before, "_b").withColumn("pos", (F.col("_w") + F.col("_before")).cast("long")).drop("_h", "_b", "_w", "_before")
 
 
-def batch_rows(stream: DataFrame, tokens: str, seq_len: int, batch_size: int) -> DataFrame:
-    """(batch, row, x, y): the stream of placed documents cut into windows of seq_len targets; what doesn't fill a batch is left out."""
-    n = stream.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0))).first()[0]
+def batch_rows(stream: DataFrame, tokens: str, seq_len: int, batch_size: int, total: int | None = None) -> DataFrame:
+    """(batch, row, x, y): the stream of placed documents cut into windows of seq_len targets; what doesn't fill a batch is left out. total: the number of all tokens, if it is known."""
+    n = stream.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0))).first()[0] if total is None else total
     rows = max(0, (n - 1) // seq_len // batch_size * batch_size)
     size, at = F.size(tokens), lambda w: w * seq_len - F.col("pos")
     # a window's last target is the first token of the next one, so a document reaches from the window its first token is a target of

@@ -328,8 +328,9 @@ def style_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 8 rows of 256 targets over the tokens of all records but what is held out, each document after a start token."""
     t = cut(encoding.with_ids(_training(spark, sf_dir), "text", first=50256).select("rec_id", "tokens"), "ids")
-    s = cut(training.placed(t.withColumn("n", F.size("tokens")), "rec_id", "n").select("pos", "tokens"), "placed")
-    return training.batch_rows(s, "tokens", 256, 8)
+    at = cut(training.placed(t.select("rec_id", F.size("tokens").alias("n")), "rec_id", "n").select("rec_id", "pos", "n"), "placed")  # positions alone are ordered; tokens stay where they are written
+    total = at.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return training.batch_rows(t.join(at.select("rec_id", "pos"), "rec_id").select("pos", "tokens"), "tokens", 256, 8, total)
 
 
 
