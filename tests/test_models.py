@@ -121,6 +121,38 @@ def test_style_classifier_learns(spark):
     assert {t for s, t in top if s == "for"} <= {*a} | {f"{x} {y}" for x in a for y in a} and len(top) == 8
 
 
+@pytest.mark.parametrize("family", ["function_words", "characters", "words"])
+def test_style_models_are_fitted_on_all_passages(spark, family):
+    from collections import Counter
+
+    import numpy as np
+
+    r = random.Random(5)
+    kinds = [(" ".join(r.choice(["in", "pa", "ter", "ker", "da", "inpa", "terda"]) for _ in range(r.randint(2, 9))), r.random() < 0.3) for _ in range(60)]
+    kinds.append(("nikoli", True))
+    times = 700  # 42,700 passages
+    d = spark.range(times).crossJoin(spark.createDataFrame([(t, int(y), i % 3) for i, (t, y) in enumerate(kinds)], "t string, y int, fold int"))
+    got = {}
+    for x in evaluation.style_models(d, "t", "y", "fold", family, k=3).collect():
+        got.setdefault(x.fold, {})[x.term] = (x.idf, x.coef)
+    assert set(got) == {-1, 0, 1, 2}
+    for left in got:
+        rows = [(Counter(evaluation.terms(t, family)), y) for i, (t, y) in enumerate(kinds) if i % 3 != left]
+        names = sorted({t for c, _ in rows for t in c})
+        assert names == sorted(t for t in got[left] if t)
+        n, y = times * len(rows), np.array([float(y) for _, y in rows])
+        idf = np.array([math.log((1 + n) / (1 + times * sum(t in c for c, _ in rows))) + 1 for t in names])
+        assert [got[left][t][0] for t in names] == pytest.approx(idf)
+        x = np.array([[(1 + math.log(c[t])) if t in c else 0.0 for t in names] for c, _ in rows]) * idf
+        x = np.c_[x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9), np.ones(len(rows))]
+        w, v, ridge = times * np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))), np.zeros(x.shape[1]), np.append(np.ones(len(names)), 0)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-x @ v))
+            v = v - np.linalg.solve((x.T * (w * p * (1 - p))) @ x + np.diag(ridge), x.T @ (w * (p - y)) + ridge * v) * 0.5
+        mine = np.array([got[left][t][1] for t in [*names, None]])
+        assert np.abs(x @ mine - x @ v).max() < 0.02 * np.abs(x @ v).max()
+
+
 def test_families_of_features():
     assert evaluation.terms("Solnce je", "one_spelling") == evaluation.terms("sonce je", "characters")
     assert evaluation.terms("Ko je prišel, je šel.", "function_words") == ["ko", "je", "je"]
