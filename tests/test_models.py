@@ -165,6 +165,18 @@ def test_average_precision_by_steps(spark):
     assert abs(got - (1 + 2 / 4 + 3 / 5) / 3) < 1e-12
 
 
+def test_fold_metrics_are_those_of_each_fold(spark):
+    r = random.Random(3)
+    rows = [(f, float(r.randint(0, 40)), r.random() < 0.3 and f != 2) for f in (0, 1, 2) for _ in range(300)]
+    d = spark.createDataFrame(rows, "fold int, score double, label boolean")
+    got = {x.fold: x for x in evaluation.fold_metrics(d, 4).collect()}
+    assert set(got) == {0, 1, 2, 3} and (got[3].n, got[3].auc, got[2].n_pos, got[2].auc) == (0, None, 0, None)
+    for f in (0, 1):
+        own = d.where(F.col("fold") == f)
+        assert got[f].auc == pytest.approx(evaluation.auc(own, "score", "label").first().auc, abs=1e-12) and got[f].n == 300
+        assert got[f].average_precision == pytest.approx(evaluation.average_precision(own, "score", "label").first()[0], abs=1e-12)
+
+
 def test_weighted_loss_and_deploy_status(spark):
     d = spark.createDataFrame([(1.0, 10), (3.0, 30), (9.0, 0), (None, 5)], "l double, n int")
     assert tuple(evaluation.weighted_loss(d, "l", "n").first()) == (2.5, 40)
